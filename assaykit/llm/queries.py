@@ -4,16 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from assaykit.llm.bpe import read_ranks, round_trip
 from assaykit.llm.exact_dedup import exact_groups
 from assaykit.llm.mixing import mixture
+from assaykit.llm.quality import quality_rules
+
+#: Files of public tokenizers.
+BYTE_BPE, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, public_tokenizers.path(PIECES))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), read_ranks(public_tokenizers.path(BYTE_BPE)), public_tokenizers.PATTERN)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -23,7 +37,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_exact_dedup, op10_mixture)}
+    return {f.__name__: f for f in (op1_quality_rules, op5_byte_bpe, op8_exact_dedup, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
