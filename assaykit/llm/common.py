@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = 4
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         piece = np.cumsum(lengths) // size
         starts = np.r_[0, np.flatnonzero(piece[1:] != piece[:-1]) + 1, batch.num_rows]
         for a, b in zip(starts[:-1], starts[1:], strict=True):
