@@ -1,8 +1,9 @@
 """Exact dedup by content sort, with DataFrame functions only.
 
 The normalised texts are range-partitioned by sampled splitters and sorted, so that equal contents are neighbours and
-the window compares whole contents, not hashes. The key has a salt after the content: copies of one content are spread
-over at most SALTS ranges, each of which elects its best row. The few elected rows of a content are then settled by
+the window compares whole contents, not hashes. Splitters are drawn from the contents' heads and hashes, which are short
+whatever the texts are and lead the sort, then a salt: copies of one content are spread over at most SALTS ranges, each
+of which elects its best row. The few elected rows of a content are then settled by
 length and SHA-256, without their texts, so the texts are shuffled once.
 """
 
@@ -15,6 +16,8 @@ from assaykit.llm.common import SPACES, parts, table
 
 #: Ranges over which the copies of one content may spread.
 SALTS = 32
+#: Characters of a content by which it is sorted first.
+HEAD = 16
 
 
 def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -32,10 +35,11 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
     # equal rows share a salt, so which of them is elected doesn't matter
     content = content.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.lit(salts)).cast("int"))
-    in_run = Window.partitionBy("content", "salt")
+    content = content.withColumn("head", F.left("content", F.lit(HEAD))).withColumn("hash", F.xxhash64("content"))
+    in_run = Window.partitionBy("head", "hash", "salt", "content")
     best = in_run.orderBy(F.desc("n"), F.asc_nulls_last("doc_id"))
     runs = (
-        content.repartitionByRange(parts(docs), "content", "salt")
+        content.repartitionByRange(parts(docs), "head", "hash", "salt")
         .withColumn("place", F.row_number().over(best))
         .withColumn("copies", F.count(F.lit(1)).over(in_run))
         .select("doc_id", "n", "salt", "place", "copies", F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"), F.char_length("content").alias("size"))
