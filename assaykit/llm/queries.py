@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assaykit.llm.bpe import read_ranks, round_trip
 from assaykit.llm.exact_dedup import exact_groups
 from assaykit.llm.mixing import mixture
 from assaykit.llm.quality import quality_rules
+from assaykit.llm.substring_index import without_repeated_windows
+from assaykit.llm.suffix_dedup import without_repeated_strings
 
 #: Files of public tokenizers.
 BYTE_BPE, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -24,6 +27,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, public_tokenizers.path(PIECES))
 
 
+def op3_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeated_windows(documents(spark, sf_dir))
+    return out.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), read_ranks(public_tokenizers.path(BYTE_BPE)), public_tokenizers.PATTERN)
 
@@ -32,16 +40,34 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_strings(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_byte_bpe, op8_exact_dedup, op10_mixture)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_substring_index, op5_byte_bpe, op8_exact_dedup, op9_suffix_dedup, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_substring_index": r"""
+            WITH words AS (
+                SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            windows AS (
+                SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS content
+                FROM words, unnest(range(1, greatest(len(w) - 11, 1))) AS u(i)),
+            repeated AS (
+                SELECT doc_id, i FROM windows JOIN (SELECT content, min(doc_id) AS first FROM windows GROUP BY content) USING (content)
+                WHERE first < doc_id),
+            gone AS (SELECT DISTINCT doc_id, i + k AS i FROM repeated, unnest(range(0, 13)) AS u(k)),
+            cut AS (SELECT doc_id, list(i) AS at FROM gone GROUP BY doc_id)
+            SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
+                   sha256(array_to_string(list_filter(w, lambda x, i: at IS NULL OR NOT list_contains(at, i)), ' ')) AS kept_sha256
+            FROM words LEFT JOIN cut USING (doc_id)""".replace("\\\\x", "\\x"),
         "op8_exact_dedup": r"""
             WITH x AS (
                 SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content
