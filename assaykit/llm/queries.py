@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assaykit.llm.bpe import read_ranks, round_trip
 from assaykit.llm.exact_dedup import exact_groups
+from assaykit.llm.line_dedup import without_repeated_lines
 from assaykit.llm.mixing import mixture
 from assaykit.llm.quality import quality_rules
 from assaykit.llm.substring_index import without_repeated_windows
@@ -36,6 +37,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), read_ranks(public_tokenizers.path(BYTE_BPE)), public_tokenizers.PATTERN)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeated_lines(documents(spark, sf_dir))
+    return out.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -49,7 +55,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_substring_index, op5_byte_bpe, op8_exact_dedup, op9_suffix_dedup, op10_mixture)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_substring_index, op5_byte_bpe, op7_line_dedup, op8_exact_dedup, op9_suffix_dedup, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -64,10 +70,21 @@ def oracle_sql() -> dict[str, str]:
                 SELECT doc_id, i FROM windows JOIN (SELECT content, min(doc_id) AS first FROM windows GROUP BY content) USING (content)
                 WHERE first < doc_id),
             gone AS (SELECT DISTINCT doc_id, i + k AS i FROM repeated, unnest(range(0, 13)) AS u(k)),
-            cut AS (SELECT doc_id, list(i) AS at FROM gone GROUP BY doc_id)
-            SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
-                   sha256(array_to_string(list_filter(w, lambda x, i: at IS NULL OR NOT list_contains(at, i)), ' ')) AS kept_sha256
-            FROM words LEFT JOIN cut USING (doc_id)""".replace("\\\\x", "\\x"),
+            cut AS (SELECT doc_id, list(i) AS places FROM gone GROUP BY doc_id)
+            SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+                   sha256(array_to_string(list_filter(w, lambda x, i: places IS NULL OR NOT list_contains(places, i)), ' ')) AS kept_sha256
+            FROM words LEFT JOIN cut USING (doc_id)""",
+        "op7_line_dedup": r"""
+            WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+            lines AS (
+                SELECT doc_id, i, l[i] AS line,
+                       translate(regexp_replace(l[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+                FROM x, unnest(range(1, len(l) + 1)) AS u(i)),
+            repeated AS (SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+            judged AS (SELECT doc_id, i, line, first IS NOT NULL AND doc_id > first AS dropped FROM lines LEFT JOIN repeated USING (key))
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+            FROM judged GROUP BY doc_id""",
         "op8_exact_dedup": r"""
             WITH x AS (
                 SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content
