@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import SPACES, parts, table
+from assaykit.llm.common import SPACES, order_id, parts, table
 
 #: Ranges over which the copies of one content may spread.
 SALTS = 32
@@ -60,10 +60,10 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_groups() keeps, with all their columns."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
-    content = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), SPACES, "").cast("binary"), 256)
-    # equal rows would all match, so they are thinned to one; only rows equal in id and content meet here
-    same = Window.partitionBy(F.col("doc_id"), F.col("_content")).orderBy(F.desc(F.char_length(F.coalesce(F.col("text"), F.lit("")))))
-    out = docs.withColumn("_content", content)
-    out = out.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_content") == F.col("text_sha256")), "left_semi")
-    return out.withColumn("_place", F.row_number().over(same)).where("_place = 1").drop("_content", "_place")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    kept = exact_groups(docs).where("kept").select(order_id().alias("_did"), F.col("text_sha256").alias("_content"))
+    # rows equal in id and content all match, and are thinned to one here
+    same = Window.partitionBy("_did", "_content").orderBy(F.desc(F.char_length(text)))
+    out = docs.withColumn("_did", order_id()).withColumn("_content", F.sha2(F.translate(text, SPACES, "").cast("binary"), 256))
+    out = out.join(kept, ["_did", "_content"], "left_semi")
+    return out.withColumn("_place", F.row_number().over(same)).where("_place = 1").select(*docs.columns)
