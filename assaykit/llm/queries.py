@@ -13,6 +13,7 @@ from assaykit.llm.exact_dedup import exact_groups
 from assaykit.llm.line_dedup import without_repeated_lines
 from assaykit.llm.mixing import mixture
 from assaykit.llm.quality import quality_rules
+from assaykit.llm.secrets import secret_spans
 from assaykit.llm.simhash import near_groups
 from assaykit.llm.substring_index import without_repeated_windows
 from assaykit.llm.suffix_dedup import without_repeated_strings
@@ -42,6 +43,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), read_ranks(public_tokenizers.path(BYTE_BPE)), public_tokenizers.PATTERN)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_spans(documents(spark, sf_dir))
+    return out.withColumn("base_sha256", F.sha2(F.col("base_spans").cast("binary"), 256)).drop("base_spans")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeated_lines(documents(spark, sf_dir))
     return out.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
@@ -60,7 +66,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_substring_index, op4_simhash, op5_byte_bpe, op7_line_dedup, op8_exact_dedup, op9_suffix_dedup, op10_mixture)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_substring_index, op4_simhash, op5_byte_bpe, op6_secrets, op7_line_dedup, op8_exact_dedup, op9_suffix_dedup, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
