@@ -17,6 +17,7 @@ from assaykit.llm.secrets import secret_spans
 from assaykit.llm.simhash import near_groups
 from assaykit.llm.substring_index import without_repeated_windows
 from assaykit.llm.suffix_dedup import without_repeated_strings
+from assaykit.llm.url_filter import judged
 
 #: Files of public tokenizers.
 BYTE_BPE, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -30,6 +31,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, public_tokenizers.path(PIECES))
 
 
+def op2_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeated_windows(documents(spark, sf_dir))
     return out.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
@@ -66,7 +71,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_substring_index, op4_simhash, op5_byte_bpe, op6_secrets, op7_line_dedup, op8_exact_dedup, op9_suffix_dedup, op10_mixture)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_ratio, op3_substring_index, op4_simhash, op5_byte_bpe, op6_secrets, op7_line_dedup, op8_exact_dedup, op9_suffix_dedup, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
