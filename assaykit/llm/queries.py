@@ -70,8 +70,14 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_ratio, op3_substring_index, op4_simhash, op5_byte_bpe, op6_secrets, op7_line_dedup, op8_exact_dedup, op9_suffix_dedup, op10_mixture)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_quality_rules, op2_url_ratio, op3_substring_index, op4_simhash, op5_byte_bpe, op6_secrets, op7_line_dedup, op8_exact_dedup, op9_suffix_dedup, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
