@@ -63,7 +63,8 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     kept = exact_groups(docs).where("kept").select(order_id().alias("_did"), F.col("text_sha256").alias("_content"))
     # rows equal in id and content all match, and are thinned to one here
-    same = Window.partitionBy("_did", "_content").orderBy(F.desc(F.char_length(text)))
-    out = docs.withColumn("_did", order_id()).withColumn("_content", F.sha2(F.translate(text, SPACES, "").cast("binary"), 256))
+    same = Window.partitionBy("_did", "_content").orderBy(F.desc("n"))
+    content = F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)
+    out = docs.select(F.struct(*docs.columns).alias("row"), order_id().alias("_did"), content.alias("_content"), F.char_length(text).alias("n"))
     out = out.join(kept, ["_did", "_content"], "left_semi")
-    return out.withColumn("_place", F.row_number().over(same)).where("_place = 1").select(*docs.columns)
+    return out.withColumn("place", F.row_number().over(same)).where("place = 1").select("row.*")

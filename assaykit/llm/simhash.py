@@ -211,6 +211,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all its columns; of repeated ids one row."""
     groups = near_groups(docs)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(order_id().alias("_did")).distinct()
-    one = Window.partitionBy("_did").orderBy(F.xxhash64("text"))
-    out = docs.withColumn("_did", order_id()).join(kept, "_did", "left_semi")
-    return out.withColumn("_place", F.row_number().over(one)).where("_place = 1").select(*docs.columns)
+    one = Window.partitionBy("_did").orderBy(F.xxhash64("row.text"))
+    out = docs.select(F.struct(*docs.columns).alias("row"), order_id().alias("_did")).join(kept, "_did", "left_semi")
+    return out.withColumn("place", F.row_number().over(one)).where("place = 1").select("row.*")

@@ -120,7 +120,7 @@ def judged(pages: DataFrame, rules: Sequence[UrlRule] = RULES, order: int = ORDE
     """One row per row of pages: page_id, host, path, rule, verdict, score.
 
     A rule decides where one fits; elsewhere a score above the threshold blocks. The threshold is where the calibration
-    fold's errors, each class weighing the same, are fewest, the highest such place. A null url, one without "://", and
+    fold's errors, each class weighing the same, are fewest, amid the highest such stretch. A null url, one without "://", and
     the case that the rules leave a class empty (nothing to learn from) are allowed with score 0. Other columns are
     ignored; an empty table gives an empty result.
     """
@@ -160,13 +160,15 @@ def judged(pages: DataFrame, rules: Sequence[UrlRule] = RULES, order: int = ORDE
 
 
 def threshold_of(histogram: np.ndarray) -> float:
-    """The score above which to block: least error over both classes, each weighing the same; 0 without both classes."""
+    """The score above which to block: least error over both classes, each weighing the same, amid the highest stretch of
+    such scores; 0 without both classes."""
     n = histogram.sum(1)
     if not n.all():
         return 0.0
     allowed_above = (n[0] - np.cumsum(histogram[0])) / n[0]
     blocked_below = np.cumsum(histogram[1]) / n[1]
     errors = allowed_above + blocked_below
-    best = len(errors) - 1 - int(np.argmin(errors[::-1]))
-    return (best + 1) * (2 * SPAN / BINS) - SPAN
+    least = np.flatnonzero(errors == errors.min())
+    start = least[-1] - np.argmax(np.r_[np.diff(least)[::-1] != 1, True])  # of the highest run of such places
+    return ((start + least[-1]) / 2 + 1) * (2 * SPAN / BINS) - SPAN
 
