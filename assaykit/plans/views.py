@@ -92,6 +92,42 @@ VIEWS = {
         ),
         "l_linenumber <= 6",
     ),
+    "surface_record": View(
+        "customer",
+        (
+            ("surface", _case("c_custkey % 7", {0: "runtime-code", 1: "verification", 2: "generated-surfaces"}, "concat('s', CAST(c_custkey AS STRING))")),
+            ("weight", "c_custkey % 7"),
+            ("coverage", _case(f"{_div('c_custkey', 3)} % 8", {0: "sampled", 1: "inventory-only", 2: "unavailable", 3: "not-applicable", 4: "seen"}, "'inspected'")),
+            ("quality", _case(f"{_div('c_custkey', 2)} % 7", {0: "moderate", 1: "weak", 2: "none", 3: "odd"}, "'strong'")),
+            ("reason", "CASE WHEN c_custkey % 2 = 0 THEN 'why' END"),
+            ("evidence", _case("c_custkey % 5", {0: "claim", 1: "path", 2: "note"})),
+        ),
+    ),
+    "command_record": View(
+        "events",
+        (
+            ("command_id", "CAST(event_id AS STRING)"),
+            ("command", "CASE WHEN event_id % 19 <> 0 THEN 'run' END"),
+            ("kind", _case("event_type", {"'click'": "test", "'view'": "build", "'error'": "lint", "'signup'": "other"}, "'odd'")),
+            ("result", _case("event_id % 5", {0: "pass", 1: "fail", 2: "error", 3: "skipped"}, "CASE WHEN event_id % 3 = 0 THEN 'what' ELSE 'pass' END")),
+            ("exit_code", "CASE WHEN event_id % 4 <> 0 THEN event_id % 3 END"),
+            ("elapsed", "CASE WHEN event_id % 7 <> 0 THEN value END"),
+            ("reason", "CASE WHEN event_id % 2 = 0 THEN 'why' END"),
+        ),
+    ),
+    "support": View(
+        "orders",
+        (
+            ("lane", "concat('l', CAST(o_custkey % 30 AS STRING))"),
+            ("dimension", "concat('d', CAST(o_orderkey % 6 AS STRING))"),
+            ("level", f"{_div('o_custkey', 30)} % 1 + o_orderkey % 6 - 1"),
+            ("claim_id", f"CAST({_div('o_orderkey', 2)} AS STRING)"),
+            ("support", _case("o_orderkey % 9", {0: " ", 1: "Same"}, "CASE WHEN o_orderkey % 2 = 0 THEN 'same ' ELSE concat('s', CAST(o_orderkey AS STRING)) END")),
+            ("ordinal", "o_orderkey"),
+        ),
+        "o_orderkey % 6 > 0",
+    ),
+    "health_claim": View("orders", (("claim_id", "CAST(o_orderkey AS STRING)"), ("lane", "concat('l', CAST(o_custkey % 30 AS STRING))"), ("result", _case("o_orderstatus", {"'F'": "pass", "'O'": "partial"}, "CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE 'fail' END"))), "o_orderkey % 11 <> 0"),
     "command": View(
         "events",
         (

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions import scalars
-from assaykit.operators import delta, evidence, findings, graph, health, ledger, lint, scores, similar, tracker
+from assaykit.operators import delta, evidence, findings, graph, health, health_rules, ledger, lint, scores, similar, tracker
 from assaykit.plans.views import VIEWS, view
 from assaykit.sources import readers
 from assaykit.streaming import sessions
@@ -238,6 +238,47 @@ def health_determinism(spark, d):
     return health.determinism(view(spark, d, "claim").select(F.col("packet_id").alias("repository"), F.col("status").alias("verification")))
 
 
+@query(
+    "health_surface_rules",
+    "WITH s AS (SELECT *, coverage <> 'seen' AS known FROM {surface_record}) SELECT surface AS subject_id, 'surface-weight-range' AS code FROM s WHERE weight < 1 OR weight > 5 UNION ALL SELECT surface, 'surface-state-unknown' FROM s WHERE NOT known"
+    " UNION ALL SELECT surface, 'surface-evidence-missing' FROM s WHERE known AND evidence IS NULL UNION ALL SELECT surface, 'core-surface-not-applicable' FROM s WHERE coverage = 'not-applicable' AND surface IN ('runtime-code', 'verification')"
+    " UNION ALL SELECT surface, 'surface-reason-missing' FROM s WHERE coverage IN ('not-applicable', 'unavailable') AND reason IS NULL UNION ALL SELECT surface, 'evidence-quality-unknown' FROM s WHERE known AND coverage <> 'not-applicable' AND quality = 'odd'"
+    " UNION ALL SELECT surface, 'surface-evidence-weak' FROM s WHERE known AND coverage <> 'not-applicable' AND quality = 'strong' AND evidence = 'note' UNION ALL SELECT surface, 'coverage-evidence-mismatch' FROM s WHERE coverage = 'inspected' AND quality IN ('weak', 'none')",
+)
+def health_surface_rules(spark, d):
+    x = view(spark, d, "surface_record").withColumn("evidence_kinds", F.when(F.col("evidence").isNotNull(), F.array("evidence")))
+    return health_rules.surface_findings(x).select("subject_id", "code")
+
+
+@query(
+    "health_command_rules",
+    "WITH c AS (SELECT *, result <> 'what' AS known FROM {command_record}) SELECT command_id AS subject_id, 'command-shape' AS code, 'command' AS path FROM c WHERE command IS NULL UNION ALL SELECT command_id, 'command-shape', 'kind' FROM c WHERE kind = 'odd' UNION ALL SELECT command_id, 'command-shape', 'result' FROM c WHERE NOT known"
+    " UNION ALL SELECT command_id, 'command-metrics', 'exit_code' FROM c WHERE result = 'skipped' AND (exit_code IS NOT NULL OR elapsed IS NOT NULL) UNION ALL SELECT command_id, 'command-metrics', 'reason' FROM c WHERE result = 'skipped' AND reason IS NULL"
+    " UNION ALL SELECT command_id, 'command-metrics', 'exit_code' FROM c WHERE known AND result <> 'skipped' AND exit_code IS NULL UNION ALL SELECT command_id, 'command-metrics', 'elapsed' FROM c WHERE known AND result <> 'skipped' AND elapsed IS NULL"
+    " UNION ALL SELECT command_id, 'command-inconsistent', 'result' FROM c WHERE result = 'pass' AND exit_code <> 0 OR result = 'fail' AND exit_code = 0",
+)
+def health_command_rules(spark, d):
+    return health_rules.command_findings(view(spark, d, "command_record")).select("subject_id", "code", "path")
+
+
+@query(
+    "health_dimension_rules",
+    "WITH x AS (SELECT s.*, c.lane AS cl, result, lower(trim(coalesce(support, ''))) AS k FROM {support} s LEFT JOIN {health_claim} c ON c.claim_id = s.claim_id), g AS (SELECT * FROM x WHERE cl = lane),"
+    " f AS (SELECT lane, claim_id, k, arg_min(dimension, ordinal) AS first FROM g GROUP BY ALL), p AS (SELECT lane, dimension, max(level) AS level, bool_or(result IN ('pass', 'partial')) AS any_good, bool_or(result = 'pass') AS passes, bool_and(result = 'unknown') AS unproved, bool_and(result = 'pass') AS clean FROM g GROUP BY ALL)"
+    " SELECT lane, dimension, CASE WHEN cl IS NULL THEN 'dimension-claim-unknown' ELSE 'dimension-claim-foreign' END AS code, claim_id FROM x WHERE cl IS NULL OR cl <> lane UNION ALL SELECT lane, dimension, 'claim-ref-support-missing', claim_id FROM {support} WHERE trim(support) = ''"
+    " UNION ALL SELECT DISTINCT g.lane, dimension, 'claim-ref-duplicate-support', g.claim_id FROM g JOIN f ON f.lane = g.lane AND f.claim_id = g.claim_id AND f.k = g.k WHERE dimension <> first"
+    " UNION ALL SELECT lane, dimension, 'dimension-incoherent', NULL FROM p WHERE level >= 2 AND NOT any_good OR level >= 4 AND NOT passes OR level > 1 AND unproved OR level <= 1 AND clean",
+)
+def health_dimension_rules(spark, d):
+    return health_rules.dimension_findings(view(spark, d, "support"), view(spark, d, "health_claim"))
+
+
+@query("health_evidence_links", "SELECT surface, 'claim' AS kind, CAST(weight * 11 AS STRING) AS ref FROM {surface_record} WHERE CAST(weight * 11 AS STRING) NOT IN (SELECT claim_id FROM {health_claim})")
+def health_evidence_links(spark, d):
+    refs = view(spark, d, "surface_record").select("surface", F.lit("claim").alias("kind"), (F.col("weight") * 11).cast("string").alias("ref"))
+    return health_rules.evidence_links(refs, view(spark, d, "health_claim"), view(spark, d, "command_record"))
+
+
 # Changes between snapshots: of a key's rows the greatest counts
 
 

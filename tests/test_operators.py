@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaykit.functions import scalars
-from assaykit.operators import delta, evidence, findings, graph, health, ledger, lint, scores, similar, tracker
+from assaykit.operators import delta, evidence, findings, graph, health, health_rules, ledger, lint, scores, similar, tracker
 from assaykit.sources import readers
 from assaykit.streaming import sessions
 
@@ -242,3 +242,13 @@ def test_stream_equals_batch(spark, tmp_path, kind):
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     sessions.run_available(stream(reader), lambda df, _: got.extend(df.collect()), str(tmp_path / "state"))
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+
+
+def test_sprawl_caps_and_lanes(spark):
+    rows = [(1, "stale_reachable_paths", {"claim_id": "c", "path": "p", "note": "n"}, None), (2, "stale_reachable_paths", {"claim_id": "c"}, None), (3, "competing_authoritative_implementations", {"claim_id": "c", "group": "g"}, ["a", "a"]), (4, "duplicated_contract_representations", {"claim_id": "c", "contract": "g"}, ["a", "b"]), (5, "odd", {}, None)]
+    got = {(r.subject_id, r.code) for r in health_rules.sprawl_findings(spark.createDataFrame(rows, "id int, kind string, fields map<string,string>, members array<string>")).collect()}
+    assert got == {("2", "sprawl-entry"), ("3", "sprawl-entry"), ("5", "sprawl-kind-unknown")}
+    lanes = lambda *xs: spark.createDataFrame([(x,) for x in xs], "lane string")
+    assert {(r.lane, r.code) for r in health_rules.optional_lanes(lanes("a", "b"), lanes("b", "c")).collect()} == {("a", "lane-declared-not-scored"), ("c", "lane-scored-not-declared")}
+    caps = lambda *xs: spark.createDataFrame([("r", x) for x in xs], "repository string, cap string")
+    assert {(r.cap, r.code) for r in health_rules.cap_differences(caps("x", "y"), caps("y", "z")).collect()} == {("x", "cap-declared-not-fired"), ("z", "cap-fired-not-declared")}
