@@ -25,7 +25,7 @@ from assaykit.llm.common import chunks, ranges
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose distinct words are encoded together.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 
 
 def read_ranks(path: str) -> tuple[bytes, ...]:

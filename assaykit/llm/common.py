@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.functions.shared import shared_folder, table  # noqa: F401  shared_folder and table are used through here
+
 #: The white space that separates words in every operator here (fixed value).
 SPACES = " \t\n\x0b\x0c\r"
 #: A word as a Java regular expression (fixed value).
@@ -21,20 +22,6 @@ LAST_ID = 2**63 - 1
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return told or "file:///tmp/checkpoints"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table() that nothing reads any more."""
     spark = df.sparkSession
@@ -53,21 +40,37 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(order_id().alias("did"), F.xxhash64(text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 400) -> None:
+    """Lets Arrow batches have so many rows at most, which bounds what a Python worker and the JVM hold of long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def parts(df: DataFrame, floor: int = 1) -> int:
     """The session's number of shuffle partitions."""
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that each has about `size` bytes of text, one row at least."""
+    """Cuts and joins record batches so that each has up to `size` bytes of text, or one row."""
+    held, have = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        piece = np.cumsum(lengths) // size
+        upto = np.cumsum(lengths)
+        piece = upto // size
         starts = np.r_[0, np.flatnonzero(piece[1:] != piece[:-1]) + 1, batch.num_rows]
         for a, b in zip(starts[:-1], starts[1:], strict=True):
-            yield batch.slice(a, b - a)
+            new = int(upto[b - 1] - upto[a] + lengths[a])
+            if held and have + new > size:
+                yield pa.concat_batches(held)
+                held, have = [], 0
+            held.append(batch.slice(a, b - a))
+            have += new
+    if held:
+        yield pa.concat_batches(held)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -148,7 +148,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     hashes = lines.select("did", "rid", F.explode("hashes").alias("hash")).join(table(suspected(lines, n, count), "line-suspects"), "hash", "left_semi")
     asked = hashes.groupBy("did").agg(F.collect_set("hash").alias("hashes"))
     found = table(suspected_lines(rows.repartition(n, "did").join(asked, "did")), "line-keys")
-    first = found.groupBy("key").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last")
+    # a table of its own, so that the join below shuffles both sides and a very common line can be split
+    first = table(found.groupBy("key").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last"), "line-firsts")
     gone = found.join(first, "key").where("did > first").groupBy("did", "rid").agg(F.flatten(F.collect_list("places")).alias("places"))
     # a repeated row's lines come once for each row, which changes nothing
     gone = gone.groupBy("did").agg(F.collect_list(F.struct("rid", "places")).alias("gone"))

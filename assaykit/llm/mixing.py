@@ -111,7 +111,8 @@ def mixed_pieces(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int =
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     full = placed.where("size > 0").withColumn("name", name)
     full = full.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))))
-    pieces = full.join(uses, ["name", "block"]).select(
+    # the planner takes uses, which a few rows explode to, for small, and would broadcast it
+    pieces = full.join(uses.hint("merge"), ["name", "block"]).select(
         "doc_id",
         "rid",
         "source",
@@ -134,7 +135,7 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARD
     rows, pieces = mixed_pieces(docs, block_words, shards)
     # a place in a source's stream belongs to one row with words
     taken = pieces.groupBy(F.col("source").alias("s"), F.col("start").alias("p")).agg(F.sum(F.col("uses") * (F.col("to_word") - F.col("from_word"))).alias("taken"))
-    rows = rows.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("p")) & (F.col("size") > 0), "left")
+    rows = rows.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("p")) & (F.col("size") > 0), "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
 
 
@@ -145,13 +146,13 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -
     text. Further columns of docs are kept.
     """
     _, pieces = mixed_pieces(docs, block_words, shards)
-    drawn = pieces.groupBy(F.col("doc_id").alias("d"), "rid").agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word", "uses"))).alias("_drawn"))
+    drawn = pieces.groupBy(F.col("doc_id").alias("d"), F.col("rid").alias("r")).agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word", "uses"))).alias("drawn"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_rid", F.xxhash64(text)).join(drawn, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_rid") == F.col("rid")))
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    out = out.withColumn("_words", words)
-    piece = lambda p: F.array_repeat(F.array_join(F.slice(F.col("_words"), (p["from_word"] + 1).cast("int"), (p["to_word"] - p["from_word"]).cast("int")), " "), p["uses"].cast("int"))
-    out = out.withColumn("text", F.array_join(F.flatten(F.transform("_drawn", piece)), " "))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(text).alias("h"))
+    out = out.join(drawn.hint("merge"), F.col("i").eqNullSafe(F.col("d")) & (F.col("h") == F.col("r")))
+    # a lambda's variable holds the words, which are split once a row and after the shuffle
+    words = F.array(F.regexp_extract_all(F.col("row.text"), F.lit(f"({WORD})"), F.lit(1)))
+    piece = lambda w, p: F.array_repeat(F.array_join(F.slice(w, (p["from_word"] + 1).cast("int"), (p["to_word"] - p["from_word"]).cast("int")), " "), p["uses"].cast("int"))
+    out = out.withColumn("text", F.element_at(F.transform(words, lambda w: F.array_join(F.flatten(F.transform("drawn", lambda p: piece(w, p))), " ")), 1))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

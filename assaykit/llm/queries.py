@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm.bpe import read_ranks, round_trip
+from assaykit.llm.common import bounded_batches
 from assaykit.llm.exact_dedup import exact_groups
 from assaykit.llm.line_dedup import without_repeated_lines
 from assaykit.llm.mixing import mixture
 from assaykit.llm.quality import quality_rules
-from assaykit.llm.secrets import secret_spans
+from assaykit.llm.secrets import RULES, secret_spans
 from assaykit.llm.simhash import near_groups
 from assaykit.llm.substring_index import without_repeated_windows
 from assaykit.llm.suffix_dedup import without_repeated_strings
@@ -24,6 +25,7 @@ BYTE_BPE, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -80,8 +82,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": pipeline} | {f.__name__: f for f in (op1_quality_rules, op2_url_ratio, op3_substring_index, op4_simhash, op5_byte_bpe, op6_secrets, op7_line_dedup, op8_exact_dedup, op9_suffix_dedup, op10_mixture)}
 
 
+def _secrets_sql() -> str:
+    """Places of matches from the texts between them: one SELECT a rule."""
+    quoted = lambda s: s.replace("'", "''")
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(text, '{quoted(r.pattern)}') AS w, regexp_extract_all(text, '{quoted(r.pattern)}', {r.group}) AS g, string_split_regex(text, '{quoted(r.pattern)}') AS s FROM t"
+        for k, r in enumerate(RULES)
+    )
+    return f"""
+            WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({each}),
+            e AS (
+                SELECT doc_id, k, kind, length(w[i]) AS n, length(g[i]) >= least AS ok,
+                       coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS start
+                FROM m, unnest(range(1, len(w) + 1)) AS u(i)),
+            f AS (SELECT doc_id, k, start, concat(kind, ':', start::BIGINT, ':', (start + n)::BIGINT) AS told FROM e WHERE ok),
+            a AS (
+                SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                       string_agg(told, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(told, ',' ORDER BY start, k) AS spans
+                FROM f GROUP BY doc_id)
+            SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+                   coalesce(spans, '') AS spans, sha256(coalesce(base, '')) AS base_sha256
+            FROM documents LEFT JOIN a USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_secrets": _secrets_sql(),
         "op3_substring_index": r"""
             WITH words AS (
                 SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

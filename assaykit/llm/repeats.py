@@ -16,15 +16,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import chunks, mixed, ranges
 
 #: Symbols hashed at once; longer texts go in overlapping pieces. Bytes of text whose anchors are packed together.
-PIECE, BATCH_BYTES = 1 << 20, 24 << 20
+PIECE, BATCH_BYTES = 1 << 17, 16 << 20
 #: Bytes of stretches that are combined before they are sent.
-SENT_TOGETHER = 16 << 20
+SENT_TOGETHER = 8 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=U64))
@@ -53,7 +53,7 @@ class Words(dict):
     """Hashes of words, forgotten when there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -122,10 +122,12 @@ def _piece(held: list, scheme: Scheme):
     joined = b"".join(cut) if scheme.kind == "byte" else [w for s in cut for w in s]
     hashes = gram_hashes(scheme.values(joined), scheme.gram)
     anchor = anchor_places(hashes, scheme.width)
+    # least hashes crowd at the low end, so fingerprints are spread anew: buckets are ranges of them
+    marks = mixed(hashes) >> U64(16)
     first = np.cumsum(lengths) - lengths
     windows = np.maximum(lengths - scheme.window + 1, 0)
     at = ranges(first, windows)
-    return {i: s for i, _, s in held}, np.repeat(np.array([i for i, _, _ in held]), windows), at - np.repeat(first - np.array([a for _, a, _ in held]), windows), anchor[at] - at, hashes[anchor[at]] >> U64(16)
+    return {i: s for i, _, s in held}, np.repeat(np.array([i for i, _, _ in held]), windows), at - np.repeat(first - np.array([a for _, a, _ in held]), windows), anchor[at] - at, marks[anchor[at]]
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -147,30 +149,28 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return [np.cumsum(out[0]), *out[1:]]
 
 
-def by_document(dids: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The marks of each document, as bytes."""
-    if not len(dids):
-        return
-    order = np.lexsort((marks, dids))
-    dids, marks = dids[order], marks[order]
-    cuts = np.flatnonzero(dids[1:] != dids[:-1]) + 1
-    for d, m in zip(dids[np.r_[0, cuts]].tolist(), np.split(marks, cuts), strict=True):
-        yield d, m.astype(np.int64).tobytes()
+def answers(dids: np.ndarray, marks: np.ndarray, targets: int) -> Iterator[tuple[int, bytes]]:
+    """Documents and their marks, packed for each of so many targets that the documents are dealt to."""
+    target = (mixed(dids.astype(U64)) % U64(targets)).astype(np.int64)
+    order = np.lexsort((dids, target))
+    for t, a, z in zip(*_cuts(target[order]), strict=True):
+        at = order[a:z]
+        yield t, packed(dids[at], marks[at])
 
 
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.types, strict=True)], schema=schema)
 
 
-MARKS = pa.schema([("bucket", pa.int32()), ("did", pa.int64()), ("data", pa.binary())])
+MARKS = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
 
 def anchor_blocks(docs: DataFrame, scheme: Scheme, buckets: int, alone: bool) -> DataFrame:
-    """Round 1, before the shuffle: rows bucket, did, data.
+    """Round 1, before the shuffle: rows bucket, data.
 
-    did null: a block of the bucket, packed marks with their documents' dids (-1: the mark is known to be repeated and
-    nobody waits for an answer). did set: marks of that document that are repeated for sure. alone: whether a mark that
-    one document has twice is a repeat.
+    From 0 on: a block of the bucket, packed marks with their documents' dids (-1: the mark is known to be repeated and
+    nobody waits for an answer). Below: packed dids with marks of theirs that are repeated for sure, for the target
+    -1 - bucket. alone: whether a mark that one document has twice is a repeat.
     """
 
     def run(batches):
@@ -190,18 +190,21 @@ def anchor_blocks(docs: DataFrame, scheme: Scheme, buckets: int, alone: bool) ->
             starts = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
             ends = np.r_[starts[1:], len(mark)]
             twice = (ends - starts > 1) if alone else did[starts] != did[ends - 1]
-            rows = [(-1 - int(d % buckets), d, m) for d, m in by_document(did[twice[group]], mark[twice[group]])]
+            sure = twice[group]
+            rows = [(-1 - t, x) for t, x in answers(did[sure], mark[sure], buckets)]
             wait = np.where(twice, -1, did[starts])
             lead = mark[starts]
             bucket = lead * buckets >> 48
             for b, a, z in zip(*_cuts(bucket), strict=True):
-                rows.append((b, None, packed(lead[a:z], wait[a:z])))
+                rows.append((b, packed(lead[a:z], wait[a:z])))
             yield table_of(rows, MARKS)
 
-    return docs.select("did", "text").mapInArrow(run, "bucket int, did long, data binary")
+    return docs.select("did", "text").mapInArrow(run, "bucket int, data binary")
 
 
 def _cuts(sorted_keys: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    if not len(sorted_keys):
+        return [], [], []
     starts = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
     return sorted_keys[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(sorted_keys)]
 
@@ -234,60 +237,77 @@ def grouped(batches, key: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
         yield now, held
 
 
-HITS = pa.schema([("did", pa.int64()), ("data", pa.binary())])
+HITS = pa.schema([("target", pa.int32()), ("data", pa.binary())])
 
 
 def matched_anchors(blocks: DataFrame, n: int, alone: bool) -> DataFrame:
-    """Round 1, after the shuffle: rows did, data (repeated marks)."""
+    """Round 1, after the shuffle to n buckets: rows target, data (packed dids and repeated marks)."""
 
     def run(batches):
         for bucket, held in grouped(batches, "bucket"):
             if bucket < 0:
                 for b in held:
-                    yield b.select(["did", "data"]).cast(HITS)
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket] * b.num_rows, pa.int32()), b.column("data")], schema=HITS)
                 continue
             both = [unpacked(x) for b in held for x in b.column("data").to_pylist()]
-            rows = list(by_document(*repeated_marks(*(np.concatenate([x[k] for x in both]) for k in (0, 1)), alone)))
-            yield table_of(rows, HITS)
+            found = repeated_marks(*(np.concatenate([x[k] for x in both]) for k in (0, 1)), alone)
+            yield table_of(list(answers(*found, n)), HITS)
 
-    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "did long, data binary")
+    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "target int, data binary")
 
 
-STRETCHES = pa.schema([("mark", pa.int64()), ("content", pa.binary()), ("did", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("anchor", pa.int32()), ("windows", pa.int32()), ("data", pa.binary())])
-STRETCH_DDL = "mark long, content binary, did long, rid long, start long, anchor int, windows int, data binary"
+ASKED = pa.schema([("did", pa.int64()), ("marks", pa.binary())])
+
+
+def asked_marks(hits: DataFrame, n: int) -> DataFrame:
+    """did, marks (distinct, sorted, as bytes): a row a document, from the packed answers of its target."""
+
+    def run(batches):
+        for _, held in grouped(batches, "target"):
+            both = [unpacked(x) for b in held for x in b.column("data").to_pylist()]
+            did, mark = (np.concatenate([x[k] for x in both]) for k in (0, 1))
+            order = np.lexsort((mark, did))
+            did, mark = did[order], mark[order]
+            new = np.r_[True, (did[1:] != did[:-1]) | (mark[1:] != mark[:-1])]
+            did, mark = did[new], mark[new]
+            yield table_of([(d, mark[a:z].tobytes()) for d, a, z in zip(*_cuts(did), strict=True)], ASKED)
+
+    return hits.repartition(n, "target").sortWithinPartitions("target").mapInArrow(run, "did long, marks binary")
+
+
+STRETCHES = pa.schema([("mark", pa.int64()), ("content", pa.binary()), ("did", pa.int64()), ("rid", pa.int64()), ("anchor", pa.int32()), ("windows", pa.int32()), ("data", pa.binary())])
+STRETCH_DDL = "mark long, content binary, did long, rid long, anchor int, windows int, data binary"
 
 
 def stretches(docs: DataFrame, scheme: Scheme, within: bool) -> DataFrame:
-    """Round 2, before the shuffle. docs: did, rid, text, marks (repeated, as bytes in an array).
+    """Round 2, before the shuffle. docs: did, rid, text, marks (those that are repeated, as bytes).
 
-    Rows: a stretch of windows with one repeated anchor (content, first symbol `start`, the anchor's distance from it,
-    number of windows), or, with data set, spans of symbols of did and rid to remove for sure. within: whether a window
-    that stands earlier in the same document counts.
+    Rows: a stretch of windows with one repeated anchor (mark and content; the anchor's distance from its start, the
+    number of windows, in data the places in did and rid where it starts), or, with a negative mark, in data spans of
+    symbols of did and rid to remove for sure. within: whether a window that stands earlier in the same document counts.
     """
 
     def flush(held: dict) -> pa.RecordBatch:
         rows, sure = [], {}
         for (content, mark, anchor, windows), found in held.items():
-            if len(found) > 1:
-                found.sort()
-                first = found[0][:2] if within else found[0][:1]
-                for o in found:
-                    if (o[:2] if within else o[:1]) == first:
-                        rows.append((mark, content, o[0], o[2], o[1], anchor, windows, None))
-                    else:
-                        sure.setdefault((o[0], o[2]), []).append((o[1], o[1] + windows + scheme.window - 1))
-            else:
-                o = found[0]
-                rows.append((mark, content, o[0], o[2], o[1], anchor, windows, None))
+            found.sort()
+            first, asked = found[0][:2] if within else found[0][:1], {}
+            for did, start, rid in found:
+                if ((did, start) if within else (did,)) == first:
+                    asked.setdefault((did, rid), []).append(start)
+                else:
+                    sure.setdefault((did, rid), []).append((start, start + windows + scheme.window - 1))
+            for (did, rid), starts in asked.items():
+                rows.append((mark, content, did, rid, anchor, windows, np.array(starts, np.int64).tobytes()))
         for (did, rid), spans in sure.items():
-            rows.append((-1 - (did ^ rid) % 1_000_003, None, did, rid, None, None, None, np.array(spans, np.int64).tobytes()))
+            rows.append((-1 - (did ^ rid) % 1_000_003, None, did, rid, None, None, np.array(spans, np.int64).tobytes()))
         return table_of(rows, STRETCHES)
 
     def run(batches):
         held, size = {}, 0
         for batch in chunks(batches):
             dids, rids = batch.column("did").to_pylist(), batch.column("rid").to_pylist()
-            marks = [np.concatenate([np.frombuffer(x, np.int64) for x in m]) for m in batch.column("marks").to_pylist()]
+            marks = [np.frombuffer(m, np.int64) for m in batch.column("marks").to_pylist()]
             for symbols, doc, start, anchor, mark in pieces([t or "" for t in batch.column("text").to_pylist()], scheme):
                 number = {d: i for i, d in enumerate(symbols)}
                 local = np.array([number[d] for d in np.unique(doc).tolist()], U64)
@@ -341,12 +361,6 @@ def whole_copies(docs: DataFrame) -> DataFrame:
     return thin.join(first, "digest").where("did > first").select("did")
 
 
-def text_and(docs: DataFrame, other: DataFrame, name: str, value: Column, n: int, how: str) -> DataFrame:
-    """docs, shuffled by did once for all uses, with `name`: an array of other's values for that did."""
-    by_did = other.groupBy("did").agg(F.collect_list(value).alias(name))
-    return docs.repartition(n, "did").join(by_did, "did", how)
-
-
 Resolver = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -356,9 +370,10 @@ def removable(docs: DataFrame, hits: DataFrame, scheme: Scheme, resolve: Resolve
     A whole copy's span is everything. The documents with repeated marks go through round 2.
     """
     copies = whole_copies(docs)
-    asked = hits.join(copies, "did", "left_anti")
-    found = stretches(text_and(docs, asked, "marks", F.col("data"), n, "inner").select("did", "rid", "doc_id", "text", "marks"), scheme, within)
+    asked = asked_marks(hits, n).join(copies, "did", "left_anti")
+    found = stretches(docs.repartition(n, "did").join(asked, "did").select("did", "rid", "doc_id", "text", "marks"), scheme, within)
     spans = found.repartition(n, "mark").sortWithinPartitions("mark").mapInArrow(resolve, SPAN_DDL)
     everything = np.array([0, 2**62], np.int64).tobytes()
     spans = spans.unionByName(copies.select("did", F.lit(None).cast("long").alias("rid"), F.lit(everything).alias("data")))
-    return text_and(docs, spans, "spans", F.struct("rid", "data"), n, "left").select("did", "rid", "doc_id", "text", "spans")
+    spans = spans.groupBy("did").agg(F.collect_list(F.struct("rid", "data")).alias("spans"))
+    return docs.repartition(n, "did").join(spans, "did", "left").select("did", "rid", "doc_id", "text", "spans")

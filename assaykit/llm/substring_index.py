@@ -21,7 +21,7 @@ from assaykit.llm.repeats import SPANS, Scheme, anchor_blocks, grouped, joined_s
 
 #: Words in a window, and in the grams of which a window's anchor is the least.
 WINDOW, GRAM = 13, 6
-RUN_DDL = "bucket int, did long, data binary"
+RUN_DDL = "bucket int, data binary"
 
 
 class WindowIndex:
@@ -38,13 +38,13 @@ class WindowIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """Merge-joins the batch (did, text) with the runs and keeps its entries as a new run.
 
-        Returns did, data: repeated marks of the batch's documents and of older documents that share them.
+        Returns target, data: packed, repeated marks of the batch's documents and of older documents that share them.
         """
         blocks = table(anchor_blocks(batch, self.scheme, self.buckets, alone=False), "window-run")
         met = blocks
         for run in self.runs:
             met = met.unionByName(run.where("bucket >= 0"))
-        hits = table(matched_anchors(met, parts(batch), alone=False), "window-hits")
+        hits = table(matched_anchors(met, self.buckets, alone=False), "window-hits")
         self.runs.append(blocks)
         if len(self.runs) > self.fan_in:
             self.compact()
@@ -62,7 +62,7 @@ class WindowIndex:
                 starts = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
                 # what has met was reported then; rows with one did haven't met
                 known = (wait[starts] == -1) | (wait[starts] != wait[np.r_[starts[1:], len(mark)] - 1])
-                yield table_of([(bucket, None, packed(mark[starts], np.where(known, -1, wait[starts])))], RUN)
+                yield table_of([(bucket, packed(mark[starts], np.where(known, -1, wait[starts])))], RUN)
 
         met = self.runs[0]
         for run in self.runs[1:]:
@@ -73,7 +73,7 @@ class WindowIndex:
         self.runs = [new]
 
 
-RUN = pa.schema([("bucket", pa.int32()), ("did", pa.int64()), ("data", pa.binary())])
+RUN = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
 
 def resolver(scheme: Scheme):
@@ -85,24 +85,24 @@ def resolver(scheme: Scheme):
                 for b in held:
                     yield b.select(["did", "rid", "data"]).cast(SPANS)
                 continue
-            stretches = sorted(((d, r, s, c) for b in held for d, r, s, c in zip(*(b.column(k).to_pylist() for k in ("did", "rid", "start", "content")), strict=True)), key=lambda x: x[0])
+            stretches = sorted(((d, r, s, c) for b in held for d, r, s, c in zip(*(b.column(k).to_pylist() for k in ("did", "rid", "data", "content")), strict=True)), key=lambda x: x[0])
             if len(stretches) < 2:
                 continue
             first: dict[bytes, int] = {}
             rows = []
-            for did, rid, start, content in stretches:
+            for did, rid, starts, content in stretches:
                 at, words = [0], content.split()
                 for w in words:
                     at.append(at[-1] + len(w) + 1)
                 spans = []
                 for i in range(len(words) - scheme.window + 1):
                     if first.setdefault(content[at[i] : at[i + scheme.window] - 1], did) < did:
-                        if spans and spans[-1][1] >= start + i:
-                            spans[-1][1] = start + i + scheme.window
+                        if spans and spans[-1][1] >= i:
+                            spans[-1][1] = i + scheme.window
                         else:
-                            spans.append([start + i, start + i + scheme.window])
+                            spans.append([i, i + scheme.window])
                 if spans:
-                    rows.append((did, rid, np.array(spans, np.int64).tobytes()))
+                    rows.append((did, rid, (np.frombuffer(starts, np.int64)[:, None, None] + np.array(spans)).tobytes()))
             if rows:
                 yield table_of(rows, SPANS)
 

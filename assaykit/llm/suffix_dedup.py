@@ -20,8 +20,8 @@ from assaykit.llm.repeats import SPANS, Scheme, anchor_blocks, grouped, joined_s
 
 #: Bytes in a string, and in the grams of which its cover position begins the least.
 WINDOW, GRAM = 100, 50
-#: Stretches ranked together; whole buckets, so a block may have more.
-BLOCK = 16_000
+#: Stretches ranked together (whole buckets, so a block may have more), and stretches whose contexts are cut at once.
+BLOCK, CUT = 6_000, 2_000
 
 
 def ranked(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,19 +41,28 @@ def classes(order: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def contexts(data: np.ndarray, base: np.ndarray, lengths: np.ndarray, anchor: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes from each cover position on, and those before it in reverse, filled up with zeros."""
+    right, left = np.zeros((len(base), pad), np.uint8), np.zeros((len(base), pad), np.uint8)
+    after, before = np.arange(pad), np.arange(1, pad + 1)
+    for i in range(0, len(base), CUT):
+        part = slice(i, i + CUT)
+        at = (base[part] + anchor[part])[:, None]
+        right[part] = np.where(after < (lengths[part] - anchor[part])[:, None], data[np.minimum(at + after, len(data) - 1)], 0)
+        left[part] = np.where(before <= anchor[part][:, None], data[np.maximum(at - before, 0)], 0)
+    return right, left
+
+
 def block_spans(marks: list[int], contents: list[bytes], anchor: np.ndarray, windows: np.ndarray, did: np.ndarray, start: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:
     """For each stretch of a block, spans of its document's bytes in windows that stand earlier."""
     pad = (window + 7) // 8 * 8
     lengths = np.array([len(c) for c in contents], np.int64)
     data = np.frombuffer(b"".join(contents) + bytes(1), np.uint8)
     base = np.cumsum(lengths) - lengths
-    after, before = np.arange(pad), np.arange(1, pad + 1)
-    at = (base + anchor)[:, None]
-    right = np.where(after < (lengths - anchor)[:, None], data[np.minimum(at + after, len(data) - 1)], 0).astype(np.uint8)
-    left = np.where(before <= anchor[:, None], data[np.maximum(at - before, 0)], 0).astype(np.uint8)
+    right, left = contexts(data, base, lengths, anchor, pad)
     group = np.unique(np.array(marks, np.int64), return_inverse=True)[1]
-    r_order, r_common = ranked(group, np.ascontiguousarray(right))
-    l_order, l_common = ranked(group, np.ascontiguousarray(left))
+    r_order, r_common = ranked(group, right)
+    l_order, l_common = ranked(group, left)
     # a window's place in the order of all text is its cover position's, as equal windows have it at equal distances
     place = start + anchor
     by_place = np.lexsort((place, did))
@@ -82,7 +91,9 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         x = pa.Table.from_batches(held)
-        n = {k: x.column(k).to_numpy().astype(np.int64) for k in ("did", "rid", "start", "anchor", "windows")}
+        n = {k: x.column(k).to_numpy().astype(np.int64) for k in ("did", "rid", "anchor", "windows")}
+        # of a document, only the first place of a stretch is asked about
+        n["start"] = np.array([int.from_bytes(d[:8], "little") for d in x.column("data").to_pylist()], np.int64)
         found = block_spans(x.column("mark").to_pylist(), x.column("content").to_pylist(), n["anchor"], n["windows"], n["did"], n["start"])
         return table_of([(d, r, np.array(f, np.int64).tobytes()) for d, r, f in zip(n["did"].tolist(), n["rid"].tolist(), found, strict=True) if f], SPANS)
 

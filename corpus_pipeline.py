@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm.bpe import encode, read_ranks
-from assaykit.llm.common import DOCUMENT_COLUMNS, table
+from assaykit.llm.common import DOCUMENT_COLUMNS, bounded_batches, table
 from assaykit.llm.exact_dedup import drop_exact_copies
 from assaykit.llm.mixing import mix
 from assaykit.llm.quality import keep_good
@@ -22,6 +22,7 @@ BYTE_BPE, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return keep_good(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, public_tokenizers.path(PIECES))
 
 
@@ -30,6 +31,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return drop_near_copies(docs)
 
 
@@ -39,6 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each document of the mix."""
+    bounded_batches(spark)
     out = encode(docs, read_ranks(public_tokenizers.path(BYTE_BPE)), public_tokenizers.PATTERN)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
