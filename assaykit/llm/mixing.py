@@ -17,6 +17,8 @@ from assaykit.llm.common import WORD, parts, table
 
 #: Words in a block, output shards, weights of the sources in code-point order (repeating).
 BLOCK_WORDS, SHARDS, WEIGHTS = 128, 64, (3, 1, 2)
+#: Runs that a source's stream is cut into, and slots exploded together: fixed, so that the draw is the same in any session.
+RUNS, SLOTS_TOGETHER = 1024, 1 << 16
 #: Words of the mix for each word there is; words taken of a source, at most, for each that it has.
 SHARE, PASSES = 1.5, 2
 #: Large primes: each is coprime to any smaller number, so i -> (i * prime + shift) mod n permutes 0..n-1.
@@ -70,7 +72,7 @@ def packed(docs: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
     """
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("rid"))
-    rows = table(rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(4 * parts(docs)))), "mix-sizes")
+    rows = table(rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(RUNS))), "mix-sizes")
     runs = rows.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
     runs = table(runs.withColumn("run_start", F.sum("run_size").over(Window.partitionBy("source").orderBy("run")) - F.col("run_size")), "mix-runs")
     sources = runs.groupBy("source").agg(F.sum("run_size").alias("source_size"))
@@ -94,8 +96,11 @@ def drawn_blocks(plan: DataFrame, block_words: int = BLOCK_WORDS, shards: int =
     jitter = F.pmod(_uniform(F.lit("shard")) + F.col("shard") * F.lit(0.6180339887498949), F.lit(1.0))
     x = x.withColumn("n", (F.floor(F.col("above") + jitter) - F.floor(F.col("below") + jitter)).cast("long"))
     x = x.withColumn("first", F.sum("n").over(Window.partitionBy("name").orderBy("shard")) - F.col("n")).where("n > 0")
-    x = x.repartition(parts(plan), "name", "shard")
-    x = x.select("name", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    # a shard's slots are exploded in parts, as their number grows with the input
+    x = x.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOTS_TOGETHER))))
+    x = x.repartition(parts(plan), "name", "shard", "part")
+    begin, end = F.col("first") + F.col("part") * SLOTS_TOGETHER, F.col("first") + F.col("n") - 1
+    x = x.select("name", "blocks", F.explode(F.sequence(begin, F.least(end, begin + SLOTS_TOGETHER - 1))).alias("slot"))
     x = x.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")).cast("int")).where(F.col("turn") < PASSES)
     x = x.withColumn("block", _permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.col("name"), F.col("turn")))
     return x.groupBy("name", "block").agg(F.count(F.lit(1)).alias("uses"))
