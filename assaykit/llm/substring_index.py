@@ -22,6 +22,8 @@ from assaykit.llm.repeats import SPANS, Scheme, anchor_blocks, grouped, joined_s
 #: Words in a window, and in the grams of which a window's anchor is the least.
 WINDOW, GRAM = 13, 6
 RUN_DDL = "bucket int, data binary"
+#: Rows of spans that are handed on together.
+SENT_ROWS = 1000
 
 
 class WindowIndex:
@@ -79,32 +81,43 @@ RUN = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 def resolver(scheme: Scheme):
     """Of a mark's stretches, sorted by mark: which windows stand in a document with a smaller did."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for mark, held in grouped(batches, "mark"):
-            if mark < 0:
-                for b in held:
-                    yield b.select(["did", "rid", "data"]).cast(SPANS)
-                continue
-            stretches = sorted(((d, r, s, c) for b in held for d, r, s, c in zip(*(b.column(k).to_pylist() for k in ("did", "rid", "data", "content")), strict=True)), key=lambda x: x[0])
-            if len(stretches) < 2:
-                continue
-            first: dict[bytes, int] = {}
-            rows = []
-            for did, rid, starts, content in stretches:
-                at, words = [0], content.split()
-                for w in words:
+    def judged(stretches: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
+        stretches.sort(key=lambda x: x[1])
+        first: dict[bytes, int] = {}
+        whole: dict[bytes, int] = {}
+        for _, did, rid, starts, content, windows in stretches:
+            if whole.setdefault(content, did) < did:  # all its windows stand in that document
+                spans = [[0, windows + scheme.window - 1]]
+            else:
+                at, spans = [0], []
+                for w in content.split():
                     at.append(at[-1] + len(w) + 1)
-                spans = []
-                for i in range(len(words) - scheme.window + 1):
+                for i in range(windows):
                     if first.setdefault(content[at[i] : at[i + scheme.window] - 1], did) < did:
                         if spans and spans[-1][1] >= i:
                             spans[-1][1] = i + scheme.window
                         else:
                             spans.append([i, i + scheme.window])
-                if spans:
-                    rows.append((did, rid, (np.frombuffer(starts, np.int64)[:, None, None] + np.array(spans)).tobytes()))
-            if rows:
+            if spans:
+                yield did, rid, (np.frombuffer(starts, np.int64)[:, None, None] + np.array(spans)).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, rows = None, [], []
+        for batch in batches:
+            known = batch.column("mark").to_numpy() < 0
+            if known.any():
+                yield batch.filter(pa.array(known)).select(["did", "rid", "data"]).cast(SPANS)
+                batch = batch.filter(pa.array(~known))
+            for row in zip(*(batch.column(k).to_pylist() for k in ("mark", "did", "rid", "data", "content", "windows")), strict=True):
+                if row[0] != now:
+                    if len(held) > 1:
+                        rows += judged(held)
+                    now, held = row[0], []
+                held.append(row)
+            if len(rows) >= SENT_ROWS:
                 yield table_of(rows, SPANS)
+                rows = []
+        yield table_of([*rows, *(judged(held) if len(held) > 1 else ())], SPANS)
 
     return run
 
