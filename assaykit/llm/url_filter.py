@@ -2,8 +2,8 @@
 
 Two Markov models of variable order, one of URLs that the rules allow and one of those they block, are counted over all
 ruled rows, smoothed by backing off from long contexts to short ones. A URL's score is the difference of its two
-log-likelihoods a character; the threshold is calibrated on a fold of hosts that the models don't see. Counts are kept
-by hashed context in a table of fixed size, so what goes to the scoring tasks has a bound that the data can't move.
+log-likelihoods a character; the threshold is calibrated on a fold of hosts that the models don't see. Counts are exact:
+a Spark table with a row a gram, which grows with the input and is joined with the grams that blocks of URLs ask for.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import chunks, mixed, ranges, table
@@ -34,11 +34,15 @@ class UrlRule:
 
 #: The rules (fixed values).
 RULES = (UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/"))
-#: Longest context in characters, slots of the count table for each order and class, how strongly a shorter context pulls.
+#: Longest context in bytes (6 at most), slots of hashed counters (see slots()), how strongly a shorter context pulls.
 ORDER, SLOTS, PULL = 4, 1 << 15, 2.0
+#: Bits of a character in a gram's key; what stands before and after a URL, beside 256 bytes.
+BITS, BEFORE, AFTER = 9, 256, 257
+#: Rows of a block, which asks for each of its grams once, as a power of two.
+BLOCK_BITS = 12
 #: One in so many hosts calibrates the threshold; bins of the calibration's histogram, from -SPAN to SPAN.
 FOLDS, BINS, SPAN = 5, 2000, 10.0
-#: Longest stretch of a URL scored at once; in longer URLs contexts begin anew at each.
+#: Longest stretch of a URL for slots(); in longer URLs contexts begin anew at each.
 STRETCH = 1 << 16
 
 
@@ -61,7 +65,9 @@ def longest_rule(host: Column, path: Column, rules: Sequence[UrlRule]) -> tuple[
 
 def slots(urls: Sequence[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each character of each URL and each context length from 0 to order: the slot of its context with it, and of
-    the context; and which URL it belongs to. Contexts don't reach into other URLs."""
+    the context; and which URL it belongs to. Contexts don't reach into other URLs.
+
+    Hashed counters, for small samples in one process; judged() counts exactly (see gram_counts)."""
     cut = [(i, u[a : a + STRETCH].encode()) for i, u in enumerate(urls) for a in range(0, max(1, len(u)), STRETCH)]
     data = np.frombuffer(b"".join(b"\x02" * order + u + b"\x03" for _, u in cut) or b"\x02" * order, np.uint8).astype(np.uint64)
     sizes = np.array([len(u) + 1 for _, u in cut], np.int64)
@@ -77,26 +83,6 @@ def slots(urls: Sequence[str], order: int) -> tuple[np.ndarray, np.ndarray, np.n
     return np.stack(grams), np.stack(contexts), np.repeat(np.array([i for i, _ in cut], np.int64), sizes)
 
 
-def count_slots(urls: DataFrame, order: int = ORDER) -> DataFrame:
-    """slot, accepted, rejected: counts over all rows with a ruled verdict (column verdict) and url."""
-    schema = pa.schema([("slot", pa.int64()), ("accepted", pa.int64()), ("rejected", pa.int64())])
-
-    def run(batches):
-        counts = np.zeros((2, 2 * (order + 1) * SLOTS), np.int64)
-        for batch in chunks(batches, "url", 1 << 18):
-            grams, contexts, owner = slots([u or "" for u in batch.column("url").to_pylist()], order)
-            blocked = np.array([v == "block" for v in batch.column("verdict").to_pylist()])[owner]
-            for k, of_class in enumerate((~blocked, blocked)):
-                for which in (grams, contexts):
-                    counts[k] += np.bincount(which[:, of_class].ravel(), minlength=counts.shape[1])
-        seen = np.flatnonzero(counts.any(0))
-        if len(seen):
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[0, seen]), pa.array(counts[1, seen])], schema=schema)
-
-    part = urls.select("url", "verdict").mapInArrow(run, "slot long, accepted long, rejected long")
-    return part.groupBy("slot").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
-
-
 class Ratio:
     """The smoothed models, from the count table: at most 4 * (order + 1) * SLOTS numbers."""
 
@@ -116,6 +102,103 @@ class Ratio:
         return (likelihood[1] - likelihood[0]) / np.bincount(owner, minlength=len(urls))
 
 
+def grams(urls: Sequence[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each URL, and its end: the key of it with the `order` characters before it, nothing hashed; and
+    which URL it belongs to."""
+    encoded = [u.encode() for u in urls]
+    data = np.frombuffer(b"".join(bytes(order) + u + b"\0" for u in encoded), np.uint8).astype(np.int64)
+    sizes = np.array([len(u) + 1 for u in encoded], np.int64)
+    ends = np.cumsum(sizes + order)
+    data[ends - 1] = AFTER
+    data[ranges(ends - sizes - order, np.full(len(sizes), order))] = BEFORE
+    at = ranges(ends - sizes, sizes)
+    key = np.zeros(len(at), np.int64)
+    for k in range(order, -1, -1):
+        key = key << BITS | data[at - k]
+    return key, np.repeat(np.arange(len(encoded)), sizes)
+
+
+#: Columns of counts: of allowed and blocked rows of each fold.
+COUNTS = [f"{c}{f}" for f in range(FOLDS) for c in "ab"]
+
+
+def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram and COUNTS, a row for each gram of the rows (url, ruled, fold); those of rows without a rule count nowhere."""
+    schema = pa.schema([("gram", pa.int64()), ("kind", pa.int32()), ("n", pa.int64())])
+    kinds = 2 * FOLDS + 1
+
+    def run(batches):
+        for batch in chunks(batches, "url", 1 << 18):
+            keys, owner = grams([u or "" for u in batch.column("url").to_pylist()], order)
+            kind = np.array([kinds - 1 if v is None else 2 * f + (v == "block") for f, v in zip(batch.column("fold").to_pylist(), batch.column("ruled").to_pylist(), strict=True)], np.int64)[owner]
+            place = np.lexsort((kind, keys))
+            keys, kind = keys[place], kind[place]
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (kind[1:] != kind[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[starts]), pa.array(kind[starts].astype(np.int32)), pa.array(np.diff(np.r_[starts, len(keys)]))], schema=schema)
+
+    part = rows.select("url", "ruled", F.col("fold").cast("int").alias("fold")).mapInArrow(run, "gram long, kind int, n long")
+    return part.groupBy("gram").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(F.lit(0))).alias(c) for k, c in enumerate(COUNTS)))
+
+
+def ratios(rows: DataFrame, models: Sequence[Sequence[int]], order: int = ORDER) -> DataFrame:
+    """gram and d0, d1, ...: for each gram of the rows and each model, counted over so many folds, by how much its last
+    character is likelier after the others among blocked rows than among allowed ones (logarithm).
+
+    A gram's estimate is pulled towards that of the gram without its first character. No group in here has more rows
+    than there are characters, however common a gram is.
+    """
+    levels = [table(gram_counts(rows, order), "grams")]
+    for k in range(order, 0, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")
+        levels.append(levels[-1].groupBy(shorter).agg(*(F.sum(c).alias(c) for c in COUNTS)))
+    of_context = Window.partitionBy(F.shiftright("gram", BITS))
+    names = [f"{c}_{m}" for m in range(len(models)) for c in "ab"]
+    below = None
+    for k, level in enumerate(reversed(levels)):
+        x = level.select("gram", *COUNTS, *(F.sum(c).over(of_context).alias(f"of_{c}") for c in COUNTS))
+        if below is None:
+            x = x.withColumns({f"p{n}": F.lit(1 / 256) for n in names})
+        else:
+            x = x.withColumn("shorter", F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))).join(below.withColumnRenamed("gram", "shorter"), "shorter")
+        sums = lambda prefix, folds: sum((F.col(f"{prefix}{f}") for f in folds), F.lit(0))
+        estimate = lambda c, m: (sums(c, models[m]) + PULL * F.col(f"p{c}_{m}")) / (sums(f"of_{c}", models[m]) + PULL)
+        below = x.select("gram", *(estimate(c, m).alias(f"p{c}_{m}") for m in range(len(models)) for c in "ab"))
+    return below.select("gram", *((F.log(f"pb_{m}") - F.log(f"pa_{m}")).alias(f"d{m}") for m in range(len(models))))
+
+
+def with_scores(rows: DataFrame, told: DataFrame, models: int, order: int = ORDER) -> DataFrame:
+    """The rows (page_id, url, host, path, rule, ruled, fold, block) without url and block, with scores: for each model
+    the mean of its ratios (told) over the URL; null for a URL without "://".
+
+    A block asks for each of its grams once, so a gram in every URL is a row a block, and the answers meet the block.
+    """
+    kept = ["page_id", "host", "path", "rule", "ruled", "fold"]
+    of_gram = [f"d{m}" for m in range(models)]
+
+    def asked(batches):
+        for batch in chunks(batches, "url", 1 << 18):
+            keys, owner = grams([u or "" for u in batch.column("url").to_pylist()], order)
+            block = batch.column("block").to_numpy()
+            for b in np.unique(block):
+                wanted = np.unique(keys[(block == b)[owner]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(wanted), b)), pa.array(wanted)], names=["block", "gram"])
+
+    def scored(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        urls = [u or "" for u in mine.column("url").to_pylist()]
+        keys, owner = grams(urls, order)
+        have, place = np.unique(answers.column("gram").to_numpy(), return_index=True)
+        at = place[np.searchsorted(have, keys)]
+        sizes = np.bincount(owner, minlength=len(urls))
+        means = np.stack([np.bincount(owner, answers.column(d).to_numpy()[at], len(urls)) / sizes for d in of_gram], 1)
+        scores = [m if "://" in u else None for u, m in zip(urls, means.tolist(), strict=True)]
+        return mine.select(kept).append_column("scores", pa.array(scores, pa.list_(pa.float64())))
+
+    wanted = rows.select("url", "block").mapInArrow(asked, "block long, gram long")
+    answers = wanted.join(told, "gram").select("block", "gram", *of_gram)
+    schema = "page_id long, host string, path string, rule string, ruled string, fold long, scores array<double>"
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
+
+
 def judged(pages: DataFrame, rules: Sequence[UrlRule] = RULES, order: int = ORDER) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, score.
 
@@ -127,35 +210,18 @@ def judged(pages: DataFrame, rules: Sequence[UrlRule] = RULES, order: int = ORDE
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = table(rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS))), "urls")
-    shown = rows.where("ruled IS NOT NULL").select("url", "fold", F.col("ruled").alias("verdict"))
-    # bounded by the table's size, whatever the number of rows
-    counts = np.zeros((2, 2 * (order + 1) * SLOTS))
-    got = count_slots(shown.where("fold > 0"), order).toArrow()
-    at = got.column("slot").to_numpy()
-    counts[0, at], counts[1, at] = got.column("accepted").to_numpy(), got.column("rejected").to_numpy()
-    counts = counts.astype(np.float32)
-    if not counts.any(1).all():
+    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("long"))
+    rows = table(rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "urls")
+    classes = {r["ruled"] for r in rows.where("ruled IS NOT NULL AND fold > 0").select("ruled").distinct().collect()}
+    if len(classes) < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    model = rows.sparkSession.sparkContext.broadcast(counts)
-    schema = pa.schema([(k, pa.int64() if k == "page_id" else pa.float64() if k == "score" else pa.string()) for k in ("page_id", "url", "host", "path", "rule", "ruled", "score")])
-
-    def scored(x: DataFrame) -> DataFrame:
-        def run(batches):
-            ratio = Ratio(model.value, order)
-            for batch in chunks(batches, "url", 1 << 18):
-                urls = [u or "" for u in batch.column("url").to_pylist()]
-                score = np.where(["://" in u for u in urls], ratio.scores(urls), 0.0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], schema=schema)
-
-        return x.select("page_id", "url", "host", "path", "rule", "ruled").mapInArrow(run, "page_id long, url string, host string, path string, rule string, ruled string, score double")
-
-    held = scored(rows.where("ruled IS NOT NULL AND fold = 0")).withColumn("bin", F.floor((F.least(F.greatest("score", F.lit(-SPAN)), F.lit(SPAN)) + SPAN) * (BINS / 2 / SPAN)))
+    models = [range(1, FOLDS)]
+    out = table(with_scores(rows, ratios(rows, models, order), len(models), order).withColumn("score", F.coalesce(F.col("scores")[0], F.lit(0.0))), "url-scores")
+    held = out.where("ruled IS NOT NULL AND fold = 0").withColumn("bin", F.floor((F.least(F.greatest("score", F.lit(-SPAN)), F.lit(SPAN)) + SPAN) * (BINS / 2 / SPAN)))
     histogram = np.zeros((2, BINS + 2))
     for r in held.groupBy("ruled", "bin").count().collect():  # two classes of at most BINS + 1 bins
         histogram[int(r["ruled"] == "block"), r["bin"]] += r["count"]
     threshold = threshold_of(histogram)
-    out = scored(rows)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") > threshold, "block").otherwise("allow")).alias("verdict"), "score")
 
 

@@ -117,6 +117,43 @@ def test_url_models_separate_held_out_hosts():
     assert good.max() < bad.min()
 
 
+def brute_scores(urls, ruled):
+    """From exact counts of every context and the byte after it."""
+    seen = lambda u: [tuple([256] * 4 + [*u.encode()] + [257])[i : i + 5] for i in range(len(u.encode()) + 1)]
+    counts = {v: Counter(g[k:] for u, r in zip(urls, ruled) if r == v for g in seen(u) for k in range(5)) for v in ("allow", "block")}
+    of_context = {v: Counter() for v in counts}
+    for v, c in counts.items():
+        for g, n in c.items():
+            of_context[v][g[:-1]] += n
+
+    def likelihood(u, v):
+        total = 0
+        for g in seen(u):
+            p = 1 / 256
+            for k in range(4, -1, -1):
+                p = (counts[v][g[k:]] + 2 * p) / (of_context[v][g[k:-1]] + 2)
+            total += np.log(p)
+        return total / len(seen(u))
+
+    return [likelihood(u, "block") - likelihood(u, "allow") for u in urls]
+
+
+def test_url_models_count_exactly_beyond_any_table_size(spark):
+    from pyspark.sql import functions as F
+
+    from assaykit.llm.url_filter import FOLDS, SLOTS, ratios, with_scores
+
+    rng = np.random.default_rng(4)
+    urls = ["http://" + bytes(rng.integers(97, 123, 40, dtype=np.uint8)).decode() + "/é\x02\x03" * (i % 2) for i in range(1200)]
+    ruled = [("allow", "block", None)[i % 3] for i in range(len(urls))]
+    assert len({u[i : i + 5] for u, r in zip(urls, ruled) if r for i in range(len(u) - 4)}) * 5 > 2 * SLOTS
+    rows = [(i, u, "", "", None, r, i % FOLDS) for i, (u, r) in enumerate(zip(urls, ruled))] + [(-1, None, "", "", None, None, 0)]
+    rows = spark.createDataFrame(rows, "page_id long, url string, host string, path string, rule string, ruled string, fold long").withColumn("block", F.col("page_id") % 7)
+    got = {r.page_id: r.scores for r in with_scores(rows, ratios(rows, [range(FOLDS)]), 1).collect()}
+    assert got.pop(-1) is None
+    assert np.allclose([got[i][0] for i in range(len(urls))], brute_scores(urls, ruled), rtol=1e-9, atol=1e-12)
+
+
 # 3 and 9
 
 
