@@ -2,8 +2,8 @@
 
 Two Markov models of variable order, one of URLs that the rules allow and one of those they block, are counted over all
 ruled rows, smoothed by backing off from long contexts to short ones. A URL's score is the difference of its two
-log-likelihoods a character; the threshold is calibrated on a fold of hosts that the models don't see. Counts are exact:
-a Spark table with a row a gram, which grows with the input and is joined with the grams that blocks of URLs ask for.
+log-likelihoods a character; the threshold is calibrated on all ruled rows, each scored by models without its fold of
+hosts. Counts are exact: a Spark table with a row a gram, which grows with the input and is joined with the grams that blocks of URLs ask for.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ ORDER, SLOTS, PULL = 4, 1 << 15, 2.0
 BITS, BEFORE, AFTER = 9, 256, 257
 #: Rows of a block, which asks for each of its grams once, as a power of two.
 BLOCK_BITS = 12
-#: One in so many hosts calibrates the threshold; bins of the calibration's histogram, from -SPAN to SPAN.
+#: Folds of hosts, each calibrated by the others' counts; bins of the calibration's histogram, from -SPAN to SPAN.
 FOLDS, BINS, SPAN = 5, 2000, 10.0
 #: Longest stretch of a URL for slots(); in longer URLs contexts begin anew at each.
 STRETCH = 1 << 16
@@ -202,27 +202,37 @@ def with_scores(rows: DataFrame, told: DataFrame, models: int, order: int = ORDE
 def judged(pages: DataFrame, rules: Sequence[UrlRule] = RULES, order: int = ORDER) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, score.
 
-    A rule decides where one fits; elsewhere a score above the threshold blocks. The threshold is where the calibration
-    fold's errors, each class weighing the same, are fewest, amid the highest such stretch. A null url, one without "://", and
-    the case that the rules leave a class empty (nothing to learn from) are allowed with score 0. Other columns are
-    ignored; an empty table gives an empty result.
+    A rule decides where one fits; elsewhere a score above the threshold blocks. The models that give the score count all
+    ruled rows. Each fold of hosts, scored by models without it, has a threshold where its ruled rows' errors, each class
+    weighing the same, are fewest, amid the highest such stretch. The median of these counts, so that no host sets it
+    alone; where no fold has both classes it is the threshold of all of them together, and 0 where these lack a class. A
+    fold whose others lack a class can't be scored and is left out of the calibration only. A null url, one without "://", and the case that the rules leave a class
+    empty (nothing to learn from) are allowed with score 0. Other columns are ignored; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("long"))
     rows = table(rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "urls")
-    classes = {r["ruled"] for r in rows.where("ruled IS NOT NULL AND fold > 0").select("ruled").distinct().collect()}
-    if len(classes) < 2:
+    # two classes of FOLDS folds at most
+    shown = {(r["fold"], r["ruled"]) for r in rows.where("ruled IS NOT NULL").select("fold", "ruled").distinct().collect()}
+    if len({v for _, v in shown}) < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    models = [range(1, FOLDS)]
-    out = table(with_scores(rows, ratios(rows, models, order), len(models), order).withColumn("score", F.coalesce(F.col("scores")[0], F.lit(0.0))), "url-scores")
-    held = out.where("ruled IS NOT NULL AND fold = 0").withColumn("bin", F.floor((F.least(F.greatest("score", F.lit(-SPAN)), F.lit(SPAN)) + SPAN) * (BINS / 2 / SPAN)))
-    histogram = np.zeros((2, BINS + 2))
-    for r in held.groupBy("ruled", "bin").count().collect():  # two classes of at most BINS + 1 bins
-        histogram[int(r["ruled"] == "block"), r["bin"]] += r["count"]
-    threshold = threshold_of(histogram)
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") > threshold, "block").otherwise("allow")).alias("verdict"), "score")
+    # the models of all ruled rows, then those without fold 0, 1, ...
+    models = [range(FOLDS), *([g for g in range(FOLDS) if g != f] for f in range(FOLDS))]
+    out = table(with_scores(rows, ratios(rows, models, order), len(models), order), "url-scores")
+    learnt = [f for f in range(FOLDS) if len({v for g, v in shown if g != f}) == 2]
+    held = out.where(F.col("ruled").isNotNull() & F.col("fold").isin(learnt)).withColumn("score", F.get("scores", F.col("fold").cast("int") + 1))
+    held = held.withColumn("bin", F.floor((F.least(F.greatest("score", F.lit(-SPAN)), F.lit(SPAN)) + SPAN) * (BINS / 2 / SPAN)))
+    histograms = np.zeros((FOLDS, 2, BINS + 2))
+    for r in held.groupBy("fold", "ruled", "bin").count().collect():  # two classes of at most BINS + 1 bins a fold
+        histograms[r["fold"], int(r["ruled"] == "block"), r["bin"]] += r["count"]
+    whole = [h for h in histograms if h.sum(1).all()]
+    threshold = float(np.median([threshold_of(h) for h in whole or [histograms.sum(0)]]))
+    score = F.get("scores", F.lit(0))
+    # without "://" there is no score, so nothing that a threshold below 0 could block
+    verdict = F.coalesce("ruled", F.when(score > threshold, "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def threshold_of(histogram: np.ndarray) -> float:

@@ -154,6 +154,38 @@ def test_url_models_count_exactly_beyond_any_table_size(spark):
     assert np.allclose([got[i][0] for i in range(len(urls))], brute_scores(urls, ruled), rtol=1e-9, atol=1e-12)
 
 
+def fold_of(host):
+    from assaykit.llm.url_filter import FOLDS
+
+    h = xxhash.xxh64_intdigest(host.encode(), 42)  # as Spark's
+    return (h - (h >> 63 << 64)) % FOLDS
+
+
+def test_url_models_count_all_ruled_rows(spark):
+    from assaykit.llm.url_filter import judged
+
+    in_fold = lambda form, zero, n: [h for h in (form.format(i) for i in range(400)) if (fold_of(h) == 0) == zero][:n]
+    # all blocked rows are on hosts of fold 0, half of the allowed ones too
+    bad = [f"http://{h}/win/{i}" for i, h in enumerate(in_fold("shop{}.casino.net", True, 30))]
+    good = [f"http://{h}/fr/article-{i}" for zero in (True, False) for i, h in enumerate(in_fold("news{}.org", zero, 15))]
+    urls = [*bad, *good, "http://other.casino.de/win/9", "http://other.news.de/article-77", "no scheme", None]
+    got = {urls[r.page_id]: r for r in judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got["http://other.casino.de/win/9"].verdict == "block"
+    assert got["http://other.news.de/article-77"].verdict == "allow"
+    ruled = ["block"] * len(bad) + ["allow"] * len(good) + [None] * 2
+    assert np.allclose([got[u].score for u in urls[:-2]], brute_scores(urls[:-2], ruled), rtol=1e-9, atol=1e-12)
+    assert all((got[u].verdict, got[u].score) == ("allow", 0) for u in urls[-2:])
+
+
+def test_urls_without_a_scheme_are_allowed_below_any_threshold(spark, monkeypatch):
+    from assaykit.llm import url_filter
+
+    monkeypatch.setattr(url_filter, "threshold_of", lambda histogram: -5.0)
+    urls = [f"http://a{i}.net/{i}" for i in range(9)] + [f"http://b{i}.org/fr/{i}" for i in range(9)] + [None, "", "nourl"]
+    got = {urls[r.page_id]: r.verdict for r in url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [got[u] for u in urls[-3:]] == ["allow"] * 3
+
+
 # 3 and 9
 
 
