@@ -50,18 +50,18 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-PRINTS = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("fp", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("rid", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, did, fp (the 64 bits as a signed long) of each row."""
+    """doc_id, did, rid, fp (the 64 bits as a signed long) of each row."""
 
     def run(batches):
         for batch in chunks(batches):
             fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("did"), pa.array(fps)], schema=PRINTS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("did"), batch.column("rid"), pa.array(fps)], schema=PRINTS)
 
-    return keyed(docs).select("doc_id", "did", "text").mapInArrow(run, "doc_id long, did long, fp long")
+    return keyed(docs).select("doc_id", "did", "rid", "text").mapInArrow(run, "doc_id long, did long, rid long, fp long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -187,6 +187,15 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(now.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
 
 
+def rooted(prints: DataFrame, n: int, budget: int) -> DataFrame:
+    """fp, first, key, root: each distinct fingerprint of prints with its least did, its least row (did, rid) and its
+    component's root."""
+    key = F.min(F.struct("did", "rid")).alias("key")
+    fps = table(prints.groupBy("fp").agg(key).select("fp", F.col("key.did").alias("first"), "key"), "distinct-prints")
+    roots = table(components(links(fps, fps.count(), n, budget)), "roots")
+    return fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "key", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -195,11 +204,8 @@ def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     unless its component has no other; then component_id is null. Repeated rows share a component. Other columns are
     ignored; an empty table gives an empty result.
     """
-    n = parts(docs)
     prints = table(fingerprints(docs), "prints")
-    fps = table(prints.groupBy("fp").agg(F.min("did").alias("first")), "distinct-prints")
-    roots = table(components(links(fps, fps.count(), n, budget)), "roots")
-    joined = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    joined = rooted(prints, parts(docs), budget)
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     of_print = joined.join(least, "root").select("fp", "least")
     out = prints.join(of_print, "fp")
@@ -207,10 +213,27 @@ def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
+def one_of_each_component(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Exactly one row of each component of near copies, with all its columns: that with the smallest doc_id, null last,
+    and of rows with the same id that with the least hash of the text.
+
+    Components keep their row whatever ids they share with others. Rows equal in id and text are one document.
+    """
+    prints = table(fingerprints(docs), "prints")
+    kept = rooted(prints, parts(docs), budget).groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.did").alias("_did"), F.col("key.rid").alias("_rid"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), order_id().alias("_did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_rid"))
+    # only copies in id and text meet in a group
+    one = Window.partitionBy("_did", "_rid").orderBy(F.xxhash64("row"))
+    out = rows.join(kept, ["_did", "_rid"], "left_semi")
+    return out.withColumn("place", F.row_number().over(one)).where("place = 1").select("row.*")
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all its columns; of repeated ids one row."""
-    groups = near_groups(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(order_id().alias("_did")).distinct()
+    """One row of each doc_id that one_of_each_component() keeps, for tables whose doc_id is a key.
+
+    Where ids are null or shared by unlike texts this leaves out whole components; the pipeline doesn't use it.
+    """
     one = Window.partitionBy("_did").orderBy(F.xxhash64("row.text"))
-    out = docs.select(F.struct(*docs.columns).alias("row"), order_id().alias("_did")).join(kept, "_did", "left_semi")
+    kept = one_of_each_component(docs)
+    out = kept.select(F.struct(*docs.columns).alias("row"), order_id().alias("_did"))
     return out.withColumn("place", F.row_number().over(one)).where("place = 1").select("row.*")

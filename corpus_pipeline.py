@@ -16,7 +16,7 @@ from assaykit.llm.common import DOCUMENT_COLUMNS, bounded_batches, table
 from assaykit.llm.exact_dedup import drop_exact_copies
 from assaykit.llm.mixing import mix
 from assaykit.llm.quality import keep_good
-from assaykit.llm.simhash import drop_near_copies
+from assaykit.llm.simhash import one_of_each_component
 
 BYTE_BPE, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
@@ -32,7 +32,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return drop_near_copies(docs)
+    return one_of_each_component(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -294,6 +294,22 @@ def test_simhash(spark, rows, subtree, monkeypatch):
     assert multiset(r.doc_id for r in kept.collect()) == multiset({c for _, _, c in want})
 
 
+def test_each_component_keeps_exactly_one_row(spark):
+    import corpus_pipeline
+
+    from assaykit.llm.simhash import one_of_each_component
+
+    text = lambda seed, n=60: " ".join(f"w{(seed * 7919 + k * 104729) % 99991}" for k in range(n))
+    # unlike texts without an id; near copies of numbered ones without one; one id for two texts, one of which 8 is a copy of
+    rows = [(None, text(i), "en", "s", 0) for i in range(5)] + [(7, text(9), "en", "s", 0), (None, text(9).upper(), "en", "s", 0), (3, text(11), "en", "s", 0), (3, text(12), "en", "s", 0), (8, text(12) + " ", "en", "s", 0), (3, text(12), "en", "s", 0)]
+    want = [*rows[:6], rows[7], rows[8]]
+    assert len({brute_print(r[1]) for r in rows}) == len(want) == len({(c, p) for _, p, c in brute_groups([r[:2] for r in rows])})
+    docs = frame(spark, rows)
+    assert multiset(tuple(r)[:5] for r in one_of_each_component(docs).collect()) == multiset(want)
+    assert multiset(tuple(r)[:5] for r in corpus_pipeline.near(spark, docs, "").collect()) == multiset(want)
+    assert one_of_each_component(docs.where("false")).count() == 0
+
+
 def test_trie_join_finds_all_pairs():
     from assaykit.llm.simhash import subtree_pairs
 
