@@ -2,7 +2,7 @@
 
 Public vocabularies tell how a text differs from what they were made for: characters per token and the entropy of the
 tokens come from a byte-level BPE, the share of bytes that fall back to byte tokens from a piece vocabulary. A text
-outside its language's bands, or its script's where the language is unknown, is rejected. All of it is per row, in
+outside its language's bands, or those of the script of most of its letters where the language is unknown, is rejected. All of it is per row, in
 Arrow batches cut by bytes, without a shuffle.
 """
 
@@ -121,9 +121,15 @@ class Fertility:
 def band_of(text: str, lang: str | None, languages: Mapping[str, Bands], scripts: Mapping[str, Bands]) -> Bands:
     if lang in languages:
         return languages[lang]
-    letters = text[:: max(1, len(text) // 4096)]
-    latin = sum(c.isalpha() and c < "ɐ" for c in letters)
-    return scripts["latin" if 2 * latin >= sum(c.isalpha() for c in letters) else "other"]
+    latin = letters = 0
+    for i in range(0, len(text), STRETCH):
+        # the letters of a stretch, each as often as it stands there
+        seen, n = np.unique(np.frombuffer(text[i : i + STRETCH].encode("utf-32-le"), np.uint32), return_counts=True)
+        for c, k in zip(map(chr, seen.tolist()), n.tolist(), strict=True):
+            if c.isalpha():
+                letters += k
+                latin += k * (c < "ɐ")
+    return scripts["latin" if 2 * latin >= letters else "other"]
 
 
 def quality_rules(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, languages: Mapping[str, Bands] = LANGUAGES, scripts: Mapping[str, Bands] = SCRIPTS) -> DataFrame:

@@ -71,6 +71,21 @@ def test_quality_bands(spark):
     assert got[4].fallback_share > 0.3
 
 
+def test_script_is_told_from_all_letters():
+    from assaykit.llm.quality import LANGUAGES, SCRIPTS, band_of
+
+    # one Latin letter in each place that a stride of 2, 3 or more meets, among letters of another script
+    for n, stride in ((8192, 2), (4096 * 3, 3), (4096 * 40, 40)):
+        text = ("a" + "д" * (stride - 1)) * (n // stride) + "д" * (n % stride + 9)
+        assert band_of(text, None, LANGUAGES, SCRIPTS) == SCRIPTS["other"]
+        text = ("д" + "é" * (stride - 1)) * (n // stride) + "é" * (n % stride + 9)
+        assert band_of(text, "xx", LANGUAGES, SCRIPTS) == SCRIPTS["latin"]
+    for text in ("", "12 34", "ab дж", "ab джш", "😀" * 9000 + "漢"):
+        latin = sum(c.isalpha() and c < "ɐ" for c in text)
+        want = SCRIPTS["latin" if 2 * latin >= sum(c.isalpha() for c in text) else "other"]
+        assert band_of(text, None, LANGUAGES, SCRIPTS) == want
+
+
 # 2
 
 
