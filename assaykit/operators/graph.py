@@ -2,22 +2,24 @@
 
 Edges: group, node, needs (node needs the other). Graphs are many and each has a group; iteration is over levels of all
 graphs at once, each round a join, with a checkpoint so that plans don't grow. `rounds` bounds the depth that is
-followed; cycles longer than it are not found, and deeper paths raise an error.
+followed, for cycles and blocked nodes only where it is given; deeper paths raise an error.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.shared import table
 
 
-def cycles(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def cycles(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """group, members (sorted nodes) of each strongly tied set that a walk returns to, once; self edges don't count.
 
     First all that can't be in a cycle is peeled off: nodes without an edge in, or out. What stays is walked from the
-    smallest node of each cycle only.
+    smallest node of each cycle only, until no walk goes on. Raises if `rounds` are given and don't suffice.
     """
     core = table(edges.where("node <> needs").select("group", "node", "needs").distinct(), "core")
     size = core.count()
@@ -30,9 +32,11 @@ def cycles(edges: DataFrame, rounds: int = 64) -> DataFrame:
             break
     walk = core.where("needs > node").select("group", F.col("node").alias("start"), F.col("needs").alias("at"), F.array("node", "needs").alias("path"))
     found = None
-    for _ in range(rounds):
+    for done in count():
         if not size or walk.isEmpty():
             break
+        if done == rounds:
+            raise ValueError(f"a graph has walks of more than {rounds} rounds")
         step = walk.join(core.select("group", F.col("node").alias("at"), F.col("needs").alias("to")), ["group", "at"])
         closed = step.where("to = start").select("group", F.array_sort("path").alias("members"))
         found = closed if found is None else found.unionByName(closed)
@@ -72,15 +76,20 @@ def _longest(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     raise ValueError(f"a graph has a cycle or more than {rounds} levels")
 
 
-def blocked_by(edges: DataFrame, failed: DataFrame, rounds: int = 1000) -> DataFrame:
-    """group, node of all that needs a failed node, directly or not. failed: group, node."""
+def blocked_by(edges: DataFrame, failed: DataFrame, rounds: int | None = None) -> DataFrame:
+    """group, node of all that needs a failed node, directly or not. failed: group, node.
+
+    Raises if `rounds` are given and don't suffice.
+    """
     reached = table(failed.select("group", "node").distinct(), "reached")
     new, found = reached, None
-    for _ in range(rounds):
+    for done in count():
         step = edges.join(new.select("group", F.col("node").alias("needs")), ["group", "needs"], "left_semi").select("group", "node").distinct()
         new = table(step.join(reached, ["group", "node"], "left_anti"), "reached")
         if new.isEmpty():
             break
+        if done == rounds:
+            raise ValueError(f"a graph has more than {rounds} levels of blocked nodes")
         found = new if found is None else found.unionByName(new)
         reached = table(reached.unionByName(new), "reached")
     return found if found is not None else reached.where(F.lit(False))

@@ -252,3 +252,19 @@ def test_sprawl_caps_and_lanes(spark):
     assert {(r.lane, r.code) for r in health_rules.optional_lanes(lanes("a", "b"), lanes("b", "c")).collect()} == {("a", "lane-declared-not-scored"), ("c", "lane-scored-not-declared")}
     caps = lambda *xs: spark.createDataFrame([("r", x) for x in xs], "repository string, cap string")
     assert {(r.cap, r.code) for r in health_rules.cap_differences(caps("x", "y"), caps("y", "z")).collect()} == {("x", "cap-declared-not-fired"), ("z", "cap-fired-not-declared")}
+
+
+def test_graph_rounds_that_run_out_raise(spark):
+    import pytest
+
+    from assaykit.operators import graph
+
+    ring = spark.createDataFrame([("g", f"{i}", f"{(i + 1) % 5}") for i in range(5)], "group string, node string, needs string")
+    chain = ring.where("node <> '4'")
+    failed = spark.createDataFrame([("g", "4")], "group string, node string")
+    assert [r.members for r in graph.cycles(ring).collect()] == [["0", "1", "2", "3", "4"]]
+    assert {r.node for r in graph.blocked_by(chain, failed).collect()} == {"0", "1", "2", "3"}
+    with pytest.raises(ValueError):
+        graph.cycles(ring, rounds=2)
+    with pytest.raises(ValueError):
+        graph.blocked_by(chain, failed, rounds=2)
