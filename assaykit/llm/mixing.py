@@ -17,8 +17,9 @@ from assaykit.llm.common import WORD, parts, table
 
 #: Words in a block, output shards, weights of the sources in code-point order (repeating).
 BLOCK_WORDS, SHARDS, WEIGHTS = 128, 64, (3, 1, 2)
-#: Runs that a source's stream is cut into, and slots exploded together: fixed, so that the draw is the same in any session.
-RUNS, SLOTS_TOGETHER = 1024, 1 << 16
+#: Runs that a source's stream is cut into, at least, and rows for each of them beyond; slots exploded together. All depend
+#: on the table alone, so that the draw is the same in any session.
+RUNS, RUN_ROWS, SLOTS_TOGETHER = 1024, 1_000_000, 1 << 16
 #: Words of the mix for each word there is; words taken of a source, at most, for each that it has.
 SHARE, PASSES = 1.5, 2
 #: Large primes: each is coprime to any smaller number, so i -> (i * prime + shift) mod n permutes 0..n-1.
@@ -64,15 +65,18 @@ def _permuted(i: Column, n: Column, name: Column, turn: Column) -> Column:
     return ((i.cast("decimal(19,0)") * step + shift) % n.cast("decimal(19,0)")).cast("long")
 
 
-def packed(docs: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
+def packed(docs: DataFrame, of_row: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Rows with their sizes and their places in their source's stream of words, and the sources with their sizes.
 
     The place is a running sum within one of many runs of a source, moved by the sizes of the runs before it; no task
-    needs a whole source.
+    needs a whole source. Rows go to runs by id and text, so rows without an id spread too; the number of runs follows
+    from the number of rows. Columns of_row are passed on.
     """
-    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("rid"))
-    rows = table(rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(RUNS))), "mix-sizes")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.regexp_count(text, F.lit(WORD)).cast("long")
+    rows = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64(text).alias("rid"), *of_row), "mix-sizes")
+    n_runs = max(RUNS, rows.count() // RUN_ROWS)
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(n_runs)))
     runs = rows.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
     runs = table(runs.withColumn("run_start", F.sum("run_size").over(Window.partitionBy("source").orderBy("run")) - F.col("run_size")), "mix-runs")
     sources = runs.groupBy("source").agg(F.sum("run_size").alias("source_size"))
@@ -80,7 +84,7 @@ def packed(docs: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     runs = runs.select(F.col("source").alias("s"), F.col("run").alias("r"), "run_start")
     placed = rows.join(runs, F.col("source").eqNullSafe(F.col("s")) & (F.col("run") == F.col("r"))).withColumn("start", F.col("start") + F.col("run_start"))
-    return placed.select("doc_id", "rid", "source", "size", "start"), sources
+    return placed.select("doc_id", "source", "size", "start", *of_row), sources
 
 
 def drawn_blocks(plan: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
@@ -106,10 +110,10 @@ def drawn_blocks(plan: DataFrame, block_words: int = BLOCK_WORDS, shards: int =
     return x.groupBy("name", "block").agg(F.count(F.lit(1)).alias("uses"))
 
 
-def mixed_pieces(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces): rows have doc_id, rid, source, size, start, source_size, target; a piece is the words
+def mixed_pieces(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, of_row: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, pieces): rows have doc_id, source, size, start, source_size, target and of_row; a piece is the words
     from_word (0-based) to to_word (exclusive) of the row at its source's place `start`, taken `uses` times."""
-    placed, sources = packed(docs, block_words)
+    placed, sources = packed(docs, of_row)
     plan = table(targets(sources), "mix-plan")
     placed = table(placed, "mix-places")
     uses = drawn_blocks(plan, block_words, shards)
@@ -118,13 +122,12 @@ def mixed_pieces(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int =
     full = full.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))))
     # the planner takes uses, which a few rows explode to, for small, and would broadcast it
     pieces = full.join(uses.hint("merge"), ["name", "block"]).select(
-        "doc_id",
-        "rid",
         "source",
         "start",
         "uses",
         F.greatest(F.lit(0), F.col("block") * block_words - F.col("start")).alias("from_word"),
         F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("start")).alias("to_word"),
+        *of_row,
     )
     plan = plan.select(F.col("source").alias("s"), "source_size", "target")
     return placed.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s"), pieces
@@ -145,16 +148,16 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARD
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
-    """The mix as documents: each document cut to the words drawn of it, repeats included; others go.
+    """The mix as documents: each row cut to the words drawn of it, repeats included; others go.
 
-    A document's drawn pieces stay in their order, each as often as drawn, joined by one space. n_chars follows the new
-    text. Further columns of docs are kept.
+    A row's drawn pieces stay in their order, each as often as drawn, joined by one space; of repeated rows each has its
+    own pieces, so a row holds just what mixture() says is taken of it. n_chars follows the new text. Further columns of
+    docs are kept. The rows are written once with a number of their own, by which pieces find them.
     """
-    _, pieces = mixed_pieces(docs, block_words, shards)
-    drawn = pieces.groupBy(F.col("doc_id").alias("d"), F.col("rid").alias("r")).agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word", "uses"))).alias("drawn"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(text).alias("h"))
-    out = out.join(drawn.hint("merge"), F.col("i").eqNullSafe(F.col("d")) & (F.col("h") == F.col("r")))
+    held = table(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("of_row")), "mix-rows")
+    _, pieces = mixed_pieces(held.select("row.doc_id", "row.source", "row.text", "of_row"), block_words, shards, ["of_row"])
+    drawn = pieces.groupBy("of_row").agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word", "uses"))).alias("drawn"))
+    out = held.join(drawn.hint("merge"), "of_row")
     # a lambda's variable holds the words, which are split once a row and after the shuffle
     words = F.array(F.regexp_extract_all(F.col("row.text"), F.lit(f"({WORD})"), F.lit(1)))
     piece = lambda w, p: F.array_repeat(F.array_join(F.slice(w, (p["from_word"] + 1).cast("int"), (p["to_word"] - p["from_word"]).cast("int")), " "), p["uses"].cast("int"))

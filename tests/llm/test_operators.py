@@ -508,8 +508,19 @@ def test_mixture(spark, rows):
     assert multiset(got) == multiset(tuple(r) for r in mixture(frame(spark, rows, 3), block_words=16, shards=8).collect())
     mixed = mix(docs, block_words=16, shards=8)
     assert mixed.columns == docs.columns
-    if len({(r[0], r[1]) for r in rows}) == len(rows):
-        assert multiset((r.doc_id, len(words(r.text))) for r in mixed.collect()) == multiset((d, taken) for d, _, _, _, taken in got if taken)
+    assert multiset((r.doc_id, len(words(r.text))) for r in mixed.collect()) == multiset((d, taken) for d, _, _, _, taken in got if taken)
+
+
+def test_mix_of_repeated_rows(spark):
+    from assaykit.llm.mixing import mix, mixture
+
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text, "en", "s", 0)] * 3 + [(1, text, "en", "other", 0), (None, text, "en", "s", 0), (None, text, "en", "s", 0)]
+    docs = frame(spark, rows)
+    taken = multiset((r.doc_id, r.taken) for r in mixture(docs).collect() if r.taken)
+    mixed = mix(docs).collect()
+    assert multiset((r.doc_id, len(words(r.text))) for r in mixed) == taken
+    assert all(r.n_chars == len(r.text) and len(words(r.text)) <= 200 for r in mixed)
 
 
 def test_permutation_is_one(spark):
