@@ -3,7 +3,8 @@
 From each rule's regular expression a Boolean query over trigrams is derived that every match must satisfy, as a list of
 alternatives, each a set of trigrams that must all occur. The index has a posting for each document and trigram of these
 queries. Intersecting postings gives each rule's candidate documents; the expression itself runs on these alone. A rule
-without mandatory trigrams runs on all documents.
+without mandatory trigrams runs on all documents, in the scan that builds the index. Of the texts only those are shuffled
+that have the rarest trigram, by its number of postings, of some alternative.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import keyed, parts
+from assaykit.llm.common import keyed, table
 
 
 @dataclass(frozen=True)
@@ -35,14 +38,15 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 18),
     Rule("hex", "[0-9a-f]+", 16),
 )
-#: Further public token formats, after the base kinds.
+#: Further public token formats, after the base kinds. Stretches that can begin at many places and then fail are bounded, so
+#: that each expression takes time in proportion to the text.
 FURTHER = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]*"),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{10,512}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]*"),
     Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url_login", "[a-z]+://[^\\x20\\x09-\\x0D/:@]+:[^\\x20\\x09-\\x0D/:@]+@"),
+    Rule("url_login", "[a-z]{1,20}://[^\\x20\\x09-\\x0D/:@]+:[^\\x20\\x09-\\x0D/:@]+@"),
 )
 RULES = (*BASE, *FURTHER)
 #: Most strings kept apart while deriving a query; beyond, the query just asks for less.
@@ -111,19 +115,21 @@ def trigram_query(pattern: str) -> Query:
     return _both(query, _of_strings(strings)) if strings is not None else query
 
 
-def postings(rows: DataFrame, trigrams: Sequence[str]) -> DataFrame:
-    """did, rid, trigram: the inverted index of the given trigrams over lower-cased texts."""
-    low = F.lower("text")
-    present = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]))
-    return rows.select("did", "rid", F.explode(present).alias("trigram"))
+def present(low: Column, trigrams: Sequence[str]) -> Column:
+    """Those of the given trigrams that stand in a lower-cased text."""
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]))
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """did, kinds: the rules that a document may match. The query table has as many rows as the rules have trigrams."""
+    """did, rid, kinds: the rules that a document may match, from the index's postings (did, rid, trigram). The query table
+    has as many rows as the rules have trigrams."""
     asked = [(kind, i, len(a), t) for kind, q in queries.items() for i, a in enumerate(sorted(q, key=sorted)) for t in sorted(a)]
     asked = index.sparkSession.createDataFrame(asked, "kind string, alternative int, needed long, trigram string")
     met = index.distinct().join(F.broadcast(asked), "trigram").groupBy("did", "rid", "kind", "alternative").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"))
-    return met.where("n = needed").groupBy("did").agg(F.collect_set("kind").alias("kinds"))
+    return met.where("n = needed").groupBy("did", "rid").agg(F.collect_set("kind").alias("kinds"))
+
+
+MATCHES = "array<struct<kind:int,i:int,gap:int,size:int,ok:boolean>>"
 
 
 def _found(rule: Rule, number: int, asked: Column | None) -> Column:
@@ -136,12 +142,20 @@ def _found(rule: Rule, number: int, asked: Column | None) -> Column:
     zipped = F.arrays_zip(whole.alias("w"), gaps.alias("g"), judged.alias("j"))
     each = F.transform(zipped, lambda x, i: F.struct(F.lit(number).alias("kind"), i.alias("i"), F.char_length(x["g"]).alias("gap"), F.char_length(x["w"]).alias("size"), (F.char_length(x["j"]) >= rule.least).alias("ok")))
     here = F.col("text").rlike(pattern)
-    kind = "array<struct<kind:int,i:int,gap:int,size:int,ok:boolean>>"
-    return F.when(here if asked is None else asked & here, each.cast(kind)).otherwise(F.array().cast(kind))
+    return F.when(here if asked is None else asked & here, each.cast(MATCHES)).otherwise(F.array().cast(MATCHES))
+
+
+def _places(found: DataFrame) -> DataFrame:
+    """did, rid, kind, start, stop of the matches that count, from did, rid and an array of _found() of each row."""
+    each = found.select("did", "rid", F.inline("found"))
+    before = Window.partitionBy("did", "rid", "kind").orderBy("i")
+    stop = F.sum(F.col("gap") + F.col("size")).over(before)
+    return each.withColumn("stop", stop).where("ok").select("did", "rid", "kind", (F.col("stop") - F.col("size")).alias("start"), "stop")
 
 
-def secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """did, rid, kind (the rule's number), start, stop for each secret of each distinct row; places in code points.
+def secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(rows, secrets): did, rid, doc_id of each row; did, rid, kind (the rule's number), start, stop for each secret of
+    each distinct row, places in code points.
 
     Matches of a rule are the leftmost that don't overlap, those with too short a group dropped afterwards.
     """
@@ -149,14 +163,25 @@ def secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q != ANY}
     trigrams = sorted({t for q in indexed.values() for a in q for t in a})
-    asked = candidates(postings(rows, trigrams), indexed)
-    met = rows.select("did", "rid", "text").repartition(parts(docs), "did").join(asked, "did", "left")
-    found = F.concat(*[_found(r, i, F.array_contains("kinds", r.kind) if r.kind in indexed else None) for i, r in enumerate(rules)])
-    found = met.select("did", "rid", found.alias("found")).where(F.size("found") > 0).dropDuplicates(["did", "rid"])
-    each = found.select("did", "rid", F.inline("found"))
-    before = Window.partitionBy("did", "rid", "kind").orderBy("i")
-    stop = F.sum(F.col("gap") + F.col("size")).over(before)
-    return each.withColumn("stop", stop).where("ok").select("did", "rid", "kind", (F.col("stop") - F.col("size")).alias("start"), "stop")
+    scanned = [_found(r, i, None) for i, r in enumerate(rules) if r.kind not in indexed]
+    # a projection of its own, so that a text is lower-cased once and not for each trigram
+    low = rows.withColumn("low", F.lower("text"))
+    scan = table(low.select("did", "rid", "doc_id", present(F.col("low"), trigrams).alias("trigrams"), F.concat(F.array().cast(MATCHES), *scanned).alias("found")), "trigrams")
+    index = scan.select("did", "rid", F.explode("trigrams").alias("trigram"))
+    # as many rows as the rules have trigrams
+    postings = {r["trigram"]: r["count"] for r in index.groupBy("trigram").count().collect()}
+    rarest = sorted({min(a, key=lambda t: (postings.get(t, 0), t)) for q in indexed.values() for a in q})
+    found = []
+    if scanned:
+        found.append(scan.select("did", "rid", "found").where(F.size("found") > 0))
+    if rarest := [t for t in rarest if t in postings]:
+        likely = low.where(reduce(or_, (F.contains("low", F.lit(t)) for t in rarest))).select("did", "rid", "text")
+        met = likely.join(candidates(index, indexed), ["did", "rid"])
+        matches = F.concat(*[_found(r, i, F.array_contains("kinds", r.kind)) for i, r in enumerate(rules) if r.kind in indexed])
+        found.append(met.select("did", "rid", matches.alias("found")).where(F.size("found") > 0))
+    # kinds of the two parts differ, and repeated rows find the same twice
+    places = [_places(f.dropDuplicates(["did", "rid"])) for f in found]
+    return scan.select("did", "rid", "doc_id"), reduce(DataFrame.unionByName, places)
 
 
 def secret_spans(docs: DataFrame, rules: Sequence[Rule] = RULES, base: int = len(BASE)) -> DataFrame:
@@ -164,16 +189,17 @@ def secret_spans(docs: DataFrame, rules: Sequence[Rule] = RULES, base: int = len
     as kind:start:end by start, then in the rules' order, joined by commas.
 
     A null text counts as empty; without secrets the strings are empty. Repeated rows get repeated results; other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. Time grows in proportion to a text's length, whatever it
+    holds. Where spans start alike, the rules' order decides.
     """
     name = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind") + 1)
-    each = secrets(docs, rules).withColumn("told", F.concat_ws(":", name, "start", "stop"))
+    rows, each = secrets(docs, rules)
+    each = each.withColumn("told", F.concat_ws(":", name, "start", "stop"))
     told = lambda wanted: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(wanted, F.struct("start", "kind", "told")))), lambda x: x["told"]), ",")
     counts = [F.count_if(F.col("kind") == i).alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])]
     by_row = each.groupBy("did", "rid").agg(*counts, told(F.col("kind") < base).alias("base_spans"), told(F.lit(True)).alias("spans"))
     by_row = by_row.withColumnsRenamed({"did": "d", "rid": "r"})
-    thin = keyed(docs).select("did", "rid", "doc_id")
-    out = thin.join(by_row, (F.col("did") == F.col("d")) & (F.col("rid") == F.col("r")), "left")
+    out = rows.join(by_row, (F.col("did") == F.col("d")) & (F.col("rid") == F.col("r")), "left")
     return out.select(
         "doc_id",
         *[F.coalesce(f"n_{r.kind}", F.lit(0)).alias(f"n_{r.kind}") for r in rules[:base]],

@@ -400,6 +400,20 @@ def test_secrets(spark):
     assert secret_spans(frame(spark, [])).count() == 0
 
 
+def test_secrets_in_very_long_texts(spark):
+    import time
+
+    from assaykit.llm.secrets import RULES, secret_spans
+
+    n = 1_000_000
+    texts = ["http://x " + "a" * n, "eyJ" * (n // 3), "eyJ" * 200 + "." + "b" * n, "token" + " " * n, "://" * (n // 3), "-----BEGIN " + "A" * n, "ghp_" * (n // 4), "xox" + "b-" * (n // 2), "é" * n + "token=abcdefabcdef1"]
+    began = time.perf_counter()
+    got = {r.doc_id: r.spans for r in secret_spans(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[8] == f"assign:{n}:{n + 19}" and got[0] == f"hex:9:{n + 9}" and len(got) == len(texts)
+    assert {r.kind for r in RULES} >= {"jwt", "url_login"}
+
+
 def test_trigram_queries():
     from assaykit.llm.secrets import ANY, trigram_query
 
