@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +25,32 @@ LAST_ID = 2**63 - 1
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def bucketed(df: DataFrame, path: str, n: int, *keys: str) -> DataFrame:
+    """Writes df to path as a table of n buckets by the keys, one sorted file a bucket, and reads it again.
+
+    Joins, groups and unions by the keys then need no shuffle of it.
+    """
+    name = bucketed_name(path)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.read.table(name)
+
+
+def bucketed_name(path: str) -> str:
+    return "bucketed_" + re.sub(r"\W", "_", path.rpartition("/")[2]) + f"_{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+
+
+def opened_bucketed(spark: SparkSession, path: str, schema: str, n: int, *keys: str) -> DataFrame:
+    """The table that bucketed() wrote to path, in a session that may not know it yet."""
+    name, by = bucketed_name(path), ", ".join(keys)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{path}'")
+    return spark.read.table(name)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table() that nothing reads any more."""
     spark = df.sparkSession

@@ -2,8 +2,10 @@
 
 The hashes of all lines are dealt by hash to segments. Each segment feeds two Bloom filters, one for hashes seen once and
 one for hashes seen again, and names the hashes that the second one holds. Only lines with such a hash are suspected
-repeats; they alone are shuffled as text, for exact confirmation and the choice of the first document. The filters live
-inside a task, sized by its share of the lines, so nothing that grows with the data is broadcast.
+repeats; as rows of their own they alone are shuffled as text, for exact confirmation and the choice of the first
+document. The filters live inside a task, sized by its share of the lines, so nothing that grows with the data is
+broadcast. Documents are shuffled once, to meet their suspected hashes, into a table with buckets by document, from
+which the rest is done without moving them again.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import chunks, keyed, mixed, parts, table
+from assaykit.llm.common import bucketed, chunks, keyed, mixed, parts, scratch, table
 from assaykit.llm.repeats import grouped, packed, table_of, unpacked
 
 #: White space stripped from a line's ends, and the shortest key (code points) that can be a repeat.
@@ -139,30 +141,30 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
     A line's key is the line stripped of white space, A-Z lower-cased; keys of under 10 code points never count. kept is
     the other lines, joined by a line feed. A null or empty text is one empty line. A null doc_id comes last, and all
-    null ids count as one document, as rows with the same doc_id do. Other columns are ignored; an empty table gives an
-    empty result.
+    null ids count as one document, as rows with the same doc_id do. Lines equal in key within one document never drop each
+    other; texts of any length are judged whole. Other columns are ignored; an empty table gives an empty result.
     """
     n, rows = parts(docs), keyed(docs)
     lines = table(line_hashes(rows), "line-hashes")
     count = lines.agg(F.sum(F.size("hashes"))).first()[0] or 0
     hashes = lines.select("did", "rid", F.explode("hashes").alias("hash")).join(table(suspected(lines, n, count), "line-suspects"), "hash", "left_semi")
-    asked = hashes.groupBy("did").agg(F.collect_set("hash").alias("hashes"))
-    found = table(suspected_lines(rows.repartition(n, "did").join(asked, "did")), "line-keys")
-    # a table of its own, so that the join below shuffles both sides and a very common line can be split
+    asked = hashes.groupBy("did", "rid").agg(F.collect_set("hash").alias("hashes"))
+    held = bucketed(rows.repartition(n, "did", "rid").join(asked, ["did", "rid"], "left"), scratch(docs.sparkSession, "line-docs"), n, "did", "rid")
+    found = table(suspected_lines(held.where("hashes IS NOT NULL")), "line-keys")
+    # tables of their own, so that the joins shuffle both sides as they are and a very common line can be split
     first = table(found.groupBy("key").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last"), "line-firsts")
-    gone = found.join(first, "key").where("did > first").groupBy("did", "rid").agg(F.flatten(F.collect_list("places")).alias("places"))
     # a repeated row's lines come once for each row, which changes nothing
-    gone = gone.groupBy("did").agg(F.collect_list(F.struct("rid", "places")).alias("gone"))
-    cut = rows.repartition(n, "did").join(gone, "did", "left")
+    gone = found.join(first, "key").where("did > first").groupBy("did", "rid").agg(F.flatten(F.collect_list("places")).alias("gone"))
+    cut = held.join(gone, ["did", "rid"], "left")
 
     def run(batches):
         for batch in chunks(batches):
             out = []
-            for doc_id, rid, text, gone in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "rid", "text", "gone")), strict=True):
+            for doc_id, text, gone in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "gone")), strict=True):
                 all_lines = text.split("\n")
-                drop = {p for g in gone or () if g["rid"] == rid for p in g["places"]}
+                drop = set(gone or ())
                 kept = [line for i, line in enumerate(all_lines) if i not in drop]
                 out.append((doc_id, len(all_lines), len(drop), "\n".join(kept)))
             yield table_of(out, KEPT)
 
-    return cut.select("doc_id", "rid", "text", "gone").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
+    return cut.select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
