@@ -26,12 +26,13 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def bucketed(df: DataFrame, path: str, n: int, *keys: str) -> DataFrame:
-    """Writes df to path as a table of n buckets by the keys, one sorted file a bucket, and reads it again.
+    """Writes df to path as a table of n buckets by the keys and reads it again.
 
-    Joins, groups and unions by the keys then need no shuffle of it.
+    df has the rows of a key in one partition already, so a bucket is one sorted file; joins, groups and unions by the
+    keys then need no shuffle of it.
     """
     name = bucketed_name(path)
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     return df.sparkSession.read.table(name)
 
 
@@ -46,6 +47,12 @@ def opened_bucketed(spark: SparkSession, path: str, schema: str, n: int, *keys:
     return spark.read.table(name)
 
 
+def drop_bucketed(spark: SparkSession, path: str) -> None:
+    """Deletes a bucketed() table and its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {bucketed_name(path)}")
+    _delete(spark, path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -53,10 +60,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table() that nothing reads any more."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def order_id(col: str = "doc_id") -> Column:

@@ -5,7 +5,9 @@ least hash. Equal windows have equal anchors, so a window whose anchor occurs on
 blocks, a few bytes each. Round 2 sends only stretches of windows that share a repeated anchor, as text, to that
 anchor's task, where whole windows are compared. What a task can settle by itself it settles before the shuffle: in
 round 1 an anchor of several documents of a batch is sent once, in round 2 a stretch that several documents of a batch
-have is sent for the first of them. So a very common passage puts one row a batch on its task, not one a document.
+have is sent for the first of them. So a very common passage puts one row a batch on its task, not one a document. An
+anchor that very many documents have in different surroundings isn't kept together at all: its windows go out one by one,
+each to the task of its own content.
 """
 
 from __future__ import annotations
@@ -19,12 +21,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import chunks, mixed, ranges
+from assaykit.llm.common import chunks, mixed, ranges, table
 
 #: Symbols hashed at once; longer texts go in overlapping pieces. Bytes of text whose anchors are packed together.
 PIECE, BATCH_BYTES = 1 << 17, 16 << 20
 #: Bytes of stretches that are combined before they are sent.
 SENT_TOGETHER = 8 << 20
+#: Documents from which on an anchor's windows go out one by one, and how many anchors do, those of most documents. An anchor
+#: kept together thus has at most so many rows, or a 500,000th of all, and the list of the others is 4 MB at most.
+HOT, MOST_HOT = 2_000, 500_000
+#: Stands for a did where a mark is known to be repeated and no document waits for an answer.
+NOBODY = -(2**63)
+#: The target of rows that tell hot anchors; the first mark of a single window's task.
+HOT_TARGET, OF_WINDOW = -1, 1 << 61
+#: Bytes of text for a bucket of anchors, about, and most buckets of a table (Spark's own limit).
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=U64))
@@ -162,14 +173,20 @@ def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.types, strict=True)], schema=schema)
 
 
+def bucket_count(rows: DataFrame, floor: int) -> int:
+    """Buckets of anchors for the texts of rows, so that each fits into a task whatever the session's partitions are."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(floor, min(MOST_BUCKETS, size // BUCKET_BYTES))
+
+
 MARKS = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
 
-def anchor_blocks(docs: DataFrame, scheme: Scheme, buckets: int, alone: bool) -> DataFrame:
+def anchor_blocks(docs: DataFrame, scheme: Scheme, buckets: int, targets: int, alone: bool) -> DataFrame:
     """Round 1, before the shuffle: rows bucket, data.
 
-    From 0 on: a block of the bucket, packed marks with their documents' dids (-1: the mark is known to be repeated and
-    nobody waits for an answer). Below: packed dids with marks of theirs that are repeated for sure, for the target
+    From 0 on: a block of the bucket, packed marks with their documents' dids (NOBODY: the mark is known to be repeated and
+    nobody waits for an answer) and the number of documents that have them. Below: packed dids with marks of theirs that are repeated for sure, for the target
     -1 - bucket. alone: whether a mark that one document has twice is a repeat.
     """
 
@@ -191,12 +208,12 @@ def anchor_blocks(docs: DataFrame, scheme: Scheme, buckets: int, alone: bool) ->
             ends = np.r_[starts[1:], len(mark)]
             twice = (ends - starts > 1) if alone else did[starts] != did[ends - 1]
             sure = twice[group]
-            rows = [(-1 - t, x) for t, x in answers(did[sure], mark[sure], buckets)]
-            wait = np.where(twice, -1, did[starts])
+            rows = [(-1 - t, x) for t, x in answers(did[sure], mark[sure], targets)]
+            wait = np.where(twice, NOBODY, did[starts])
             lead = mark[starts]
-            bucket = lead * buckets >> 48
+            bucket = (lead >> 16) * buckets >> 32
             for b, a, z in zip(*_cuts(bucket), strict=True):
-                rows.append((b, packed(lead[a:z], wait[a:z])))
+                rows.append((b, packed(lead[a:z], wait[a:z], (ends - starts)[a:z])))
             yield table_of(rows, MARKS)
 
     return docs.select("did", "text").mapInArrow(run, "bucket int, data binary")
@@ -209,26 +226,35 @@ def _cuts(sorted_keys: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return sorted_keys[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(sorted_keys)]
 
 
-def repeated_marks(mark: np.ndarray, wait: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of one bucket's entries the (did, mark) that wait and whose mark stands in more than one entry or is known."""
-    order = np.lexsort((wait, mark))
-    mark, wait = mark[order], wait[order]
-    starts = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]) if len(mark) else np.zeros(0, np.int64)
+def sorted_entries(blocks: list[bytes]) -> list[np.ndarray]:
+    """mark, wait and n of all blocks, sorted by mark; blocks are sorted themselves, so a stable sort merges them."""
+    both = [unpacked(x) for x in blocks]
+    mark, wait, n = (np.concatenate([x[k] for x in both]) for k in range(3))
+    order = np.argsort(mark, kind="stable")
+    return [mark[order], wait[order], n[order]]
+
+
+def repeated_marks(mark: np.ndarray, wait: np.ndarray, n: np.ndarray, alone: bool, many: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of one bucket's entries, sorted by mark: the (did, mark) that wait and whose mark stands in more than one entry or
+    is known; and the marks of more than `many` documents with their numbers."""
+    if not len(mark):
+        return (wait, mark), (mark, n)
+    starts = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
     sizes = np.diff(np.r_[starts, len(mark)])
-    known = wait[starts] == -1 if len(mark) else np.zeros(0, bool)
+    low, high, total = np.minimum.reduceat(wait, starts), np.maximum.reduceat(wait, starts), np.add.reduceat(n, starts)
     # entries of rows with one did are a repeat only if a document's own count
-    several = (wait[starts] != wait[np.r_[starts[1:], len(mark)] - 1]) | alone if len(mark) else known
-    hit = np.repeat(known | (sizes > 1) & several, sizes) & (wait >= 0)
-    return wait[hit], mark[hit]
+    hit = np.repeat((low == NOBODY) | (sizes > 1) & ((low != high) | alone), sizes) & (wait != NOBODY)
+    hot = total > many
+    return (wait[hit], mark[hit]), (mark[starts][hot], total[hot])
 
 
-def grouped(batches, key: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """The batches of a sorted stream, cut by key, each key's together."""
+def grouped(batches, key: str, loose: bool = False) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The batches of a sorted stream, cut by key, each key's together; loose: but for keys below 0."""
     now, held = None, []
     for batch in batches:
         keys = batch.column(key).to_numpy(zero_copy_only=False)
         for k, a, b in zip(*_cuts(keys), strict=True) if len(keys) else ():
-            if k != now and held:
+            if held and (k != now or loose and k < 0):
                 yield now, held
                 held = []
             now = k
@@ -240,20 +266,41 @@ def grouped(batches, key: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
 HITS = pa.schema([("target", pa.int32()), ("data", pa.binary())])
 
 
-def matched_anchors(blocks: DataFrame, n: int, alone: bool) -> DataFrame:
-    """Round 1, after the shuffle to n buckets: rows target, data (packed dids and repeated marks)."""
+def hits_of(entries: list[np.ndarray], targets: int, alone: bool, many: int) -> list[tuple[int, bytes]]:
+    """Rows target, data of one bucket: packed dids and repeated marks, and for HOT_TARGET hot marks and their documents."""
+    found, hot = repeated_marks(*entries, alone, many)
+    return [*answers(*found, targets), *([(HOT_TARGET, packed(*hot))] if len(hot[0]) else [])]
+
+
+def sure_hits(blocks: DataFrame) -> DataFrame:
+    """Rows target, data of the answers that anchor_blocks() gave by itself."""
+    return blocks.where("bucket < 0").select((-1 - F.col("bucket")).alias("target"), "data")
+
+
+def matched_anchors(blocks: DataFrame, n: int, buckets: int, alone: bool) -> DataFrame:
+    """Round 1, after the shuffle to the buckets: rows target, data (packed dids and repeated marks)."""
+    many = HOT
 
     def run(batches):
-        for bucket, held in grouped(batches, "bucket"):
-            if bucket < 0:
-                for b in held:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket] * b.num_rows, pa.int32()), b.column("data")], schema=HITS)
-                continue
-            both = [unpacked(x) for b in held for x in b.column("data").to_pylist()]
-            found = repeated_marks(*(np.concatenate([x[k] for x in both]) for k in (0, 1)), alone)
-            yield table_of(list(answers(*found, n)), HITS)
+        for _, held in grouped(batches, "bucket"):
+            yield table_of(hits_of(sorted_entries([x for b in held for x in b.column("data").to_pylist()]), n, alone, many), HITS)
+
+    by_bucket = blocks.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket")
+    return by_bucket.mapInArrow(run, "target int, data binary").unionByName(sure_hits(blocks))
+
+
+def hot_marks(hits: DataFrame) -> np.ndarray:
+    """The hot marks, sorted: those of most documents, MOST_HOT at most."""
+    schema = pa.schema([("mark", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for x in batch.column("data").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(k) for k in unpacked(x)[:2]], schema=schema)
 
-    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "target int, data binary")
+    told = hits.where(F.col("target") == HOT_TARGET).select("data").mapInArrow(run, "mark long, n long")
+    told = told.groupBy("mark").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "mark").limit(MOST_HOT)
+    return np.sort(np.array([r["mark"] for r in told.collect()], np.int64))
 
 
 ASKED = pa.schema([("did", pa.int64()), ("marks", pa.binary())])
@@ -272,19 +319,20 @@ def asked_marks(hits: DataFrame, n: int) -> DataFrame:
             did, mark = did[new], mark[new]
             yield table_of([(d, mark[a:z].tobytes()) for d, a, z in zip(*_cuts(did), strict=True)], ASKED)
 
-    return hits.repartition(n, "target").sortWithinPartitions("target").mapInArrow(run, "did long, marks binary")
+    return hits.where("target >= 0").repartition(n, "target").sortWithinPartitions("target").mapInArrow(run, "did long, marks binary")
 
 
 STRETCHES = pa.schema([("mark", pa.int64()), ("content", pa.binary()), ("did", pa.int64()), ("rid", pa.int64()), ("anchor", pa.int32()), ("windows", pa.int32()), ("data", pa.binary())])
 STRETCH_DDL = "mark long, content binary, did long, rid long, anchor int, windows int, data binary"
 
 
-def stretches(docs: DataFrame, scheme: Scheme, within: bool) -> DataFrame:
+def stretches(docs: DataFrame, scheme: Scheme, within: bool, hot: np.ndarray) -> DataFrame:
     """Round 2, before the shuffle. docs: did, rid, text, marks (those that are repeated, as bytes).
 
     Rows: a stretch of windows with one repeated anchor (mark and content; the anchor's distance from its start, the
     number of windows, in data the places in did and rid where it starts), or, with a negative mark, in data spans of
-    symbols of did and rid to remove for sure. within: whether a window that stands earlier in the same document counts.
+    symbols of did and rid to remove for sure. A hot mark's windows are a row each, with a mark made of their content, from
+    OF_WINDOW on. within: whether a window that stands earlier in the same document counts.
     """
 
     def flush(held: dict) -> pa.RecordBatch:
@@ -320,8 +368,16 @@ def stretches(docs: DataFrame, scheme: Scheme, within: bool) -> DataFrame:
                 new = np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)]
                 first = np.flatnonzero(new)
                 count = np.diff(np.r_[first, len(doc)])
-                take = hit[first]
-                for d, s, a, m, c in zip(doc[first][take].tolist(), start[first][take].tolist(), anchor[first][take].tolist(), mark[first][take].tolist(), count[take].tolist(), strict=True):
+                first, count = first[hit[first]], count[hit[first]]
+                apart = np.isin(mark[first].astype(np.int64), hot, kind="sort") if len(hot) else np.zeros(len(first), bool)
+                for d, s, a, m, c, single in zip(doc[first].tolist(), start[first].tolist(), anchor[first].tolist(), mark[first].tolist(), count.tolist(), apart.tolist(), strict=True):
+                    if single:
+                        for k in range(c):
+                            content = scheme.content(symbols[d], s + k, s + k + scheme.window)
+                            own = OF_WINDOW | xxhash.xxh3_64_intdigest(content) >> 3
+                            held.setdefault((content, own, a - k, 1), []).append((dids[d], s + k, rids[d]))
+                        size += c * len(content)
+                        continue
                     content = scheme.content(symbols[d], s, s + c + scheme.window - 1)
                     held.setdefault((content, m, a, c), []).append((dids[d], s, rids[d]))
                     size += len(content)
@@ -353,25 +409,27 @@ def joined_spans(spans: list[bytes], n: int) -> list[tuple[int, int]]:
 def whole_copies(docs: DataFrame) -> DataFrame:
     """did of documents whose whole text stands in a document with a smaller did: all their windows are repeats.
 
-    Ids with several texts are left to the windows themselves.
+    Ids with several texts are left to the windows themselves. The first of each text are a table of their own, so that
+    the join can split a text of very many documents.
     """
     thin = docs.select("did", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     thin = thin.groupBy("did").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).where("digest = other").select("did", "digest")
-    first = thin.groupBy("digest").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = table(thin.groupBy("digest").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first-of-text")
     return thin.join(first, "digest").where("did > first").select("did")
 
 
 Resolver = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def removable(docs: DataFrame, hits: DataFrame, scheme: Scheme, resolve: Resolver, within: bool, n: int) -> DataFrame:
+def removable(docs: DataFrame, hits: DataFrame, scheme: Scheme, resolve: Resolver, within: bool, n: int, asked: DataFrame | None = None) -> DataFrame:
     """docs (did, rid, doc_id, text) with `spans`: an array of (rid, data) with spans of symbols to remove.
 
-    A whole copy's span is everything. The documents with repeated marks go through round 2.
+    A whole copy's span is everything. The documents with repeated marks go through round 2. hits is a table;
+    asked (did, marks) tells the documents with repeated marks where the hits don't.
     """
-    copies = whole_copies(docs)
-    asked = asked_marks(hits, n).join(copies, "did", "left_anti")
-    found = stretches(docs.repartition(n, "did").join(asked, "did").select("did", "rid", "doc_id", "text", "marks"), scheme, within)
+    copies, hot = table(whole_copies(docs), "whole-copies"), hot_marks(hits)
+    asked = (asked_marks(hits, n) if asked is None else asked).join(copies, "did", "left_anti")
+    found = stretches(docs.repartition(n, "did").join(asked, "did").select("did", "rid", "doc_id", "text", "marks"), scheme, within, hot)
     spans = found.repartition(n, "mark").sortWithinPartitions("mark").mapInArrow(resolve, SPAN_DDL)
     everything = np.array([0, 2**62], np.int64).tobytes()
     spans = spans.unionByName(copies.select("did", F.lit(None).cast("long").alias("rid"), F.lit(everything).alias("data")))

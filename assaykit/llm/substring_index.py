@@ -1,10 +1,10 @@
 """Incremental substring dedup with a log-structured index of window fingerprints.
 
-The index is a list of runs: immutable tables, one row a bucket and run, with the sorted fingerprints of the windows'
-anchors (see repeats) and the documents that hold them. A batch's anchors are sorted by bucket and merge-joined with all
-runs; what meets is a candidate. The batch's own entries become a new run, and once there are more than `fan_in` runs
-they are compacted into one. Candidates are verified by comparing whole windows of words, so a fingerprint collision
-costs a comparison and never a word.
+The index is a folder of runs and a manifest. A run is an immutable table with buckets by ranges of fingerprints, a row a
+bucket with the sorted fingerprints of the windows' anchors (see repeats) and the documents that hold them. A batch's
+anchors are sorted into a new run, the only shuffle, which is merge-joined with all older runs bucket by bucket where
+they lie; what meets is a candidate. Once there are more than `fan_in` runs they are compacted into one. Candidates are
+verified by comparing whole windows of words, so a fingerprint collision costs a comparison and never a word.
 """
 
 from __future__ import annotations
@@ -16,66 +16,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import drop_table, keyed, parts, table
-from assaykit.llm.repeats import SPANS, Scheme, anchor_blocks, grouped, joined_spans, matched_anchors, packed, removable, table_of, unpacked
+from assaykit.llm import repeats
+from assaykit.llm.common import bucketed, drop_bucketed, keyed, opened_bucketed, parts, scratch, table
+from assaykit.llm.repeats import NOBODY, SPANS, Scheme, anchor_blocks, bucket_count, hits_of, joined_spans, packed, removable, sorted_entries, sure_hits, table_of, unpacked
 
 #: Words in a window, and in the grams of which a window's anchor is the least.
 WINDOW, GRAM = 13, 6
 RUN_DDL = "bucket int, data binary"
+RUN = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+HITS = pa.schema([("target", pa.int32()), ("data", pa.binary())])
+HITS_DDL = "target int, data binary"
+#: The block of a bucket without entries.
+NOTHING = packed(*[np.zeros(0, np.int64)] * 3)
 #: Rows of spans that are handed on together.
 SENT_ROWS = 1000
 
 
 class WindowIndex:
-    """Runs of fingerprints of everything added so far; add() gives the candidates that a batch brings.
+    """Runs of fingerprints of everything added so far, in a folder that later sessions open.
 
-    buckets must be the same for the index's life; a bucket's entries of all runs are read by one task.
+    Each change writes a new manifest beside the old ones: a row a run, or one without a run, with the index's settings.
+    Beside the runs lie the hits of each batch: the documents of marks that are known to be repeated.
+    The number of buckets holds for the index's life; a bucket of all runs is read by one task.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int, scheme: Scheme | None = None, fan_in: int = 4):
-        self.spark, self.buckets, self.fan_in = spark, buckets, fan_in
-        self.scheme = scheme or Scheme("word", WINDOW, GRAM)
-        self.runs: list[DataFrame] = []
+    def __init__(self, spark: SparkSession, folder: str, version: int, runs: list[str], buckets: int, fan_in: int):
+        self.spark, self.folder, self.version, self.runs, self.buckets, self.fan_in = spark, folder, version, runs, buckets, fan_in
+        self.scheme = Scheme("word", WINDOW, GRAM)
+
+    @classmethod
+    def create(cls, spark: SparkSession, folder: str, buckets: int, fan_in: int = 4) -> WindowIndex:
+        """An empty index in a new folder, which all executors share."""
+        index = cls(spark, folder, -1, [], buckets, fan_in)
+        index._note()
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> WindowIndex:
+        """The index in folder, as its newest manifest tells."""
+        told = spark.read.schema("version int, run string, buckets int, fan_in int").json(f"{folder}/manifest-*")
+        rows = told.where(F.col("version") == told.agg(F.max("version")).first()[0]).orderBy("run").collect()  # fan_in + 1 rows at most
+        return cls(spark, folder, rows[0]["version"], [r["run"] for r in rows if r["run"]], rows[0]["buckets"], rows[0]["fan_in"])
+
+    def _note(self) -> None:
+        self.version += 1
+        rows = [(self.version, run, self.buckets, self.fan_in) for run in self.runs or [None]]
+        self.spark.createDataFrame(rows, "version int, run string, buckets int, fan_in int").coalesce(1).write.json(f"{self.folder}/manifest-{self.version:08d}")
+
+    def _run(self, name: str) -> DataFrame:
+        return opened_bucketed(self.spark, f"{self.folder}/{name}", RUN_DDL, self.buckets, "bucket")
+
+    def merge_joined(self) -> DataFrame:
+        """bucket, data0, data1, ...: the blocks of all runs side by side. The runs' buckets lie together, so nothing is
+        shuffled."""
+        met = self._run(self.runs[0]).withColumnRenamed("data", "data0")
+        for i, run in enumerate(self.runs[1:], 1):
+            met = met.join(self._run(run).withColumnRenamed("data", f"data{i}").hint("merge"), "bucket")
+        return met
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Merge-joins the batch (did, text) with the runs and keeps its entries as a new run.
+        """Sorts the batch (did, text) into a new run and merge-joins it with the others.
 
         Returns target, data: packed, repeated marks of the batch's documents and of older documents that share them.
         """
-        blocks = table(anchor_blocks(batch, self.scheme, self.buckets, alone=False), "window-run")
-        met = blocks
-        for run in self.runs:
-            met = met.unionByName(run.where("bucket >= 0"))
-        hits = table(matched_anchors(met, self.buckets, alone=False), "window-hits")
-        self.runs.append(blocks)
+        targets, many = parts(batch), repeats.HOT
+        blocks = table(anchor_blocks(batch, self.scheme, self.buckets, targets, alone=False), "window-blocks")
+
+        def sort(x: pa.Table) -> pa.Table:
+            return run_of(x, sorted_entries(x.column("data").to_pylist()))
+
+        def meet(batches):
+            for _, entries in entries_of(batches):
+                yield table_of(hits_of(entries, targets, False, many), HITS)
+
+        every = batch.sparkSession.range(self.buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(NOTHING).alias("data"))
+        name = f"run-{self.version + 1:08d}"
+        bucketed(blocks.where("bucket >= 0").unionByName(every).groupBy("bucket").applyInArrow(sort, RUN_DDL), f"{self.folder}/{name}", self.buckets, "bucket")
+        self.runs.append(name)
+        hits = self.merge_joined().mapInArrow(meet, HITS_DDL)
+        hits.unionByName(sure_hits(blocks)).write.parquet(f"{self.folder}/hits-{self.version + 1:08d}")
+        hits = self.spark.read.schema(HITS_DDL).parquet(f"{self.folder}/hits-{self.version + 1:08d}")
         if len(self.runs) > self.fan_in:
             self.compact()
+        self._note()
         return hits
 
     def compact(self) -> None:
         """Merges all runs into one: a row a bucket, and of a mark known to be repeated a single entry."""
 
         def merge(batches):
-            for bucket, held in grouped(batches, "bucket"):
-                both = [unpacked(x) for b in held for x in b.column("data").to_pylist()]
-                mark, wait = (np.concatenate([x[k] for x in both]) for k in (0, 1))
-                order = np.lexsort((wait, mark))
-                mark, wait = mark[order], wait[order]
-                starts = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
-                # what has met was reported then; rows with one did haven't met
-                known = (wait[starts] == -1) | (wait[starts] != wait[np.r_[starts[1:], len(mark)] - 1])
-                yield table_of([(bucket, packed(mark[starts], np.where(known, -1, wait[starts])))], RUN)
-
-        met = self.runs[0]
-        for run in self.runs[1:]:
-            met = met.unionByName(run)
-        new = table(met.where("bucket >= 0").repartition(parts(met), "bucket").sortWithinPartitions("bucket").mapInArrow(merge, RUN_DDL), "window-run")
-        for run in self.runs:
-            drop_table(run)
-        self.runs = [new]
+            for bucket, (mark, wait, n) in entries_of(batches):
+                if len(mark):
+                    starts = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
+                    low, high = np.minimum.reduceat(wait, starts), np.maximum.reduceat(wait, starts)
+                    # what has met was reported then and is found among the hits; entries with one did haven't met
+                    mark, wait, n = mark[starts], np.where(low == high, low, NOBODY), np.add.reduceat(n, starts)
+                yield table_of([(bucket, packed(mark, wait, n))], RUN)
 
+        name, old = f"run-{self.version + 1:08d}-merged", self.runs
+        bucketed(self.merge_joined().mapInArrow(merge, RUN_DDL), f"{self.folder}/{name}", self.buckets, "bucket")
+        self.runs = [name]
+        for run in old:
+            drop_bucketed(self.spark, f"{self.folder}/{run}")
+
+
+def run_of(bucket: pa.Table, entries: list[np.ndarray]) -> pa.Table:
+    return pa.Table.from_batches([table_of([(bucket.column("bucket")[0].as_py(), packed(*entries))], RUN)])
 
-RUN = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+
+def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each bucket of merge_joined() with its entries of all runs, sorted by mark."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            yield row.column(0)[0].as_py(), sorted_entries([row.column(k)[0].as_py() for k in range(1, row.num_columns)])
 
 
 def resolver(scheme: Scheme):
@@ -122,17 +176,17 @@ def resolver(scheme: Scheme):
     return run
 
 
-def without_repeated_windows(docs: DataFrame, batches: int = 2, fan_in: int = 4) -> DataFrame:
+def without_repeated_windows(docs: DataFrame, batches: int = 4, fan_in: int = 2) -> DataFrame:
     """Each document without words in windows that a document with a smaller doc_id has: doc_id, n_words, n_removed, kept.
 
-    kept is the remaining words, joined by one space. The table goes through the index in batches of rising doc_id, as
-    it would over days; a window is judged against everything with a smaller doc_id. Null and empty texts have no words;
-    texts of under 13 words stay whole. A null doc_id comes last. Rows with the same doc_id don't take words from one
-    another. Other columns are ignored; an empty table gives an empty result.
+    kept is the remaining words, joined by one space. The table goes through a new index in batches of rising doc_id, as
+    it would over days, and the candidates of all batches are verified together; a window is judged against everything
+    with a smaller doc_id. Null and empty texts have no words; texts of under 13 words stay whole. A null doc_id comes
+    last. Rows with the same doc_id don't take words from one another. Other columns are ignored; an empty table gives an
+    empty result.
     """
-    spark, n = docs.sparkSession, parts(docs)
-    rows = keyed(docs)
-    index = WindowIndex(spark, n, fan_in=fan_in)
+    spark, rows = docs.sparkSession, keyed(docs)
+    index = WindowIndex.create(spark, scratch(spark, "window-index"), bucket_count(rows, parts(docs)), fan_in)
     bounds = rows.approxQuantile("did", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     bounds = sorted({int(b) for b in bounds})
     hits = []
@@ -146,7 +200,49 @@ def without_repeated_windows(docs: DataFrame, batches: int = 2, fan_in: int = 4)
     found = hits[0]
     for h in hits[1:]:
         found = found.unionByName(h)
-    found = removable(rows, found, index.scheme, resolver(index.scheme), within=False, n=n)
+    return cut_windows(removable(rows, found, index.scheme, resolver(index.scheme), within=False, n=parts(docs)))
+
+
+def new_documents(index: WindowIndex, batch: DataFrame, older: DataFrame) -> DataFrame:
+    """A batch's documents as without_repeated_windows() gives them, judged at once against all that the index holds.
+
+    batch and older have doc_id and text; older are the documents added before, and have smaller ids. Of them those are
+    compared that share a mark with the batch, as this batch's and all earlier hits tell.
+    """
+    rows, old = keyed(batch), keyed(older)
+    hits = index.add(rows)
+    shared = marks_of(hits).select("mark").distinct()
+    asked = marks_of(batch.sparkSession.read.schema(HITS_DDL).parquet(f"{index.folder}/hits-*")).join(shared, "mark", "left_semi")
+    asked = packed_marks(asked.groupBy("did").agg(F.collect_set("mark").alias("marks")))
+    found = removable(old.unionByName(rows), hits, index.scheme, resolver(index.scheme), within=False, n=parts(batch), asked=asked)
+    return cut_windows(found.join(rows.select("did").distinct(), "did", "left_semi"))
+
+
+def marks_of(hits: DataFrame) -> DataFrame:
+    """did, mark: the hits as rows."""
+    schema = pa.schema([("did", pa.int64()), ("mark", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for x in batch.column("data").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(k) for k in unpacked(x)[:2]], schema=schema)
+
+    return hits.where("target >= 0").select("data").mapInArrow(run, "did long, mark long")
+
+
+def packed_marks(asked: DataFrame) -> DataFrame:
+    """did, marks as bytes, from an array of them."""
+
+    def run(batches):
+        for batch in batches:
+            marks = [np.array(m, np.int64).tobytes() for m in batch.column("marks").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(marks, pa.binary())], names=["did", "marks"])
+
+    return asked.mapInArrow(run, "did long, marks binary")
+
+
+def cut_windows(found: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept from the rows and spans of removable()."""
 
     def run(batches):
         for batch in batches:

@@ -2,7 +2,7 @@
 
 A suffix bucket is the set of all windows with one cover position's content (see repeats: in every occurrence of a
 window the cover position stands at the same distance from its start). Buckets go to tasks and are sorted a block of
-them at a time, so memory is bounded by the block. Within a block the suffixes and the reversed prefixes at the cover
+them at a time; a bucket of very many windows is dealt by whole windows (see repeats), so memory is bounded by the block. Within a block the suffixes and the reversed prefixes at the cover
 positions are ranked once; windows are then told apart, however long their common prefixes, by the two ranks of their
 cover position alone. The cover is content-defined instead of the arithmetic difference cover: see the README.
 """
@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from assaykit.llm.common import keyed, parts
-from assaykit.llm.repeats import SPANS, Scheme, anchor_blocks, grouped, joined_spans, matched_anchors, removable, table_of
+from assaykit.llm.common import keyed, parts, table
+from assaykit.llm.repeats import SPANS, Scheme, anchor_blocks, bucket_count, grouped, joined_spans, matched_anchors, removable, table_of
 
 #: Bytes in a string, and in the grams of which its cover position begins the least.
 WINDOW, GRAM = 100, 50
-#: Stretches ranked together (whole buckets, so a block may have more), and stretches whose contexts are cut at once.
+#: Stretches ranked together (whole buckets, so a block may have a bucket's more), and stretches whose contexts are cut at once.
 BLOCK, CUT = 6_000, 2_000
 
 
@@ -98,7 +98,7 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return table_of([(d, r, np.array(f, np.int64).tobytes()) for d, r, f in zip(n["did"].tolist(), n["rid"].tolist(), found, strict=True) if f], SPANS)
 
     held, size = [], 0
-    for mark, of_mark in grouped(batches, "mark"):
+    for mark, of_mark in grouped(batches, "mark", loose=True):
         if mark < 0:
             for b in of_mark:
                 yield b.select(["did", "rid", "data"]).cast(SPANS)
@@ -124,7 +124,9 @@ def without_repeated_strings(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty result.
     """
     n, rows, scheme = parts(docs), keyed(docs), Scheme("byte", WINDOW, GRAM)
-    hits = matched_anchors(anchor_blocks(rows, scheme, n, alone=True), n, alone=True)
+    buckets = bucket_count(rows, n)
+    blocks = table(anchor_blocks(rows, scheme, buckets, n, alone=True), "anchor-blocks")
+    hits = table(matched_anchors(blocks, n, buckets, alone=True), "anchor-hits")
     found = removable(rows, hits, scheme, resolve, within=True, n=n)
 
     def run(batches):

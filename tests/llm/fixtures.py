@@ -26,6 +26,7 @@ def edge_rows():
         row(11, "x" * 70_000),
         row(12, "line one is long enough\nLINE ONE is long enough \nb"),
         row(13, "line one is long enough\nc"),
+        row(-1, " ".join(f"w{i % 977}" for i in range(50)), "en", "s1"),
         row(-4, "negative\u00a0id \u2028 with odd spaces\r\n"),
     ]
 

@@ -228,6 +228,53 @@ def test_substring_index(spark, rows, batches, fan_in):
     assert multiset(got) == multiset(brute_windows([r[:2] for r in rows]))
 
 
+def test_substring_index_of_a_later_session(spark, tmp_path):
+    from assaykit.llm.common import bucketed_name
+    from assaykit.llm.substring_index import WindowIndex, new_documents
+
+    rows = sorted((r for r in random_rows(90) if r[0] is not None), key=lambda r: r[0])
+    folder, cuts = f"file://{tmp_path}/index", [0, 20, 45, 60, 90]
+    WindowIndex.create(spark, folder, 8, fan_in=2)
+    want = {r[0]: r for r in brute_windows([r[:2] for r in rows])}
+    for a, b in zip(cuts, cuts[1:]):
+        session = spark.newSession()
+        index = WindowIndex.open(session, folder)
+        for run in index.runs:  # a later session's catalog doesn't know the runs
+            session.sql(f"DROP TABLE IF EXISTS {bucketed_name(f'{folder}/{run}')}")
+        got = new_documents(index, frame(session, rows[a:b]), frame(session, rows[:a])).collect()
+        assert multiset(tuple(r) for r in got) == multiset(want[r[0]] for r in rows[a:b])
+        assert len(index.runs) <= 2
+    plan = index.merge_joined()._jdf.queryExecution().executedPlan().toString()
+    assert len(index.runs) == 2 and "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("phrase", ["word", "byte"])
+def test_hot_phrase_in_different_surroundings_is_dealt_by_window(spark, monkeypatch, phrase):
+    from collections import Counter as Count
+
+    from assaykit.llm import repeats
+    from assaykit.llm.substring_index import without_repeated_windows
+    from assaykit.llm.suffix_dedup import without_repeated_strings
+
+    monkeypatch.setattr(repeats, "HOT", 50)
+    common = " ".join(f"licence{k}" for k in range(12 if phrase == "word" else 8))
+    words_of = lambda i: " ".join(f"w{i * 7919 + k}" for k in range(20))
+    rows = [(i, f"{words_of(i)} {common} {words_of(i + 5000)}", "en", "s", 0) for i in range(400)]
+    rows += [(1000 + i, f"{words_of(i + 9000)} x {common} y z {words_of(i + 12000)}", "en", "s", 0) for i in range(100)]
+    docs = frame(spark, rows)
+    seen = []
+    whole = repeats.stretches
+    monkeypatch.setattr(repeats, "stretches", lambda *a: seen.append(whole(*a)) or seen[-1])
+    if phrase == "word":
+        got = multiset(tuple(r) for r in without_repeated_windows(docs).collect())
+        assert got == multiset(brute_windows([r[:2] for r in rows]))
+    else:
+        got = multiset((*r[:4], bytes(r.kept)) for r in without_repeated_strings(docs).collect())
+        assert got == multiset(brute_strings([r[:2] for r in rows]))
+    of_mark = Count(r.mark for r in seen[0].select("mark").collect())
+    assert max(of_mark.values()) <= 120 and max(m for m in of_mark) >= repeats.OF_WINDOW
+
+
 def brute_strings(rows, n=100):
     first = {}
     for doc_id, text in sorted(rows, key=lambda r: last(r[0])):
