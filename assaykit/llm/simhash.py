@@ -3,7 +3,8 @@
 Distinct fingerprints form a binary trie. Its upper levels are traversed as data: a fingerprint goes to each pair of
 nodes at the split level that its own node makes within the error budget. Each pair of subtrees is then traversed in
 one task: node pairs go down together, bit by bit, carry the bits that differ, and are dropped when these exceed the
-budget. The split level grows with the number of fingerprints, so a subtree stays small. A task sends on only what
+budget; blocks of node pairs go down one after another, so memory is bounded. The split level grows with the number of
+fingerprints, so a subtree has some hundred thousand of them, and few fingerprints go to many pairs. A task sends on only what
 joins new parts of what it has seen, so a dense group costs as many rows as it has members, not pairs. Connected
 components are then found over fingerprints, in rounds of joins.
 """
@@ -27,8 +28,8 @@ from assaykit.llm.repeats import grouped, table_of
 SHINGLE, SEED = 3, 42
 #: Bits in which linked fingerprints may differ.
 BUDGET = 2
-#: Fingerprints of a subtree, about; node pairs with so few fingerprints are compared at once.
-SUBTREE, LEAF = 4096, 8
+#: Fingerprints of a subtree, about; node pairs with so few fingerprints are compared at once; node pairs of a block.
+SUBTREE, LEAF, NODES = 1 << 18, 8, 1 << 14
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -73,25 +74,24 @@ def subtree_pairs(left: np.ndarray, right: np.ndarray | None, depth: int, errors
     the budget; right None: of one subtree with itself. Yields index arrays, in blocks."""
     same = right is None
     right = left if same else right
-    # a node is a range of sorted fingerprints; a level of node pairs is traversed at a time
-    level = np.array([[0, len(left), 0, len(right), errors]], np.int64)
-    for bit in range(63 - depth, -2, -1):
+    # a node is a range of sorted fingerprints; the deepest block of node pairs goes first
+    blocks = [(63 - depth, np.array([[0, len(left), 0, len(right), errors]], np.int64))]
+    while blocks:
+        bit, level = blocks.pop()
         sizes = (level[:, 1] - level[:, 0]) * (level[:, 3] - level[:, 2])
         small = (sizes <= LEAF * LEAF) | (bit < 0)
-        for block in np.array_split(level[small], max(1, int(sizes[small].sum()) >> 20)):
-            if not len(block):
-                continue
-            a, b, c, d, _ = block.T
-            n = (b - a) * (d - c)
-            pair = np.repeat(np.arange(len(block)), n)
+        if small.any():
+            a, b, c, d, _ = level[small].T
+            n = sizes[small]
+            pair = np.repeat(np.arange(len(n)), n)
             k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             i, j = a[pair] + k // (d - c)[pair], c[pair] + k % (d - c)[pair]
             near = popcount(left[i] ^ right[j]) <= budget
             near &= (i < j) if same else True
             yield i[near], j[near]
-        level = level[~small]
-        if not len(level) or bit < 0:
-            return
+            level = level[~small]
+        if not len(level):
+            continue
         one = np.uint64(1) << np.uint64(bit)
         # all fingerprints of a node agree above `bit`, so its children meet where the bit turns on
         split = lambda x, lo, hi: np.minimum(np.maximum(np.searchsorted(x, x[lo] >> np.uint64(bit) >> np.uint64(1) << np.uint64(bit) << np.uint64(1) | one), lo), hi)
@@ -102,26 +102,39 @@ def subtree_pairs(left: np.ndarray, right: np.ndarray | None, depth: int, errors
         level = level[(level[:, 0] < level[:, 1]) & (level[:, 2] < level[:, 3]) & (level[:, 4] <= budget)]
         if same:  # a pair of nodes once: the other order is its mirror image
             level = level[level[:, 0] <= level[:, 2]]
+        blocks += [(bit - 1, x) for x in np.array_split(level, -(-len(level) // NODES) or 1) if len(x)]
 
 
 class Forest:
     """Which of n items are joined already."""
 
     def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.parent[max(i, j)] = min(i, j)
-        return i != j
+        self.parent = np.arange(n)
+
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        root = self.parent[of]
+        while ((up := self.parent[root]) != root).any():
+            root = up
+        self.parent[of] = root
+        return root
+
+    def joined(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Joins the pairs; the places of those that joined what was apart."""
+        a, b = self.roots(i), self.roots(j)
+        apart = np.flatnonzero(a != b)
+        # of pairs with the same two roots one is enough
+        ends = np.sort(np.stack((a[apart], b[apart]), 1), 1)
+        ends, first = np.unique(ends, axis=0, return_index=True)
+        out, parent = [], self.parent
+        for (a, b), k in zip(ends.tolist(), apart[first].tolist(), strict=True):
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append(k)
+        return np.array(out, np.int64)
 
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -129,7 +142,7 @@ EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def links(fps: DataFrame, count: int, n: int, budget: int = BUDGET) -> DataFrame:
     """a, b: pairs of distinct fingerprints (column fp) within the budget, as many as join what belongs together."""
-    depth = min(24, max(1, math.ceil(math.log2(max(2, count / SUBTREE)))))
+    depth = max(1, math.ceil(math.log2(max(2, count / SUBTREE))))
     masks = [sum(1 << b for b in bits) for k in range(budget + 1) for bits in combinations(range(depth), k)]
     node = F.shiftrightunsigned("fp", 64 - depth)
     x = fps.select("fp", node.alias("node"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
@@ -150,14 +163,10 @@ def links(fps: DataFrame, count: int, n: int, budget: int = BUDGET) -> DataFrame
             else:
                 continue
             shift = 0 if low == high else len(left)
-            forest, rows = Forest(len(left) + shift and len(left) + len(right)), []
+            forest = Forest(shift + len(right))
             for i, j in found:
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    if forest.join(p, q + shift):
-                        rows.append((p, q))
-            if rows:
-                i, j = np.array(rows).T
-                yield pa.RecordBatch.from_arrays([pa.array(left[i].view(np.int64)), pa.array(right[j].view(np.int64))], schema=EDGES)
+                if len(k := forest.joined(i, j + shift)):
+                    yield pa.RecordBatch.from_arrays([pa.array(left[i[k]].view(np.int64)), pa.array(right[j[k]].view(np.int64))], schema=EDGES)
 
     return x.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
 
@@ -201,13 +210,14 @@ def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
     Documents link when their fingerprints differ in at most `budget` bits; component_id is the smallest doc_id
     reachable. Null and empty texts have fingerprint zero and link like any others. A null doc_id never is the smallest,
-    unless its component has no other; then component_id is null. Repeated rows share a component. Other columns are
-    ignored; an empty table gives an empty result.
+    unless its component has no other; then component_id is null. Repeated rows share a component. Texts of any length
+    are hashed whole. Other columns are ignored; an empty table gives an empty result.
     """
     prints = table(fingerprints(docs), "prints")
     joined = rooted(prints, parts(docs), budget)
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
-    of_print = joined.join(least, "root").select("fp", "least")
+    # a table of its own, so that the join can split a fingerprint of very many documents
+    of_print = table(joined.join(least, "root").select("fp", "least"), "of-prints")
     out = prints.join(of_print, "fp")
     component = F.when(F.col("least") == F.col("did"), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
