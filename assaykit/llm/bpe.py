@@ -161,8 +161,8 @@ class Numbers(dict):
 UNCLEAR = re.compile(r"\s ")
 
 
-def encoded_texts(texts: Iterable[str], vocab: Vocabulary, pattern: regex.Pattern) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """For each text its ids, and the same in decimal, joined by spaces unit by unit.
+def encoded_texts(texts: Iterable[str], vocab: Vocabulary, pattern: regex.Pattern, told: bool = True) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """For each text its ids, and, if told, the same in decimal, joined by spaces unit by unit.
 
     A unit is a stretch that the pattern splits alike wherever it stands. A match never holds white space after other
     characters, so a space behind a non-space always begins a match, and what lies between two such spaces is a unit,
@@ -186,10 +186,10 @@ def encoded_texts(texts: Iterable[str], vocab: Vocabulary, pattern: regex.Patter
     upto = np.r_[0, np.cumsum(counts[of_unit])]
     piece_end = np.cumsum(n_pieces)
     starts, counts = upto[piece_end - n_pieces], upto[piece_end] - upto[piece_end - n_pieces]
-    flat = list(map(str, ids.tolist()))
+    flat = list(map(str, ids.tolist())) if told else []
     decimal = [" ".join(flat[a : a + k]) for a, k in zip(starts.tolist(), counts.tolist(), strict=True)]
     for words in docs:
-        yield ids[ranges(starts[words], counts[words])], [d for w in words.tolist() if (d := decimal[w])]
+        yield ids[ranges(starts[words], counts[words])], [d for w in words.tolist() if (d := decimal[w])] if told else []
 
 
 def encode(docs: DataFrame, tokens: tuple[bytes, ...], pattern: str) -> DataFrame:
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, tokens: tuple[bytes, ...], pattern: str) -> DataFram
     def run(batches):
         vocab, splits = vocabulary(tokens), regex.compile(pattern)
         for batch in chunks(batches, size=BATCH_BYTES):
-            ids = [x for x, _ in encoded_texts((t or "" for t in batch.column("text").to_pylist()), vocab, splits)]
+            ids = [x for x, _ in encoded_texts((t or "" for t in batch.column("text").to_pylist()), vocab, splits, told=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")

@@ -8,16 +8,17 @@ Arrow batches cut by bytes, without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.bpe import read_ranks
+from assaykit.llm.bpe import Vocabulary, encoded_texts, read_ranks
 from assaykit.llm.common import chunks
 
 
@@ -42,7 +43,7 @@ SCRIPTS = {"latin": Bands(low=1.3), "other": Bands(low=0.3, fallback=0.6, bits=2
 #: Characters counted as symbols (fixed value).
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_WORDS, MAX_REPEAT_PERCENT = 20, 8, 30
-#: Longest stretch that goes to the tokeniser at once; longer texts are measured in such stretches.
+#: Characters whose letters are counted at once.
 STRETCH = 1 << 15
 
 
@@ -83,19 +84,17 @@ def repeated_lines(text: str) -> int:
 @lru_cache(maxsize=1)
 def _tokenizers(ranks_path: str, pattern: str, pieces_path: str):
     import sentencepiece
-    import tiktoken
 
-    ranks = {t: i for i, t in enumerate(read_ranks(ranks_path))}
     pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
     is_byte = np.array([pieces.IsByte(i) for i in range(pieces.GetPieceSize())])
-    return tiktoken.Encoding("fertility", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), pieces, is_byte
+    return Vocabulary(read_ranks(ranks_path)), regex.compile(pattern), pieces, is_byte
 
 
 class Fertility:
     """chars_per_token, fallback_share, token_bits and the number of tokens of texts."""
 
     def __init__(self, ranks_path: str, pattern: str, pieces_path: str):
-        self.encoding, self.pieces, self.is_byte = _tokenizers(ranks_path, pattern, pieces_path)
+        self.vocabulary, self.pattern, self.pieces, self.is_byte = _tokenizers(ranks_path, pattern, pieces_path)
         self.fallback: dict[str, int] = {}
 
     def fallback_bytes(self, words: list[bytes]) -> int:
@@ -109,13 +108,15 @@ class Fertility:
                 self.fallback[w] = int(self.is_byte[ids].sum()) if ids else 0
         return sum(map(self.fallback.__getitem__, rare))
 
-    def measures(self, text: str, words: list[bytes]) -> tuple[float, float, float, int]:
-        ids = np.concatenate([np.array(self.encoding.encode_ordinary(text[i : i + STRETCH]), np.int64) for i in range(0, len(text), STRETCH)] or [np.zeros(0, np.int64)])
-        if not len(ids):
-            return 0.0, 0.0, 0.0, 0
-        share = np.unique(ids, return_counts=True)[1] / len(ids)
-        size = sum(map(len, words))
-        return len(text) / len(ids), (self.fallback_bytes(words) / size if size else 0.0), float(-(share * np.log2(share)).sum()), len(ids)
+    def measures(self, texts: list[str], words: list[list[bytes]]) -> Iterator[tuple[float, float, float, int]]:
+        """Of each text, tokenised whole, and its words."""
+        for text, mine, (ids, _) in zip(texts, words, encoded_texts(texts, self.vocabulary, self.pattern, told=False), strict=True):
+            if not len(ids):
+                yield 0.0, 0.0, 0.0, 0
+                continue
+            share = np.unique(ids, return_counts=True)[1] / len(ids)
+            size = sum(map(len, mine))
+            yield len(text) / len(ids), (self.fallback_bytes(mine) / size if size else 0.0), float(-(share * np.log2(share)).sum()), len(ids)
 
 
 def band_of(text: str, lang: str | None, languages: Mapping[str, Bands], scripts: Mapping[str, Bands]) -> Bands:
@@ -137,7 +138,8 @@ def quality_rules(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: s
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words are whole-text counts. base_failed: too few words or too
     many repeated ones. kept: not base_failed and inside the bands. A null or empty text has no words and fails the
-    base. A null language goes by script. Repeated rows get repeated results; other columns are ignored.
+    base. A null language, or a table without one, goes by script. Texts of any length are measured and tokenised whole.
+    Repeated rows get repeated results; other columns are ignored; an empty table gives an empty result.
     """
     measured = _measured(ranks_path, pattern, pieces_path, dict(languages), dict(scripts))
 
@@ -151,7 +153,7 @@ def quality_rules(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: s
 
 
 def keep_good(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, languages: Mapping[str, Bands] = LANGUAGES, scripts: Mapping[str, Bands] = SCRIPTS) -> DataFrame:
-    """The rows of docs (with text and lang) that quality_rules() keeps, with all their columns."""
+    """The rows of docs (with text, and lang if there is one) that quality_rules() keeps, with all their columns."""
     measured = _measured(ranks_path, pattern, pieces_path, dict(languages), dict(scripts))
 
     def run(batches):
@@ -167,14 +169,13 @@ def _measured(ranks_path: str, pattern: str, pieces_path: str, languages: dict,
     def run(batches):
         fertility = Fertility(ranks_path, pattern, pieces_path)
         for batch in chunks(batches):
-            rows = []
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                text = text or ""
-                words = text.encode().split()
+            rows, texts = [], [text or "" for text in batch.column("text").to_pylist()]
+            langs = batch.column("lang").to_pylist() if "lang" in batch.schema.names else [None] * len(texts)
+            of_text = [text.encode().split() for text in texts]
+            for text, lang, words, (per_token, fallback, bits, n) in zip(texts, langs, of_text, fertility.measures(texts, of_text), strict=True):
                 chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
                 repeat = repeated_words(words)
                 failed = len(words) < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * len(words)
-                per_token, fallback, bits, n = fertility.measures(text, words)
                 b = band_of(text, lang, languages, scripts)
                 rule = "base" if failed else "chars_per_token" if not b.low <= per_token <= b.high else "fallback_share" if fallback > b.fallback else "token_bits" if n >= b.sure and bits < b.bits else None
                 rows.append((len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeat, failed, rule is None, per_token, fallback, bits, rule))

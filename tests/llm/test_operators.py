@@ -55,6 +55,7 @@ def test_quality_rules(spark, rows):
     base = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got]
     assert multiset(base) == multiset((r[0], *brute_base(r[1])) for r in rows)
     assert all(not r.kept for r in got if r.base_failed)
+    assert keep_good(docs.drop("lang"), BYTE_BPE, public_tokenizers.PATTERN, PIECES).count() <= len(rows)
     kept = keep_good(docs, BYTE_BPE, public_tokenizers.PATTERN, PIECES)
     assert kept.columns == docs.columns
     assert multiset(r.doc_id for r in kept.collect()) == multiset(r.doc_id for r in got if r.kept)
@@ -71,6 +72,26 @@ def test_quality_bands(spark):
     assert got[4].fallback_share > 0.3
 
 
+def test_quality_measures():
+    import math
+
+    import sentencepiece
+
+    from assaykit.llm.quality import Fertility
+
+    library = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(__import__("assaykit.llm.bpe", fromlist=["x"]).read_ranks(BYTE_BPE))}, special_tokens={})
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [r[1] or "" for r in random_rows(40) + edge_rows()] + ["word and another\n" * 60_000, "𐌰𐌱 plain 漢字\u200d \x01 tab\tsep " * 9]
+    for text, (per_token, fallback, bits, n) in zip(texts, Fertility(BYTE_BPE, public_tokenizers.PATTERN, PIECES).measures(texts, [words(t) for t in texts]), strict=True):
+        ids = library.encode_ordinary(text)
+        assert n == len(ids)
+        if ids:
+            size = sum(map(len, words(text)))
+            spelled = sum(sum(pieces.IsByte(i) for i in pieces.encode(w.decode())) for w in words(text)) if len(text) < 100_000 else 0
+            assert math.isclose(per_token, len(text) / n) and math.isclose(fallback, spelled / size if size else 0)
+            assert math.isclose(bits, -sum(k / n * math.log2(k / n) for k in Counter(ids).values()), abs_tol=1e-9)
+
+
 def test_script_is_told_from_all_letters():
     from assaykit.llm.quality import LANGUAGES, SCRIPTS, band_of
 
@@ -343,7 +364,7 @@ def brute_groups(rows):
         yield doc_id, f"{p:016x}", None if smallest == last(None) else smallest
 
 
-@pytest.mark.parametrize("subtree", [4, 4096])
+@pytest.mark.parametrize("subtree", [4, 1 << 18])
 def test_simhash(spark, rows, subtree, monkeypatch):
     from assaykit.llm import simhash
 
