@@ -4,7 +4,7 @@ Distinct fingerprints form a binary trie. Its upper levels are traversed as data
 nodes at the split level that its own node makes within the error budget. Each pair of subtrees is then traversed in
 one task: node pairs go down together, bit by bit, carry the bits that differ, and are dropped when these exceed the
 budget; blocks of node pairs go down one after another, so memory is bounded. The split level grows with the number of
-fingerprints, so a subtree has some hundred thousand of them, and few fingerprints go to many pairs. A task sends on only what
+fingerprints, so a subtree has some ten thousand of them, and few fingerprints go to many pairs. A task sends on only what
 joins new parts of what it has seen, so a dense group costs as many rows as it has members, not pairs. Connected
 components are then found over fingerprints, in rounds of joins.
 """
@@ -29,7 +29,7 @@ SHINGLE, SEED = 3, 42
 #: Bits in which linked fingerprints may differ.
 BUDGET = 2
 #: Fingerprints of a subtree, about; node pairs with so few fingerprints are compared at once; node pairs of a block.
-SUBTREE, LEAF, NODES = 1 << 18, 8, 1 << 14
+SUBTREE, LEAF, NODES = 1 << 17, 8, 1 << 14
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -142,7 +142,7 @@ EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def links(fps: DataFrame, count: int, n: int, budget: int = BUDGET) -> DataFrame:
     """a, b: pairs of distinct fingerprints (column fp) within the budget, as many as join what belongs together."""
-    depth = max(1, math.ceil(math.log2(max(2, count / SUBTREE))))
+    depth = max(2, math.ceil(math.log2(max(2, count / SUBTREE))))
     masks = [sum(1 << b for b in bits) for k in range(budget + 1) for bits in combinations(range(depth), k)]
     node = F.shiftrightunsigned("fp", 64 - depth)
     x = fps.select("fp", node.alias("node"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
