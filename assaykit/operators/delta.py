@@ -82,3 +82,24 @@ def reuse_class(entries: DataFrame, wanted: DataFrame, key: str, exact: Sequence
 def cache_key(*fields: str):
     """SHA-256 of a descriptor's fields as a JSON object with its keys in order."""
     return F.sha2(F.to_json(F.struct(*sorted(fields))), 256)
+
+
+#: Fields of a cached result's descriptor (fixed values).
+DESCRIPTOR = ("schema_version", "namespace", "repository_key", "lane_id", "contract_version", "input_fingerprint", "dependency_fingerprint", "environment_fingerprint", "scope")
+
+
+def descriptor_key(descriptors: DataFrame) -> DataFrame:
+    """descriptors with key: the SHA-256 of all nine fields, a missing scope as null."""
+    return descriptors.withColumn("key", F.sha2(F.to_json(F.struct(*sorted(DESCRIPTOR)), {"ignoreNullFields": "false"}), 256))
+
+
+def lane_descriptors(lanes: DataFrame, files: DataFrame) -> DataFrame:
+    """lanes (lane_id and further fields) with the fingerprints of their input and dependency files.
+
+    files: lane_id, role (input or dependency), path, sha256. A fingerprint is the SHA-256 of the sorted paths and hashes.
+    """
+    told = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha256"))), "\n")
+    by_role = files.groupBy("lane_id").pivot("role", ["input", "dependency"]).agg(F.sha2(told, 256))
+    x = lanes.join(by_role, "lane_id", "left")
+    nothing = F.sha2(F.lit(""), 256)
+    return x.select(*lanes.columns, F.coalesce("input", nothing).alias("input_fingerprint"), F.coalesce("dependency", nothing).alias("dependency_fingerprint"))

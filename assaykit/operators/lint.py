@@ -1,12 +1,14 @@
 """Text linting: rules over documents and their lines, one finding a row.
 
-Lines are exploded once; all line rules are evaluated in that one pass and reduced to the first line of each pattern.
-A document row has doc_id and text; findings have doc_id, rule, severity, line (0: the whole text).
+Rules over whole texts and their first lines are told within the row: a pattern is tried on the whole text, and its lines
+are only looked at where it is there. Nothing is shuffled for them. A document row has doc_id and text; findings have doc_id, rule, severity, line (0: the whole text).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +70,17 @@ CONTRACT = (
 UNRESOLVED = r"(?i)\bTODO\b|\bTBD\b|\bFIXME\b|\bXXX\b|\?\?\?|<fill[\s_-]?in"
 EMPHASIS = r"\b(MUST(?:\s+NOT)?|NEVER|ALWAYS)\b"
 LEAST_EMPHASIS, WORDS_AN_EMPHASIS, LEAST_REPEATED = 4, 40, 40
+#: Words in lower case of which a text must hold one to match a pattern at all: a cheap test before the expression.
+NEEDS = {
+    **dict(zip(CREDENTIALS, (["sk-"], ["akia"], ["ghp_"], ["xox"], ["aiza"], ["private key"], ["password", "passwd", "pwd"], ["api", "secret", "token"], ["://"], ["bearer"]), strict=True)),
+    **dict(zip(INJECTIONS, (["instructions"], ["disregard"], ["prompt"], ["now"], ["pretend"]), strict=True)),
+    CAPABILITY: ["edit", "modify", "delete", "remove", "create", "write", "refactor", "rename", "move", "run", "install", "upgrade", "deploy", "push", "purchase", "buy", "checkout", "pay", "transaction", "submit", "send", "post"],
+    STOP: ["done", "stop", "ask", "check", "return", "not", "confirm", "approval", "forbidden", "human", "without"],
+    PERSISTENCE: ["until", "keep", "never", "spend", "assume"],
+    VERIFICATION: ["verif", "audit", "check", "review", "validat", "test", "surviv", "does"],
+    SCAFFOLD: ["step", "chain"],
+    UNRESOLVED: ["todo", "tbd", "fixme", "xxx", "???", "<fill"],
+}
 # Fixed values of the handoff rules.
 SECTIONS = ("Goal and definition of done", "Current state", "Next action", "Locked decisions and constraints", "File map", "Verification", "Dead ends", "Resume protocol", "Redaction note")
 MANY_LINES, TOO_MANY_LINES = 250, 400
@@ -87,10 +100,19 @@ def exploded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(lines_of(F.coalesce("text", F.lit(""))))).select("doc_id", (F.col("pos") + 1).alias("line"), F.col("col").alias("content"))
 
 
-def first_lines(docs: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """doc_id and for pattern i the first line that has it, in column l<i> (0: none)."""
-    lines = exploded(docs)
-    return lines.groupBy("doc_id").agg(*[F.coalesce(F.min(F.when(F.col("content").rlike(p), F.col("line"))), F.lit(0)).cast("long").alias(f"l{i}") for i, p in enumerate(patterns)])
+def has(low: Column, text: Column, pattern: str) -> Column:
+    """Whether a text, low in lower case, has the pattern."""
+    there = text.rlike(pattern)
+    return reduce(or_, (F.contains(low, F.lit(w)) for w in NEEDS[pattern])) & there if pattern in NEEDS else there
+
+
+def first_line(low: Column, text: Column, pattern: str) -> Column:
+    """The first line, from 1, that has the pattern; 0: none."""
+    # what looks ahead could look beyond a line's end, so the whole text is tried without that
+    there = text.rlike("(?m)" + pattern.partition("(?!")[0])
+    if pattern in NEEDS:
+        there = reduce(or_, (F.contains(low, F.lit(w)) for w in NEEDS[pattern])) & there
+    return F.when(there, F.array_position(F.transform(lines_of(text), lambda s: s.rlike(pattern)), True)).otherwise(0).cast("long")
 
 
 def _finding(rule: str, severity: Column | str, line: Column, when: Column) -> Column:
@@ -102,11 +124,13 @@ def prompt_findings(docs: DataFrame, agentic: bool = False, reasoning: bool = Fa
     """doc_id, rule, severity, line for all prompt rules but repeated lines."""
     line_rules = [*CREDENTIALS, *INJECTIONS, CAPABILITY, PERSISTENCE, SCAFFOLD, VAGUE, UNRESOLVED]
     n, m = len(CREDENTIALS), len(CREDENTIALS) + len(INJECTIONS)
-    text = F.coalesce("text", F.lit(""))
+    # a projection of its own, so that a text is lower-cased once
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+    low, text = F.col("low"), F.col("text")
     words = F.greatest(F.size(F.filter(F.split(text, "\\s+"), lambda w: w != "")), F.lit(1))
-    hits = F.regexp_count(text, F.lit(EMPHASIS))
-    whole = docs.select("doc_id", text.rlike(STOP).alias("stop"), text.rlike(VERIFICATION).alias("verified"), text.rlike(CONTRACT).alias("contract"), ((hits >= LEAST_EMPHASIS) & (hits > words / WORDS_AN_EMPHASIS)).alias("stacked"))
-    x = whole.join(first_lines(docs, line_rules), "doc_id", "left").na.fill(0)
+    hits = F.when(reduce(or_, (F.contains(text, F.lit(w)) for w in ("MUST", "NEVER", "ALWAYS"))), F.regexp_count(text, F.lit(EMPHASIS))).otherwise(0)
+    whole = [has(low, text, STOP).alias("stop"), has(low, text, VERIFICATION).alias("verified"), text.rlike(CONTRACT).alias("contract"), ((hits >= LEAST_EMPHASIS) & (hits > words / WORDS_AN_EMPHASIS)).alias("stacked")]
+    x = rows.select("doc_id", *whole, *[first_line(low, text, p).alias(f"l{i}") for i, p in enumerate(line_rules)])
     at = lambda i: F.col(f"l{i}")
     injected = F.coalesce(*[F.nullif(at(i), F.lit(0)) for i in range(n, m)])
     found = [
@@ -124,8 +148,14 @@ def prompt_findings(docs: DataFrame, agentic: bool = False, reasoning: bool = Fa
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST_REPEATED) -> DataFrame:
-    """doc_id, line, first: later lines that equal an earlier one but for case and ends; short ones don't count."""
-    x = exploded(docs).withColumn("key", F.lower(stripped(F.col("content")))).where(F.char_length("key") >= least)
+    """doc_id, line, first: later lines that equal an earlier one but for case and ends; short ones don't count.
+
+    Whether a text has any is told within the row, so only such texts' lines are shuffled.
+    """
+    key = lambda s: F.lower(stripped(s))
+    keys = F.filter(F.transform(lines_of(F.coalesce("text", F.lit(""))), key), lambda k: F.char_length(k) >= least)
+    some = docs.withColumn("_keys", keys).where(F.size(F.array_distinct("_keys")) < F.size("_keys"))
+    x = exploded(some).withColumn("key", key(F.col("content"))).where(F.char_length("key") >= least)
     first = x.groupBy("doc_id", "key").agg(F.min("line").alias("first"), F.array_sort(F.collect_list("line")).alias("lines")).where(F.size("lines") > 1)
     later = first.select("doc_id", "first", F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("line"))
     return later.select("doc_id", F.col("line").cast("long").alias("line"), F.col("first").cast("long").alias("first"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.scalars import has_text
 from assaykit.operators.findings import Rule, run_rules
+from assaykit.operators.graph import cycles
 
 #: States and types of tickets (fixed values).
 STATES = ("open", "closed")
@@ -57,3 +58,11 @@ def index_findings(tickets: DataFrame, links: DataFrame) -> DataFrame:
     x = state.join(links.select("tracker", "id").distinct().withColumn("linked", F.lit(True)), ["tracker", "id"], "full_outer")
     code = F.when(F.col("state").isNull(), "link-missing").when((F.col("state") == "closed") & F.col("linked").isNull(), "closed-not-indexed").when((F.col("state") == "open") & F.col("linked"), "open-indexed")
     return x.select("tracker", "id", code.alias("code")).where("code IS NOT NULL")
+
+
+def blocking_cycles(tickets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """tracker, members (sorted ids) of each set of open tickets that block one another in a ring."""
+    open_ids = tickets.where("state = 'open' AND id IS NOT NULL").select(F.col("tracker").alias("group"), F.col("id").alias("node")).distinct()
+    edges = blocks.select(F.col("tracker").alias("group"), F.col("id").alias("node"), F.col("blocker").alias("needs"))
+    edges = edges.join(open_ids, ["group", "node"], "left_semi").join(open_ids.withColumnRenamed("node", "needs"), ["group", "needs"], "left_semi")
+    return cycles(edges.select("group", "node", "needs")).withColumnRenamed("group", "tracker")

@@ -486,11 +486,11 @@ def graph_ready(spark, d):
     return graph.ready(nodes, edges, nodes.where("cost > 20")).withColumnRenamed("group", "grp")
 
 
-@query("graph_flowchart", """SELECT t.grp, concat('flowchart TD', chr(10), string_agg(concat('n', t.node, '["', 'task ', t.node, '"]'), chr(10) ORDER BY t.node), coalesce((SELECT chr(10) || string_agg(concat('n', e.node, ' --> n', e.needs), chr(10) ORDER BY e.node, e.needs) FROM {task_edge} e WHERE e.grp = t.grp AND EXISTS (SELECT 1 FROM {task} z WHERE z.grp = e.grp AND z.node = e.needs)), '')) AS text FROM {task} t WHERE t.grp % 50 = 0 GROUP BY t.grp""")
+@query("graph_flowchart", """SELECT t.grp, concat('flowchart TD', chr(10), string_agg(concat('n', t.node, '["', 'task ', t.node, '"]'), chr(10) ORDER BY t.node), coalesce((SELECT chr(10) || string_agg(concat('n', e.node, ' --> n', e.needs), chr(10) ORDER BY e.node, e.needs) FROM {task_edge} e WHERE e.grp = t.grp AND EXISTS (SELECT 1 FROM {task} z WHERE z.grp = e.grp AND z.node = e.needs)), '')) AS text FROM {task} t GROUP BY t.grp""")
 def graph_flowchart(spark, d):
     nodes, edges = _graph(spark, d)
-    nodes = nodes.where("group % 50 = 0").select("group", F.col("node").alias("position"), F.concat(F.lit("task "), "node").alias("label"))
-    edges = edges.where("group % 50 = 0").select("group", F.col("node").alias("source"), F.col("needs").alias("target"))
+    nodes = nodes.select("group", F.col("node").alias("position"), F.concat(F.lit("task "), "node").alias("label"))
+    edges = edges.select("group", F.col("node").alias("source"), F.col("needs").alias("target"))
     return graph.flowchart(nodes, edges).withColumnRenamed("group", "grp")
 
 
@@ -670,3 +670,6 @@ def finding_duplicates(spark, d):
 @query("finding_severities", f"SELECT e AS errors, 0::BIGINT AS warnings, CASE WHEN e > 0 THEN 2 ELSE 0 END::BIGINT AS exit_code FROM (SELECT count(*) FILTER (status_stored = 'done') + count(*) FILTER (priority_stored <> {PRIORITY}) AS e FROM {{candidate}})")
 def finding_severities(spark, d):
     return findings.severity_counts(ledger.shape_findings(view(spark, d, "candidate")))
+
+
+from assaykit import trace_queries  # noqa: E402, F401  registers its queries here
