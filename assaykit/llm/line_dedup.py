@@ -22,14 +22,17 @@ from assaykit.llm.common import bucketed, chunks, keyed, mixed, parts, scratch,
 from assaykit.llm.repeats import grouped, packed, table_of, unpacked
 
 #: White space stripped from a line's ends, and the shortest key (code points) that can be a repeat.
-STRIPPED, LEAST = " \t\n\x0b\x0c\r", 10
-LOWER = str.maketrans({c: chr(ord(c) + 32) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+STRIPPED, LEAST = b" \t\n\x0b\x0c\r", 10
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bits of each filter for each hash it may get, bits set for a hash, hashes of a segment.
 BITS, PROBES, SEGMENT = 12, 4, 1 << 20
 
 
-def line_keys(text: str) -> list[str]:
-    return [line.strip(STRIPPED) for line in text.translate(LOWER).split("\n")]
+def line_keys(text: str) -> list[bytes]:
+    """The keys of the lines, in UTF-8, those that are too short as empty ones."""
+    keys = [line.strip(STRIPPED) for line in text.encode().translate(LOWER).split(b"\n")]
+    # a code point has up to four bytes
+    return [k if len(k) >= 4 * LEAST or len(k) >= LEAST and (k.isascii() or len(k.decode()) >= LEAST) else b"" for k in keys]
 
 
 class Bloom:
@@ -67,7 +70,7 @@ def line_hashes(rows: DataFrame) -> DataFrame:
             out = []
             for did, rid, doc_id, text in zip(*(batch.column(k).to_pylist() for k in ("did", "rid", "doc_id", "text")), strict=True):
                 keys = line_keys(text)
-                hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in {k for k in keys if len(k) >= LEAST}], np.uint64)
+                hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in {*keys} if k], np.uint64)
                 out.append((did, rid, doc_id, len(keys), hashes.view(np.int64)))
             yield table_of(out, LINES)
 
@@ -110,7 +113,7 @@ def suspected(lines: DataFrame, n: int, count: int) -> DataFrame:
     return dealt.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(filters, "hash long")
 
 
-KEYS = pa.schema([("did", pa.int64()), ("rid", pa.int64()), ("key", pa.string()), ("places", pa.list_(pa.int32()))])
+KEYS = pa.schema([("did", pa.int64()), ("rid", pa.int64()), ("key", pa.binary()), ("places", pa.list_(pa.int32()))])
 
 
 def suspected_lines(docs: DataFrame) -> DataFrame:
@@ -120,17 +123,14 @@ def suspected_lines(docs: DataFrame) -> DataFrame:
         for batch in chunks(batches):
             out = []
             for did, rid, text, hashes in zip(*(batch.column(k).to_pylist() for k in ("did", "rid", "text", "hashes")), strict=True):
-                wanted, places = set(hashes), {}
+                wanted, places = {h % (1 << 64) for h in hashes}, {}
                 for i, key in enumerate(line_keys(text)):
-                    if len(key) >= LEAST:
+                    if key:
                         places.setdefault(key, []).append(i)
-                for key, at in places.items():
-                    h = xxhash.xxh3_64_intdigest(key)
-                    if (h - (1 << 64) if h >> 63 else h) in wanted:
-                        out.append((did, rid, key, at))
+                out += [(did, rid, key, at) for key, at in places.items() if xxhash.xxh3_64_intdigest(key) in wanted]
             yield table_of(out, KEYS)
 
-    return docs.select("did", "rid", "text", "hashes").mapInArrow(run, "did long, rid long, key string, places array<int>")
+    return docs.select("did", "rid", "text", "hashes").mapInArrow(run, "did long, rid long, key binary, places array<int>")
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
