@@ -1,9 +1,11 @@
-"""Byte-level BPE by merge replay over the distinct words of a batch of documents.
-
-The distinct pre-tokens of a batch are laid end to end, one token a byte. An inverted index maps each mergeable token
-pair to the positions where it stands; the replay takes the pair of the lowest rank, merges it at all its positions at
-once, and re-indexes only the neighbours it touched. Documents are then sequences of encoded words. Batches are cut by
-bytes within a task, so memory is bounded and nothing is shuffled.
+"""Byte-level BPE by merge replay over the distinct words of the corpus.
+
+Distinct pre-tokens are laid end to end, one token a byte. An inverted index maps each mergeable token pair to the
+positions where it stands; the replay takes the pair of the lowest rank, merges it at all its positions at once, and
+re-indexes only the neighbours it touched. The words of the corpus are counted first, and the most common ones, which
+are nearly all that a text has, are replayed once, spread over tasks. They go to all tasks as a table of bounded size;
+words beyond it are replayed with the batch of documents that has them. Documents are then sequences of encoded words.
+Batches are cut by bytes within a task, so memory is bounded; of texts nothing is shuffled but word counts.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import chunks, ranges
+from assaykit.llm.common import chunks, parts, ranges, table
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose distinct words are encoded together.
 BATCH_BYTES = 8 << 20
+#: Words that are encoded once for the whole corpus, the most common ones, and their most bytes: with ids 10 MB at most.
+COMMON, COMMON_BYTES = 1 << 16, 32
 
 
 def read_ranks(path: str) -> tuple[bytes, ...]:
@@ -161,8 +165,8 @@ class Numbers(dict):
 UNCLEAR = re.compile(r"\s ")
 
 
-def encoded_texts(texts: Iterable[str], vocab: Vocabulary, pattern: regex.Pattern, told: bool = True) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """For each text its ids, and, if told, the same in decimal, joined by spaces unit by unit.
+def split_texts(texts: Iterable[str], pattern: regex.Pattern) -> tuple[list[np.ndarray], list[list[int]], list[bytes]]:
+    """For each text the numbers of its units, for each unit the numbers of its words, and the words.
 
     A unit is a stretch that the pattern splits alike wherever it stands. A match never holds white space after other
     characters, so a space behind a non-space always begins a match, and what lies between two such spaces is a unit,
@@ -178,8 +182,33 @@ def encoded_texts(texts: Iterable[str], vocab: Vocabulary, pattern: regex.Patter
             keys[0] += " "  # marks the one unit that has no space before it
         docs.append(np.array(list(map(units.__getitem__, keys)), np.int64))
     split = [[pieces[k[0]]] if isinstance(k, tuple) else [pieces[m] for m in pattern.findall(k[:-1] if k[-1:] == " " else f" {k}")] for k in units]
-    ids, counts = vocab.encode([p.encode() for p in pieces])
-    starts = np.cumsum(counts) - counts
+    return docs, split, [p.encode() for p in pieces]
+
+
+class Common:
+    """Words with their ids, as flat arrays."""
+
+    def __init__(self, words: list[bytes], ids: list[bytes]):
+        self.number = {w: i for i, w in enumerate(words)}
+        self.ids = np.frombuffer(b"".join(ids), np.int32)
+        self.counts = np.array([len(x) // 4 for x in ids], np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def encode(self, words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, starts, counts of the words, those that aren't common by a replay of their own."""
+        at = np.array([self.number.get(w, -1) for w in words], np.int64)
+        new = at < 0
+        ids, counts = vocab.encode([w for w, n in zip(words, new.tolist(), strict=True) if n])
+        starts_all, counts_all = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts_all[new], counts_all[new] = np.cumsum(counts) - counts + len(self.ids), counts
+        starts_all[~new], counts_all[~new] = self.starts[at[~new]], self.counts[at[~new]]
+        return np.concatenate((self.ids, ids.astype(np.int32))), starts_all, counts_all
+
+
+def encoded_texts(texts: Iterable[str], vocab: Vocabulary, pattern: regex.Pattern, told: bool = True, common: Common | None = None) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """For each text its ids, and, if told, the same in decimal, joined by spaces unit by unit."""
+    docs, split, pieces = split_texts(texts, pattern)
+    ids, starts, counts = (common or Common([], [])).encode(pieces, vocab)
     of_unit = np.fromiter((p for ps in split for p in ps), np.int64)
     n_pieces = np.array([len(ps) for ps in split], np.int64)
     ids = ids[ranges(starts[of_unit], counts[of_unit])]
@@ -192,13 +221,49 @@ def encoded_texts(texts: Iterable[str], vocab: Vocabulary, pattern: regex.Patter
         yield ids[ranges(starts[words], counts[words])], [d for w in words.tolist() if (d := decimal[w])] if told else []
 
 
+def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
+    """word, n: how often each word of the corpus stands in its texts; words of over COMMON_BYTES bytes are left out."""
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+
+    def run(batches):
+        splits = regex.compile(pattern)
+        for batch in chunks(batches, size=BATCH_BYTES):
+            of_text, split, words = split_texts((t or "" for t in batch.column("text").to_pylist()), splits)
+            if not words:
+                continue
+            of_unit = np.bincount(np.concatenate(of_text), minlength=len(split))
+            sizes = np.array([len(x) for x in split], np.int64)
+            n = np.bincount(np.fromiter((w for x in split for w in x), np.int64), np.repeat(of_unit, sizes), len(words)).astype(np.int64)
+            kept = [(w, k) for w, k in zip(words, n.tolist(), strict=True) if len(w) <= COMMON_BYTES]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([k for _, k in kept], pa.int64())], schema=schema)
+
+    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def common_words(docs: DataFrame, tokens: tuple[bytes, ...], pattern: str) -> Common:
+    """The corpus's COMMON most common words with their ids: the merge replay over the corpus."""
+    schema = pa.schema([("word", pa.binary()), ("ids", pa.binary())])
+
+    def run(batches):
+        vocab = vocabulary(tokens)
+        words = [w for batch in batches for w in batch.column("word").to_pylist()]
+        ids, counts = vocab.encode(words)
+        cut = np.split(ids.astype(np.int32), np.cumsum(counts)[:-1]) if words else []
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([x.tobytes() for x in cut], pa.binary())], schema=schema)
+
+    top = table(word_counts(docs, pattern).orderBy(F.desc("n"), "word").limit(COMMON), "common-words")
+    told = top.select("word").repartition(parts(docs), "word").mapInArrow(run, "word binary, ids binary").collect()
+    return Common([bytes(r["word"]) for r in told], [bytes(r["ids"]) for r in told])
+
+
 def encode(docs: DataFrame, tokens: tuple[bytes, ...], pattern: str) -> DataFrame:
     """doc_id and ids (array of int) for each row; a null or empty text has no ids, repeated rows are encoded alike."""
+    common = common_words(docs, tokens, pattern)
 
     def run(batches):
         vocab, splits = vocabulary(tokens), regex.compile(pattern)
         for batch in chunks(batches, size=BATCH_BYTES):
-            ids = [x for x, _ in encoded_texts((t or "" for t in batch.column("text").to_pylist()), vocab, splits, told=False)]
+            ids = [x for x, _ in encoded_texts((t or "" for t in batch.column("text").to_pylist()), vocab, splits, told=False, common=common)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -220,13 +285,15 @@ def round_trip(docs: DataFrame, tokens: tuple[bytes, ...], pattern: str) -> Data
     """doc_id, n_tokens, and the SHA-256 of the decimal ids and of the bytes that the ids decode to, for each row.
 
     A null text counts as empty (no ids, no bytes); repeated rows give repeated results; an empty table an empty one.
+    Texts and words of any length are encoded whole. Counting the corpus's words runs when this is called.
     """
+    common = common_words(docs, tokens, pattern)
 
     def run(batches):
         vocab, splits = vocabulary(tokens), regex.compile(pattern)
         for batch in chunks(batches, size=BATCH_BYTES):
             n, told, back = [], [], []
-            for ids, decimal in encoded_texts((t or "" for t in batch.column("text").to_pylist()), vocab, splits):
+            for ids, decimal in encoded_texts((t or "" for t in batch.column("text").to_pylist()), vocab, splits, common=common):
                 n.append(len(ids))
                 told.append(hashlib.sha256(" ".join(decimal).encode()).hexdigest())
                 back.append(hashlib.sha256(vocab.decode(ids)).hexdigest())
