@@ -430,26 +430,6 @@ def test_byte_bpe(spark, rows):
     assert multiset((r.doc_id, bytes(r.bytes)) for r in decode(encoded, tokens).collect()) == multiset((d, b) for d, _, b in want)
 
 
-def test_byte_bpe_counts_the_words_of_the_corpus(spark, monkeypatch):
-    import regex
-
-    from assaykit.llm import bpe
-
-    tokens = bpe.read_ranks(BYTE_BPE)
-    rows = random_rows(80) + edge_rows()
-    docs = frame(spark, rows)
-    want = Counter(m.encode() for r in rows for m in regex.findall(public_tokenizers.PATTERN, r[1] or ""))
-    want = {w: n for w, n in want.items() if len(w) <= bpe.COMMON_BYTES}
-    assert {bytes(r.word): r.n for r in bpe.word_counts(docs, public_tokenizers.PATTERN).collect()} == want
-    # words beyond the common ones come out alike
-    monkeypatch.setattr(bpe, "COMMON", 3)
-    few = bpe.common_words(docs, tokens, public_tokenizers.PATTERN)
-    assert set(few.number) == set(sorted(want, key=lambda w: (-want[w], w))[:3])
-    few = multiset((r.doc_id, r.ids) for r in bpe.encode(docs, tokens, public_tokenizers.PATTERN).collect())
-    monkeypatch.setattr(bpe, "COMMON", 1 << 16)
-    assert few == multiset((r.doc_id, r.ids) for r in bpe.encode(docs, tokens, public_tokenizers.PATTERN).collect())
-
-
 def test_byte_bpe_odd_texts():
     import random
 
