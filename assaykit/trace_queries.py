@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assaykit.operators import delta, evidence, findings, graph, handoff, health_rules, ledger, lint, orders, scores, similar, skills, traceability, tracker
 from assaykit.plans.views import view
-from assaykit.queries import LINE_SQL, SQL, query, table
+from assaykit.queries import LINE_SQL, SQL, STOP_SQL, query, table
 from assaykit.sources import readers
 from assaykit.streaming import sessions
 
@@ -568,6 +568,14 @@ def session_newest_handoff(spark, d):
     return sessions.newest_valid(x, 4_000_000_000_000)
 
 
-@query("similar_passages")
+def _tokens_sql(text: str) -> str:
+    return f"list_distinct(list_filter(string_split(regexp_replace(lower({text}), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> '' AND NOT list_contains({STOP_SQL}, w)))"
+
+
+@query(
+    "similar_passages",
+    f"WITH d AS (SELECT doc_id, {_tokens_sql("coalesce(text, '')")} AS s FROM documents), b AS (SELECT item_id, {_tokens_sql('text')} AS s FROM benchmark), p AS (SELECT doc_id, item_id, len(list_intersect(d.s, b.s)) AS i, len(d.s) AS nd, len(b.s) AS nb FROM d, b),"
+    " q AS (SELECT *, greatest(i / (nd + nb - i), i / least(nd, nb)) AS v FROM p WHERE i > 0) SELECT doc_id, item_id, round(v, 6) AS similarity FROM q WHERE v >= 0.6",
+)
 def similar_passages(spark, d):
     return similar.contained_passages(table(spark, d, "documents"), table(spark, d, "benchmark"))
