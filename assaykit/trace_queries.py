@@ -579,3 +579,52 @@ def _tokens_sql(text: str) -> str:
 )
 def similar_passages(spark, d):
     return similar.contained_passages(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+_JSON = "CASE c_custkey % 4 WHEN 0 THEN '{broken' WHEN 1 THEN ' ' WHEN 2 THEN concat('{\"n\": ', CAST(c_custkey AS STRING), '}') END"
+
+
+@query("source_json_records", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 2 THEN c_custkey END AS n, CASE c_custkey % 4 WHEN 0 THEN 'json-invalid' WHEN 1 THEN 'json-absent' WHEN 3 THEN 'json-absent' END AS error FROM customer")
+def source_json_records(spark, d):
+    x = readers.json_records(table(spark, d, "customer").selectExpr("c_custkey AS id", f"{_JSON} AS text"), "text")
+    return x.select("id", F.try_variant_get("record", "$.n", "long").alias("n"), "error")
+
+
+_BLOCKS = (
+    "CASE c_custkey % 5 WHEN 0 THEN 'plain' WHEN 1 THEN concat_ws(chr(10), '---', 'a: b') ELSE concat_ws(chr(10), '---', '# note', concat('name: n', CAST(c_custkey AS STRING)), concat('about: ', CASE c_custkey % 5 WHEN 2 THEN '|' WHEN 3 THEN '>-' ELSE 'one' END),"
+    " '  first', '', concat('    at 9: ', c_name), 'last: \"q\"', ' stray: x', 'no colon', '---', 'body: 1') END"
+)
+
+
+@query(
+    "source_block_frontmatter",
+    "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 > 1 THEN concat('n', c_custkey) END AS name, CASE c_custkey % 5 WHEN 2 THEN concat('first', chr(10), chr(10), 'at 9: ', c_name) WHEN 3 THEN concat('first  at 9: ', c_name) WHEN 4 THEN 'one' END AS about,"
+    " CASE WHEN c_custkey % 5 > 1 THEN 'q' END AS last, CASE WHEN c_custkey % 5 > 1 THEN 3 END AS n, CASE c_custkey % 5 WHEN 0 THEN 'frontmatter-missing' WHEN 1 THEN 'frontmatter-unclosed' END AS error FROM customer",
+)
+def source_block_frontmatter(spark, d):
+    x = readers.block_frontmatter(table(spark, d, "customer").selectExpr("c_custkey AS id", f"{_BLOCKS} AS text"))
+    get = lambda k: F.try_element_at("fields", F.lit(k)).alias(k)
+    return x.select("id", get("name"), get("about"), get("last"), F.size(F.map_keys("fields")).alias("n"), "error")
+
+
+_TICKET = "CASE WHEN c_custkey % 6 = 0 THEN 'no block' ELSE concat_ws(chr(10), '---', concat('id: ', CAST(c_custkey AS STRING)), CASE WHEN c_custkey % 3 = 0 THEN 'title: T' END, 'type: task', 'state: open', CASE WHEN c_custkey % 4 = 0 THEN 'assignee: me' END, CASE WHEN c_custkey % 6 = 1 THEN 'blocked_by: [1, x]' ELSE 'blocked_by: [1, 2]' END, '---', 'body', CASE WHEN c_custkey % 5 = 0 THEN '## Resolution' END) END"
+
+
+@query(
+    "source_tickets",
+    "SELECT concat('m/t', c_custkey, '.md') AS path, CASE WHEN c_custkey % 6 <> 0 THEN c_custkey END AS id, CASE WHEN c_custkey % 6 = 3 THEN 'T' ELSE concat('t', c_custkey) END AS title, CASE WHEN c_custkey % 6 <> 0 AND c_custkey % 4 = 0 THEN 'me' ELSE '' END AS claimed_by,"
+    " CASE WHEN c_custkey % 6 > 1 THEN '1,2' END AS blocked_by, c_custkey % 6 <> 0 AND c_custkey % 5 = 0 AS has_resolution, CASE c_custkey % 6 WHEN 0 THEN 'frontmatter-missing' WHEN 1 THEN 'blocked-by-invalid' END AS error FROM customer",
+)
+def source_tickets(spark, d):
+    x = readers.tickets(table(spark, d, "customer").selectExpr("concat('m/t', c_custkey, '.md') AS path", f"{_TICKET} AS text"))
+    return x.select("path", "id", "title", "claimed_by", F.array_join(F.transform("blocked_by", lambda i: i.cast("string")), ",").alias("blocked_by"), "has_resolution", "error")
+
+
+@query(
+    "sink_templates",
+    "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 > 1 THEN concat('<b>', p_name, '</b>', p_type) END AS output, CASE WHEN p_partkey % 4 > 1 THEN sha256(concat('<b>', p_name, '</b>', p_type)) END AS sha256, CASE WHEN p_partkey % 4 > 1 THEN 7 + strlen(p_name) + strlen(p_type) END AS bytes,"
+    " CASE p_partkey % 4 WHEN 0 THEN 'marker-missing:@@TYPE@@' WHEN 1 THEN 'marker-duplicate:@@NAME@@' END AS error FROM part",
+)
+def sink_templates(spark, d):
+    x = table(spark, d, "part").selectExpr("p_partkey AS id", "p_name", "p_type", "CASE p_partkey % 4 WHEN 0 THEN '<b>@@NAME@@</b>' WHEN 1 THEN '@@NAME@@@@TYPE@@@@NAME@@' ELSE '<b>@@NAME@@</b>@@TYPE@@' END AS template")
+    return readers.filled(x, {"@@NAME@@": F.col("p_name"), "@@TYPE@@": F.col("p_type")}).select("id", "output", "sha256", "bytes", "error")

@@ -268,3 +268,13 @@ def test_graph_rounds_that_run_out_raise(spark):
         graph.cycles(ring, rounds=2)
     with pytest.raises(ValueError):
         graph.blocked_by(chain, failed, rounds=2)
+
+
+def test_json_files_and_block_values(spark, tmp_path):
+    for name, text in {"a": '{"n": 1}', "b": "{", "c": " "}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = {r.path[-6:]: (r.n, r.error) for r in readers.json_files(spark, f"file://{tmp_path}").selectExpr("path", "try_variant_get(record, '$.n', 'long') AS n", "error").collect()}
+    assert got == {"a.json": (1, None), "b.json": (None, "json-invalid"), "c.json": (None, "json-absent")}
+    got = readers.block_frontmatter(docs(spark, "---\nx: |\n  a\n\n  b\ny: >\n\tc\n\td\nx: 'e'\n---\n", "---\nx: |\n---", "", None, "---\nopen")).collect()
+    assert [r.fields for r in got] == [{"x": "e", "y": "c d"}, {"x": ""}, None, None, None]
+    assert [r.error for r in got] == [None, None, "frontmatter-missing", "frontmatter-missing", "frontmatter-unclosed"]
