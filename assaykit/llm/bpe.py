@@ -58,13 +58,24 @@ class Vocabulary:
 
     def one_word(self, word: bytes) -> list[int]:
         """The ids of one word by the definition: the lowest rank first, the leftmost first among equals."""
-        parts = [bytes([b]) for b in word]
-        while len(parts) > 1:
-            rank, i = min((self.rank.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == NONE:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.rank[p] for p in parts]
+        n = len(word)
+        parts: list[bytes | None] = [bytes([b]) for b in word]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(self.rank[p], i, p) for i in range(n - 1) if (p := word[i : i + 2]) in self.rank]
+        heapq.heapify(queue)
+        while queue:
+            _, i, made = heapq.heappop(queue)
+            k = after[i]
+            # what was queued counts as long as both parts stand; merges only lengthen them
+            if parts[i] is None or k >= n or parts[i] + parts[k] != made:
+                continue
+            parts[i], parts[k], after[i] = made, None, after[k]
+            if after[k] < n:
+                before[after[k]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] < n and (p := parts[a] + parts[after[a]]) in self.rank:
+                    heapq.heappush(queue, (self.rank[p], a, p))
+        return [self.rank[p] for p in parts if p is not None]
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = ids[(ids >= 0) & (ids < len(self.tokens))]

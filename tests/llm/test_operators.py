@@ -430,6 +430,30 @@ def test_byte_bpe(spark, rows):
     assert multiset((r.doc_id, bytes(r.bytes)) for r in decode(encoded, tokens).collect()) == multiset((d, b) for d, _, b in want)
 
 
+def test_byte_bpe_one_word():
+    """One word by the definition, against looking for the best pair anew after each merge; a long word ends soon."""
+    import random
+
+    from assaykit.llm.bpe import Vocabulary, read_ranks
+
+    vocab = Vocabulary(read_ranks(BYTE_BPE))
+
+    def plain(word: bytes) -> list[int]:
+        parts = [bytes([b]) for b in word]
+        while found := [(vocab.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in vocab.rank]:
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [vocab.rank[p] for p in parts]
+
+    draw = random.Random(5)
+    for _ in range(1500):
+        letters = draw.choice(["ab", "aaab", "the instr", "abcdefghijklmnopqrstuvwxyz", "áé你好ab", "=-_ "])
+        word = "".join(draw.choice(letters) for _ in range(draw.randint(0, 60))).encode()
+        assert vocab.one_word(word) == plain(word)
+    long = "".join(draw.choice("etaoinshr") for _ in range(100_000)).encode()
+    assert vocab.one_word(long) == vocab.encode([long])[0].tolist()
+
+
 def test_byte_bpe_odd_texts():
     import random
 
