@@ -634,13 +634,56 @@ def usage_latest(spark, d):
     return readers.last_usage(u.select("session", "pos", F.parse_json(entry).alias("entry")), "session", "pos")
 
 
-@query("usage_nudges")
+@query(
+    "usage_nudges",
+    """WITH RECURSIVE u AS (
+        SELECT user_id AS session, CAST(ts AS TIMESTAMP) AS "at", CAST(event_id * 20 AS BIGINT) AS tokens, coalesce(event_type = 'error', false) AS silent,
+            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+        FROM events
+    ), walk AS (
+        SELECT DISTINCT session, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS last, CAST(NULL AS TIMESTAMP) AS "at", false AS fired FROM u
+        UNION ALL
+        SELECT session, n, CASE WHEN fires THEN tokens ELSE last END, "at", fires
+        FROM (
+            SELECT u.session, u.n, u."at", u.tokens, w.last, u.tokens >= 120000 AND NOT u.silent AND (w.last = 0 OR u.tokens >= w.last + 30000) AS fires
+            FROM walk w JOIN u ON u.session IS NOT DISTINCT FROM w.session AND u.n = w.n + 1
+        )
+    ) SELECT session, "at", last AS tokens FROM walk WHERE fired""",
+)
 def usage_nudges(spark, d):
     x = table(spark, d, "events").selectExpr("user_id AS session", "CAST(ts AS TIMESTAMP) AS at", "CAST(event_id * 20 AS BIGINT) AS tokens", "CASE WHEN event_type = 'error' THEN CAST(ts AS TIMESTAMP) END AS handoff_at")
     return sessions.nudges(x)
 
 
-@query("lease_outcomes")
+@query(
+    "lease_outcomes",
+    """WITH RECURSIVE e AS (
+        SELECT *, row_number() OVER (PARTITION BY assignment ORDER BY at_ms, action) AS n
+        FROM (
+            SELECT user_id AS assignment, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS at_ms, 'w' || (event_id % 3) AS worker, event_id % 4 AS told,
+                CASE event_type WHEN 'click' THEN 'claim' WHEN 'view' THEN 'heartbeat' WHEN 'signup' THEN 'claim' ELSE 'completed' END AS action
+            FROM events
+        )
+    ), walk AS (
+        SELECT DISTINCT assignment, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS at_ms, '' AS action, '' AS worker, '' AS outcome, CAST(0 AS BIGINT) AS generation,
+            'none' AS status, CAST(0 AS BIGINT) AS expires
+        FROM e
+        UNION ALL
+        SELECT assignment, n, at_ms, action, worker, outcome, CASE WHEN outcome = 'CLAIMED' THEN generation + 1 ELSE generation END,
+            CASE WHEN outcome = 'CLAIMED' THEN 'active' WHEN outcome = 'OK' AND action <> 'heartbeat' THEN action ELSE status END,
+            CASE WHEN outcome = 'CLAIMED' OR (outcome = 'OK' AND action = 'heartbeat') THEN at_ms + 120000 WHEN outcome = 'OK' THEN at_ms ELSE expires END
+        FROM (
+            SELECT e.assignment, e.n, e.at_ms, e.action, e.worker, w.generation, w.status, w.expires,
+                CASE
+                    WHEN e.action = 'claim' AND w.status = 'active' AND w.expires > e.at_ms THEN 'LEASE_LIVE'
+                    WHEN e.action = 'claim' THEN 'CLAIMED'
+                    WHEN w.status <> 'active' OR e.told IS DISTINCT FROM w.generation THEN 'STALE_FENCE'
+                    ELSE 'OK'
+                END AS outcome
+            FROM walk w JOIN e ON e.assignment IS NOT DISTINCT FROM w.assignment AND e.n = w.n + 1
+        )
+    ) SELECT assignment, at_ms, action, worker, outcome, generation FROM walk WHERE n > 0""",
+)
 def lease_outcomes(spark, d):
     action = "CASE event_type WHEN 'click' THEN 'claim' WHEN 'view' THEN 'heartbeat' WHEN 'signup' THEN 'claim' ELSE 'completed' END"
     x = table(spark, d, "events").selectExpr("user_id AS assignment", "unix_millis(CAST(ts AS TIMESTAMP)) AS at_ms", f"{action} AS action", "concat('w', event_id % 3) AS worker", "event_id % 4 AS generation")

@@ -1,7 +1,7 @@
 """Keyed state over time: usage nudges, worker leases and executor admissions, as batch folds and as streams.
 
 Each is one step function over the events of a key in order. A stream keeps its state between batches; over a table
-the same function sees all events of a key, a batch of rows at a time.
+the same function gets all events of a key at once, so a key's events must fit a task.
 """
 
 from __future__ import annotations
