@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assaykit.llm.bpe import read_ranks, round_trip
 from assaykit.llm.common import bounded_batches
 from assaykit.llm.exact_dedup import exact_groups
+from assaykit.llm.filter_audit import audit, mask_cells
 from assaykit.llm.line_dedup import without_repeated_lines
 from assaykit.llm.mixing import mixture
 from assaykit.llm.quality import quality_rules
@@ -72,6 +73,10 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(mask_cells(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +84,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_quality_rules, op2_url_ratio, op3_substring_index, op4_simhash, op5_byte_bpe, op6_secrets, op7_line_dedup, op8_exact_dedup, op9_suffix_dedup, op10_mixture)}
+    each = (
+        op1_quality_rules, op2_url_ratio, op3_substring_index, op4_simhash, op5_byte_bpe, op6_secrets, op7_line_dedup, op8_exact_dedup, op9_suffix_dedup, op10_mixture,
+        op11_filter_audit,
+    )
+    return {"pipeline": pipeline} | {f.__name__: f for f in each}
 
 
 def _secrets_sql() -> str:
@@ -140,4 +149,32 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
                    row_number() OVER best = 1 AS kept, sha256(content) AS text_sha256
             FROM x WINDOW best AS (PARTITION BY content ORDER BY n DESC, doc_id)""",
+        "op11_filter_audit": r"""
+            WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+            w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+            firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+            said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+            fails AS (
+                SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                       [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+                        regexp_matches(text, '[#$%&*|]'), first < w.doc_id] AS fails
+                FROM w JOIN firsts USING (text) LEFT JOIN said ON said.doc_id = w.doc_id),
+            letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)) AS v(letter, k)),
+            orders AS (
+                SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks
+                FROM letters a, letters b, letters c, letters d, letters e
+                WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+            judged AS (
+                SELECT part, filter_order, step, ks[step] AS k, fails[ks[step]] AS here, good, toxic,
+                       len(list_filter(ks[1:step - 1], lambda x: fails[x])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS n_fails, n
+                FROM (SELECT part, fails, good, toxic, count(*) AS n FROM fails GROUP BY ALL), orders, unnest(range(1, 6)) AS u(step)),
+            steps AS (
+                SELECT part, filter_order, step, k, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0)::BIGINT AS kept,
+                       coalesce(sum(n) FILTER (here AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (here AND gone), 0)::BIGINT AS redundant,
+                       coalesce(sum(n) FILTER (here AND n_fails = 1), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (here AND NOT gone AND good), 0)::BIGINT AS good_lost,
+                       coalesce(sum(n) FILTER (here AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+                FROM judged GROUP BY part, filter_order, step, k)
+            SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+                   (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley
+            FROM steps""",
     }
