@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm.bpe import read_ranks, round_trip
+from assaykit.llm.collocations import collocations
 from assaykit.llm.common import bounded_batches
 from assaykit.llm.exact_dedup import exact_groups
 from assaykit.llm.filter_audit import audit, mask_cells
@@ -77,6 +78,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(mask_cells(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_quality_rules, op2_url_ratio, op3_substring_index, op4_simhash, op5_byte_bpe, op6_secrets, op7_line_dedup, op8_exact_dedup, op9_suffix_dedup, op10_mixture,
-        op11_filter_audit,
+        op11_filter_audit, op12_collocations,
     )
     return {"pipeline": pipeline} | {f.__name__: f for f in each}
 
@@ -149,6 +154,29 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
                    row_number() OVER best = 1 AS kept, sha256(content) AS text_sha256
             FROM x WINDOW best AS (PARTITION BY content ORDER BY n DESC, doc_id)""",
+        "op12_collocations": r"""
+            WITH pieces AS (
+                SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents),
+            words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+            sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+            grams AS (
+                SELECT lang, k, w[i : i + k - 1] AS p FROM words, unnest(range(1, 5)) AS a(k), unnest(range(1, len(w) - k + 2)) AS b(i)),
+            f AS (SELECT lang, k, p, count(*)::HUGEINT AS f FROM grams GROUP BY lang, k, p HAVING count(*) >= 30),
+            cuts AS (
+                SELECT c.lang, c.p, c.k, c.f AS a, cut, l.f AS l, r.f AS r, 2000000 * c.f // (l.f + r.f) AS score
+                FROM (SELECT f.*, cut, p[1:cut] AS head, p[cut + 1:] AS tail FROM f, unnest(range(1, k)) AS u(cut)) c
+                JOIN f l ON l.lang = c.lang AND l.p = c.head JOIN f r ON r.lang = c.lang AND r.p = c.tail),
+            scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+            holders AS (
+                SELECT lang, p[i : i + size - 1] AS p, max(f) AS most
+                FROM f, unnest(range(2, k)) AS a(size), unnest(range(1, k - size + 2)) AS b(i) GROUP BY ALL),
+            kept AS (
+                SELECT s.*, array_to_string(s.p, ' ') AS phrase FROM scored s LEFT JOIN holders h ON h.lang = s.lang AND h.p = s.p
+                WHERE most IS NULL OR 100 * most < 80 * a)
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n,
+                   score::BIGINT AS score
+            FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000""",
         "op11_filter_audit": r"""
             WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
             w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
