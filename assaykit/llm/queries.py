@@ -13,6 +13,7 @@ from assaykit.llm.collocations import collocations
 from assaykit.llm.common import bounded_batches
 from assaykit.llm.exact_dedup import exact_groups
 from assaykit.llm.filter_audit import audit, mask_cells
+from assaykit.llm.html_text import main_texts
 from assaykit.llm.line_dedup import without_repeated_lines
 from assaykit.llm.mixing import mixture
 from assaykit.llm.quality import quality_rules
@@ -82,6 +83,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_quality_rules, op2_url_ratio, op3_substring_index, op4_simhash, op5_byte_bpe, op6_secrets, op7_line_dedup, op8_exact_dedup, op9_suffix_dedup, op10_mixture,
-        op11_filter_audit, op12_collocations,
+        op11_filter_audit, op12_collocations, op13_html_text,
     )
     return {"pipeline": pipeline} | {f.__name__: f for f in each}
 
