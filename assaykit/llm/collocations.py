@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,14 +43,14 @@ BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("n_words", pa
 
 def blocks(docs: DataFrame) -> DataFrame:
     """block, lang, n_words, words, seq: the distinct words of some texts of one language, joined by spaces, and the
-    texts as numbers into them (int32), with -1 between pieces."""
+    texts as numbers into them (int32, compressed), with -1 between pieces."""
 
     def block(number: int, lang: str, texts: list[bytes]) -> tuple:
         tokens = b" . ".join([t.translate(PIECES).replace(b".", b" . ") for t in texts]).split()
         numbers = {b".": -1}
         seq = np.fromiter((numbers.setdefault(t, len(numbers) - 1) for t in tokens), np.int32, len(tokens))
         del numbers[b"."]
-        return number, lang, int((seq >= 0).sum()), b" ".join(numbers), seq.tobytes()
+        return number, lang, int((seq >= 0).sum()), b" ".join(numbers), zstandard.ZstdCompressor(level=1).compress(seq.tobytes())
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -70,17 +71,18 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 class Grams:
-    """The distinct n-grams of a block: `words`, and for each length (numbers, counts) with a row of word numbers each."""
+    """The distinct n-grams of a block, length by length: `words`, and for each longer length the (shorter one, last word) of
+    each n-gram; hashes and counts of all."""
 
-    def __init__(self, lang: str, words: bytes, seq: bytes, longest: int):
-        self.words = words.split(b" ")
-        seq, size = np.frombuffer(seq, np.int32).astype(np.int64), len(self.words)
-        seed = xxhash.xxh3_64_intdigest(lang.encode())
+    def __init__(self, row: dict, longest: int):
+        self.words = row["words"].split(b" ")
+        seq, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["seq"]), np.int32), len(self.words)
+        seed = xxhash.xxh3_64_intdigest(row["lang"].encode())
         word = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), U64, size)
-        at = np.flatnonzero(seq >= 0)
+        at = np.flatnonzero(seq >= 0).astype(np.int32)
         code = seq[at]
-        self.of_length = [(np.arange(size)[:, None], np.bincount(code, minlength=size))]
-        hashes = [word]
+        self.longer: list[tuple[np.ndarray, np.ndarray]] = []
+        hashes, counts = [word], [np.bincount(code, minlength=size)]
         for k in range(2, longest + 1):
             # an n-gram is a shorter one and a further word: exact numbers, no hashes
             on = at + k - 1 < len(seq)
@@ -88,12 +90,23 @@ class Grams:
             last = seq[at + k - 1]
             on = last >= 0
             at = at[on]
-            pair, code, counts = np.unique(code[on] * size + last[on], return_inverse=True, return_counts=True)
-            shorter, last = np.divmod(pair, size)
-            self.of_length.append((np.column_stack([self.of_length[-1][0][shorter], last]), counts))
+            pair, code, times = np.unique(code[on] * np.int64(size) + last[on], return_inverse=True, return_counts=True)
+            code = code.astype(np.int32)
+            shorter, last = pair // size, pair % size
             hashes.append(mixed(hashes[-1][shorter] * U64(0x9E3779B97F4A7C15) + word[last]))
-        self.hashes = np.concatenate(hashes)
-        self.counts = np.concatenate([c for _, c in self.of_length])
+            self.longer.append((shorter.astype(np.int32), last.astype(np.int32)))
+            counts.append(times)
+        self.sizes = [len(c) for c in counts]
+        self.hashes, self.counts = np.concatenate(hashes), np.concatenate(counts)
+
+    def phrases(self, length: int, chosen: np.ndarray) -> list[bytes]:
+        """The chosen n-grams of a length as text."""
+        columns = []
+        for shorter, last in self.longer[: length - 1][::-1]:
+            columns.append(last[chosen])
+            chosen = shorter[chosen]
+        words = [map(self.words.__getitem__, c.tolist()) for c in [chosen, *columns[::-1]]]
+        return [b" ".join(x) for x in zip(*words, strict=True)]
 
     def in_bands(self, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The n-grams' order by band and the low half of their hash; that half in order; where each n-gram's band begins."""
@@ -104,6 +117,12 @@ class Grams:
         return order, (key[order] & U64(0xFFFFFFFF)).astype(np.int64), band
 
 
+def each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time, as each is large."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def cuts_of(band: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(band[1:] != band[:-1]) + 1] if len(band) else np.zeros(0, np.int64)
 
@@ -117,8 +136,8 @@ def partial_sketches(held: DataFrame, bands: int, longest: int, least: int) -> D
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                grams = Grams(row["lang"], row["words"], row["seq"], longest)
+            for row in each(batch):
+                grams = Grams(row, longest)
                 order, low, band = grams.in_bands(bands)
                 counts, cut = np.minimum(grams.counts[order], least), cuts_of(band)
                 pieces = zip(band[cut].tolist(), np.split(low, cut[1:]), np.split(counts, cut[1:]), strict=True)
@@ -169,21 +188,21 @@ def survivor_counts(answered: DataFrame, bands: int, longest: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                grams = Grams(row["lang"], row["words"], row["seq"], longest)
+            for row in each(batch):
+                grams = Grams(row, longest)
                 order, _, band = grams.in_bands(bands)
                 sizes = np.diff(np.r_[cuts_of(band), len(band)])
                 bits = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=n) for a, n in zip(sorted(row["answers"], key=lambda a: a["band"]), sizes.tolist(), strict=True)]
                 alive = np.zeros(len(order), bool)
                 alive[order] = np.concatenate(bits).astype(bool)
                 start = 0
-                for numbers, counts in grams.of_length:
-                    keep = alive[start : start + len(counts)]
-                    start += len(counts)
-                    words = [map(grams.words.__getitem__, column.tolist()) for column in numbers[keep].T]
-                    phrases = pa.array([b" ".join(x) for x in zip(*words, strict=True)], pa.binary()).cast(pa.string())
+                for length, size in enumerate(grams.sizes, 1):
+                    chosen = np.flatnonzero(alive[start : start + size])
+                    counts = grams.counts[start + chosen]
+                    start += size
+                    phrases = pa.array(grams.phrases(length, chosen), pa.binary()).cast(pa.string())
                     lang = pa.array([row["lang"]] * len(phrases), pa.string())
-                    yield pa.RecordBatch.from_arrays([lang, phrases, pa.array(counts[keep].astype(np.int64))], schema=FOUND)
+                    yield pa.RecordBatch.from_arrays([lang, phrases, pa.array(counts.astype(np.int64))], schema=FOUND)
 
     return answered.mapInArrow(run, "lang string, phrase string, f long")
 
