@@ -690,6 +690,57 @@ def lease_outcomes(spark, d):
     return sessions.leases(x)
 
 
+def _lease_events(x):
+    action = "CASE event_type WHEN 'click' THEN 'claim' WHEN 'view' THEN 'heartbeat' WHEN 'signup' THEN 'recover' ELSE 'completed' END"
+    return x.selectExpr("user_id AS assignment", "unix_millis(CAST(ts AS TIMESTAMP)) AS at_ms", f"{action} AS action", "concat('w', event_id % 3) AS worker", "(event_id + user_id) % 2 + 1 AS generation")
+
+
+#: Milliseconds without a heartbeat after which a lease lapses in these queries: events of a user are hours apart.
+TTL_MS = 6 * 3_600_000
+_WATCHED = f"""WITH RECURSIVE e AS (
+        SELECT *, row_number() OVER (PARTITION BY assignment ORDER BY at_ms, action, worker, told) AS n
+        FROM (
+            SELECT user_id AS assignment, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS at_ms, 'w' || (event_id % 3) AS worker, (event_id + user_id) % 2 + 1 AS told,
+                CASE event_type WHEN 'click' THEN 'claim' WHEN 'view' THEN 'heartbeat' WHEN 'signup' THEN 'recover' ELSE 'completed' END AS action
+            FROM events
+        )
+    ), walk AS (
+        SELECT DISTINCT assignment, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS at_ms, '' AS action, '' AS worker, '' AS outcome, CAST(0 AS BIGINT) AS generation,
+            'none' AS status, CAST(0 AS BIGINT) AS expires, '' AS holder, false AS lapses, CAST(0 AS BIGINT) AS old_expires, '' AS old_holder, CAST(0 AS BIGINT) AS old_generation
+        FROM e
+        UNION ALL
+        SELECT assignment, n, at_ms, action, worker, outcome, CASE WHEN outcome = 'CLAIMED' THEN generation + 1 ELSE generation END,
+            CASE WHEN outcome = 'CLAIMED' THEN 'active' WHEN outcome = 'OK' AND action <> 'heartbeat' THEN action ELSE status END,
+            CASE WHEN outcome = 'CLAIMED' OR action = 'heartbeat' AND outcome = 'OK' THEN at_ms + {TTL_MS} WHEN outcome = 'OK' THEN at_ms ELSE expires END,
+            CASE WHEN outcome = 'CLAIMED' THEN worker ELSE holder END, lapses, expires, holder, generation
+        FROM (
+            SELECT *, CASE WHEN action IN ('claim', 'recover') THEN CASE WHEN status = 'active' THEN 'LEASE_LIVE' ELSE 'CLAIMED' END
+                WHEN status <> 'active' OR told IS DISTINCT FROM generation THEN 'STALE_FENCE' ELSE 'OK' END AS outcome
+            FROM (
+                SELECT e.assignment, e.n, e.at_ms, e.action, e.worker, e.told, w.generation, w.expires, w.holder,
+                    w.status = 'active' AND w.expires <= e.at_ms AS lapses, CASE WHEN w.status = 'active' AND w.expires <= e.at_ms THEN 'stale' ELSE w.status END AS status
+                FROM walk w JOIN e ON e.assignment IS NOT DISTINCT FROM w.assignment AND e.n = w.n + 1
+            )
+        )
+    )
+    SELECT assignment, at_ms, action, worker, outcome, generation FROM walk WHERE n > 0
+    UNION ALL SELECT assignment, old_expires, 'lapse', old_holder, 'STALE', old_generation FROM walk WHERE lapses
+    UNION ALL SELECT assignment, expires, 'lapse', holder, 'STALE', generation
+    FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY assignment ORDER BY n DESC) = 1), (SELECT max(at_ms) - {{DELAY}} AS until FROM e) WHERE status = 'active' AND expires <= until"""
+
+
+@query("lease_watch", _WATCHED.replace("{DELAY}", "0"))
+def lease_watch(spark, d):
+    return sessions.watched_leases(_lease_events(table(spark, d, "events")), ttl=TTL_MS)
+
+
+@query("lease_timers", _WATCHED.replace("{DELAY}", "600000"))
+def lease_timers(spark, d):
+    """The same as a stream over the table, where timers end leases as the watermark passes."""
+    source = table(spark, d, "events")
+    return sessions.streamed(sessions.lease_stream(_lease_events(spark.readStream.schema(source.schema).parquet(f"{d}/event[s].parquet")), TTL_MS, watch=True))
+
+
 # Sources
 
 
