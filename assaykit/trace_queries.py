@@ -398,10 +398,50 @@ def tracker_cycles(spark, d):
     return tracker.blocking_cycles(tickets, blocks).select("tracker", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
 
 
-@query("graph_task_cycles", "SELECT l_orderkey AS grp, '1,2,3' AS members FROM (SELECT l_orderkey, count(DISTINCT l_linenumber) FILTER (l_linenumber <= 3) AS n FROM lineitem GROUP BY l_orderkey) WHERE n = 3")
+#: Each line needs the one that three times its number leads to in its order, and lines of over 25 pieces the next one too.
+_TASKS = "SELECT DISTINCT l_orderkey AS grp, l_linenumber AS node, n FROM lineitem JOIN (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey) USING (l_orderkey)"
+_TASK_EDGES = f"""e AS (
+        SELECT DISTINCT grp, node, needs FROM (
+            SELECT grp, node, node * 3 % n + 1 AS needs FROM ({_TASKS})
+            UNION ALL SELECT l_orderkey, l_linenumber, l_linenumber + 1 FROM lineitem WHERE l_quantity > 25
+        ) WHERE node <> needs),
+    r AS (SELECT grp, node, needs FROM e UNION SELECT r.grp, r.node, e.needs FROM r JOIN e ON e.grp = r.grp AND e.node = r.needs),
+    tied AS (SELECT DISTINCT a.grp, a.node, a.needs AS other FROM r a JOIN r b ON b.grp = a.grp AND b.node = a.needs AND b.needs = a.node),
+    sets AS (SELECT grp, node, min(other) AS component FROM tied GROUP BY grp, node HAVING count(*) > 1)"""
+
+
+def _task_edges(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_linenumber").cast("long").alias("node"), "l_quantity")
+    last = lines.groupBy("group").agg(F.max("node").alias("n"))
+    ring = lines.join(last, "group").select("group", "node", (F.col("node") * 3 % F.col("n") + 1).alias("needs"))
+    return ring.unionByName(lines.where("l_quantity > 25").select("group", "node", (F.col("node") + 1).alias("needs")))
+
+
+@query("graph_task_cycles", f"WITH RECURSIVE {_TASK_EDGES} SELECT grp, string_agg(node::VARCHAR, ',' ORDER BY node) AS members FROM sets GROUP BY grp, component")
 def graph_task_cycles(spark, d):
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 3").selectExpr("l_orderkey AS group", "CAST(l_linenumber AS BIGINT) AS node", "CAST(CASE l_linenumber WHEN 3 THEN 1 ELSE l_linenumber + 1 END AS BIGINT) AS needs").distinct()
-    return graph.cycles(lines).select(F.col("group").alias("grp"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+    return graph.cycles(_task_edges(spark, d)).select(F.col("group").alias("grp"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+
+
+@query("graph_components", f"WITH RECURSIVE {_TASK_EDGES} SELECT grp, node, component FROM sets")
+def graph_components(spark, d):
+    return graph.components(_task_edges(spark, d)).withColumnRenamed("group", "grp")
+
+
+@query(
+    "graph_closed_paths",
+    f"""WITH RECURSIVE {_TASK_EDGES},
+    w AS (
+        SELECT grp, component, node, [node] AS path, false AS closed FROM sets WHERE node = component
+        UNION ALL
+        SELECT w.grp, w.component, e.needs, list_append(w.path, e.needs), e.needs = w.component
+        FROM w JOIN e ON e.grp = w.grp AND e.node = w.node JOIN sets s ON s.grp = w.grp AND s.node = e.needs AND s.component = w.component
+        WHERE NOT w.closed AND (e.needs = w.component OR NOT list_contains(w.path, e.needs)))
+    SELECT grp, array_to_string(path, '->') AS path FROM w WHERE closed QUALIFY row_number() OVER (PARTITION BY grp, component ORDER BY len(path), path) = 1""",
+)
+def graph_closed_paths(spark, d):
+    """The tasks of an order that can't be run, with the path that shows why."""
+    x = graph.closed_paths(_task_edges(spark, d))
+    return x.select(F.col("group").alias("grp"), F.array_join(F.transform("path", lambda m: m.cast("string")), "->").alias("path"))
 
 
 # Single rules
