@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import chunks, mixed, ranges, table
+from assaykit.llm.common import LAST_ID, chunks, mixed, ranges, table
 
 #: Symbols hashed at once; longer texts go in overlapping pieces. Bytes of text whose anchors are packed together.
 PIECE, BATCH_BYTES = 1 << 17, 16 << 20
@@ -161,8 +161,9 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 
 
 def answers(dids: np.ndarray, marks: np.ndarray, targets: int) -> Iterator[tuple[int, bytes]]:
-    """Documents and their marks, packed for each of so many targets that the documents are dealt to."""
-    target = (mixed(dids.astype(U64)) % U64(targets)).astype(np.int64)
+    """Documents and their marks, packed for each of so many targets that the documents are dealt to; rows without an id,
+    which may be many, by their marks."""
+    target = (mixed(np.where(dids == LAST_ID, marks, dids).astype(U64)) % U64(targets)).astype(np.int64)
     order = np.lexsort((dids, target))
     for t, a, z in zip(*_cuts(target[order]), strict=True):
         at = order[a:z]
@@ -304,10 +305,14 @@ def hot_marks(hits: DataFrame) -> np.ndarray:
 
 
 ASKED = pa.schema([("did", pa.int64()), ("marks", pa.binary())])
+def spot() -> Column:
+    """Tells rows of one did apart that have no id: they are as many as they like, and each is a key of its own."""
+    return F.when(F.col("did") == LAST_ID, F.col("rid")).otherwise(F.lit(0).cast("long"))
 
 
 def asked_marks(hits: DataFrame, n: int) -> DataFrame:
-    """did, marks (distinct, sorted, as bytes): a row a document, from the packed answers of its target."""
+    """did, marks (distinct, sorted, as bytes): a row a document, from the packed answers of its target; of rows without an id
+    one for each target."""
 
     def run(batches):
         for _, held in grouped(batches, "target"):
@@ -322,6 +327,52 @@ def asked_marks(hits: DataFrame, n: int) -> DataFrame:
     return hits.where("target >= 0").repartition(n, "target").sortWithinPartitions("target").mapInArrow(run, "did long, marks binary")
 
 
+def own_marks(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """rid, mark: the marks of each text."""
+    schema = pa.schema([("rid", pa.int64()), ("mark", pa.int64())])
+
+    def run(batches):
+        for batch in chunks(batches, size=BATCH_BYTES):
+            rids = batch.column("rid").to_numpy(zero_copy_only=False)
+            for _, doc, start, anchor, mark in pieces([t or "" for t in batch.column("text").to_pylist()], scheme):
+                new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] + anchor[1:] != start[:-1] + anchor[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(rids[doc[new]]), pa.array(mark[new].astype(np.int64))], schema=schema)
+
+    return docs.select("rid", "text").mapInArrow(run, "rid long, mark long")
+
+
+def packed_marks(asked: DataFrame) -> DataFrame:
+    """did, spot, marks as bytes, from an array of them."""
+
+    def run(batches):
+        for batch in batches:
+            marks = [np.sort(np.array(m, np.int64)).tobytes() for m in batch.column("marks").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("spot"), pa.array(marks, pa.binary())], names=["did", "spot", "marks"])
+
+    return asked.mapInArrow(run, "did long, spot long, marks binary")
+
+
+def asked_of_rows(docs: DataFrame, asked: DataFrame, scheme: Scheme) -> DataFrame:
+    """did, spot, marks: what each row is asked for. asked: did and marks (bytes), or did and mark.
+
+    A row without an id finds its marks by joining its own ones with those asked of such rows.
+    """
+    if "mark" in asked.columns:
+        single = asked.where(F.col("did") == LAST_ID).select("mark")
+        real = packed_marks(asked.where(F.col("did") != LAST_ID).withColumn("spot", F.lit(0).cast("long")).groupBy("did", "spot").agg(F.collect_set("mark").alias("marks")))
+    else:
+        numbers = lambda batches: (pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], ["mark"]) for b in batches for x in b.column("marks").to_pylist())
+        single = asked.where(F.col("did") == LAST_ID).select("marks").mapInArrow(numbers, "mark long")
+        real = asked.where(F.col("did") != LAST_ID).select("did", F.lit(0).cast("long").alias("spot"), "marks")
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return real
+    # tables of their own, so that both sides are plain shuffles and a very common mark can be split
+    wanted = table(single.distinct(), "marks-without-id")
+    found = table(own_marks(nameless, scheme), "own-marks").join(wanted, "mark").groupBy("rid").agg(F.collect_set("mark").alias("marks"))
+    return real.unionByName(packed_marks(found.select(F.lit(LAST_ID).alias("did"), F.col("rid").alias("spot"), "marks")))
+
+
 STRETCHES = pa.schema([("mark", pa.int64()), ("content", pa.binary()), ("did", pa.int64()), ("rid", pa.int64()), ("anchor", pa.int32()), ("windows", pa.int32()), ("data", pa.binary())])
 STRETCH_DDL = "mark long, content binary, did long, rid long, anchor int, windows int, data binary"
 
@@ -407,15 +458,15 @@ def joined_spans(spans: list[bytes], n: int) -> list[tuple[int, int]]:
 
 
 def whole_copies(docs: DataFrame) -> DataFrame:
-    """did of documents whose whole text stands in a document with a smaller did: all their windows are repeats.
+    """did and spot of documents whose whole text stands in a document with a smaller did: all their windows are repeats.
 
     Ids with several texts are left to the windows themselves. The first of each text are a table of their own, so that
     the join can split a text of very many documents.
     """
-    thin = docs.select("did", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    thin = thin.groupBy("did").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).where("digest = other").select("did", "digest")
+    thin = docs.select("did", spot().alias("spot"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    thin = thin.groupBy("did", "spot").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).where("digest = other").select("did", "spot", "digest")
     first = table(thin.groupBy("digest").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first-of-text")
-    return thin.join(first, "digest").where("did > first").select("did")
+    return thin.join(first, "digest").where("did > first").select("did", "spot")
 
 
 Resolver = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -425,13 +476,16 @@ def removable(docs: DataFrame, hits: DataFrame, scheme: Scheme, resolve: Resolve
     """docs (did, rid, doc_id, text) with `spans`: an array of (rid, data) with spans of symbols to remove.
 
     A whole copy's span is everything. The documents with repeated marks go through round 2. hits is a table;
-    asked (did, marks) tells the documents with repeated marks where the hits don't.
+    asked (did, mark) tells the documents with repeated marks where the hits don't. Rows are dealt by did, those without an
+    id by their text too.
     """
     copies, hot = table(whole_copies(docs), "whole-copies"), hot_marks(hits)
-    asked = (asked_marks(hits, n) if asked is None else asked).join(copies, "did", "left_anti")
-    found = stretches(docs.repartition(n, "did").join(asked, "did").select("did", "rid", "doc_id", "text", "marks"), scheme, within, hot)
-    spans = found.repartition(n, "mark").sortWithinPartitions("mark").mapInArrow(resolve, SPAN_DDL)
+    keys = ["did", "spot"]
+    asked = asked_of_rows(docs, asked_marks(hits, n) if asked is None else asked, scheme).join(copies, keys, "left_anti")
+    dealt = docs.withColumn("spot", spot()).repartition(n, *keys)
+    found = stretches(dealt.join(asked, keys).select("did", "rid", "doc_id", "text", "marks"), scheme, within, hot)
+    spans = found.repartition(n, "mark").sortWithinPartitions("mark").mapInArrow(resolve, SPAN_DDL).withColumn("spot", spot())
     everything = np.array([0, 2**62], np.int64).tobytes()
-    spans = spans.unionByName(copies.select("did", F.lit(None).cast("long").alias("rid"), F.lit(everything).alias("data")))
-    spans = spans.groupBy("did").agg(F.collect_list(F.struct("rid", "data")).alias("spans"))
-    return docs.repartition(n, "did").join(spans, "did", "left").select("did", "rid", "doc_id", "text", "spans")
+    spans = spans.unionByName(copies.select("did", F.lit(None).cast("long").alias("rid"), F.lit(everything).alias("data"), "spot"))
+    spans = spans.groupBy(*keys).agg(F.collect_list(F.struct("rid", "data")).alias("spans"))
+    return dealt.join(spans, keys, "left").select("did", "rid", "doc_id", "text", "spans")
