@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from assaykit.functions import scalars
 from assaykit.operators import delta, evidence, findings, graph, health, health_rules, ledger, lint, scores, similar, tracker
 from assaykit.plans.views import VIEWS, view
-from assaykit.sources import readers
+from assaykit.functions.shared import shared_folder
+from assaykit.sources import files, readers
 from assaykit.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -744,6 +746,40 @@ def lease_timers(spark, d):
 # Sources
 
 
+@query(
+    "source_tail_usage",
+    """WITH e AS (SELECT user_id, event_id, event_type FROM events),
+    told AS (SELECT user_id, event_id FROM e WHERE event_type NOT IN ('error', 'signup') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+    SELECT coalesce(u.user_id, -1) AS session, t.event_id * 20 + coalesce(u.user_id, -1) % 7 AS tokens
+    FROM (SELECT DISTINCT user_id FROM e) u LEFT JOIN told t ON t.user_id IS NOT DISTINCT FROM u.user_id""",
+)
+def source_tail_usage(spark, d):
+    """Each user's events as a file of JSON lines, of which the source reads the end."""
+    line = """to_json(named_struct('type', CASE event_type WHEN 'signup' THEN 'user' ELSE 'assistant' END, 'isSidechain', event_type = 'error',
+        'message', named_struct('usage', named_struct('input_tokens', event_id * 20, 'cache_read_input_tokens', session % 7))))"""
+    x = table(spark, d, "events").selectExpr("coalesce(user_id, -1) AS session", "event_id", "event_type").selectExpr("session", "event_id", f"{line} AS value")
+    folder = f"{shared_folder(spark).rstrip('/')}/sessions-{uuid.uuid4().hex}"
+    x.repartition("session").sortWithinPartitions("session", "event_id").drop("event_id").write.partitionBy("session").text(folder)
+    session = F.regexp_extract("path", "/session=(-?[0-9]+)/", 1).cast("long")
+    return files.last_usages(spark, f"{folder}/session=*/part-*").select(session.alias("session"), "tokens")
+
+
+@query(
+    "source_file_states",
+    """SELECT 'segment=' || c_mktsegment AS folder, 'file' AS state, strlen(t) AS bytes, sha256(t) AS sha256
+    FROM (SELECT c_mktsegment, string_agg(c_custkey || ' ' || c_name || chr(10), '' ORDER BY c_custkey) AS t FROM customer GROUP BY c_mktsegment)
+    UNION ALL SELECT DISTINCT 'region=' || r_name, 'missing', NULL::BIGINT, NULL FROM region""",
+)
+def source_file_states(spark, d):
+    """The customers of each segment as a file, and folders that nobody wrote: what is there and what is missing."""
+    folder = f"{shared_folder(spark).rstrip('/')}/segments-{uuid.uuid4().hex}"
+    x = table(spark, d, "customer").selectExpr("c_mktsegment AS segment", "c_custkey", "concat(c_custkey, ' ', c_name) AS value")
+    x.repartition("segment").sortWithinPartitions("segment", "c_custkey").drop("c_custkey").write.partitionBy("segment").text(folder)
+    asked = [".", *(f"region={r.r_name}" for r in table(spark, d, "region").select("r_name").distinct().collect())]  # a handful of regions
+    states = files.file_states(spark, folder, asked).where("state = 'missing' OR path LIKE '%/part-%.txt'")
+    return states.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder"), "state", "bytes", "sha256")
+
+
 @query("source_text_fingerprints", "SELECT doc_id, sha256(coalesce(text, '')) AS sha256, octet_length(encode(coalesce(text, ''))) AS bytes FROM documents")
 def source_text_fingerprints(spark, d):
     text = F.coalesce("text", F.lit(""))
