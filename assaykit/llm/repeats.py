@@ -304,27 +304,34 @@ def hot_marks(hits: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["mark"] for r in told.collect()], np.int64))
 
 
-ASKED = pa.schema([("did", pa.int64()), ("marks", pa.binary())])
+ASKED = pa.schema([("did", pa.int64()), ("spot", pa.int64()), ("marks", pa.binary())])
 def spot() -> Column:
     """Tells rows of one did apart that have no id: they are as many as they like, and each is a key of its own."""
     return F.when(F.col("did") == LAST_ID, F.col("rid")).otherwise(F.lit(0).cast("long"))
 
 
-def asked_marks(hits: DataFrame, n: int) -> DataFrame:
-    """did, marks (distinct, sorted, as bytes): a row a document, from the packed answers of its target; of rows without an id
-    one for each target."""
+def asked_marks(hits: DataFrame, n: int, nameless: bool = False) -> DataFrame:
+    """did, spot, marks (distinct, sorted, as bytes): a row a document, from the packed answers of its target; if nameless, of
+    rows without an id instead, one for each target.
+
+    Tasks tell the rows apart and set spot to 0: as filters or literals of the plan these would be inferred for one of two
+    uses of the texts, which would then be shuffled twice.
+    """
 
     def run(batches):
         for _, held in grouped(batches, "target"):
             both = [unpacked(x) for b in held for x in b.column("data").to_pylist()]
             did, mark = (np.concatenate([x[k] for x in both]) for k in (0, 1))
+            did, mark = did[(did == LAST_ID) == nameless], mark[(did == LAST_ID) == nameless]
+            if not len(did):
+                continue
             order = np.lexsort((mark, did))
             did, mark = did[order], mark[order]
             new = np.r_[True, (did[1:] != did[:-1]) | (mark[1:] != mark[:-1])]
             did, mark = did[new], mark[new]
-            yield table_of([(d, mark[a:z].tobytes()) for d, a, z in zip(*_cuts(did), strict=True)], ASKED)
+            yield table_of([(d, 0, mark[a:z].tobytes()) for d, a, z in zip(*_cuts(did), strict=True)], ASKED)
 
-    return hits.where("target >= 0").repartition(n, "target").sortWithinPartitions("target").mapInArrow(run, "did long, marks binary")
+    return hits.where("target >= 0").repartition(n, "target").sortWithinPartitions("target").mapInArrow(run, "did long, spot long, marks binary")
 
 
 def own_marks(docs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -352,24 +359,26 @@ def packed_marks(asked: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, "did long, spot long, marks binary")
 
 
-def asked_of_rows(docs: DataFrame, asked: DataFrame, scheme: Scheme) -> DataFrame:
-    """did, spot, marks: what each row is asked for. asked: did and marks (bytes), or did and mark.
+def asked_of_rows(docs: DataFrame, hits: DataFrame, n: int, scheme: Scheme, asked: DataFrame | None) -> DataFrame:
+    """did, spot, marks: what each row is asked for, by the hits or, where they are given, by the rows (did, mark) of asked.
 
     A row without an id finds its marks by joining its own ones with those asked of such rows.
     """
-    if "mark" in asked.columns:
-        single = asked.where(F.col("did") == LAST_ID).select("mark")
-        real = packed_marks(asked.where(F.col("did") != LAST_ID).withColumn("spot", F.lit(0).cast("long")).groupBy("did", "spot").agg(F.collect_set("mark").alias("marks")))
+    if asked is None:
+        real = asked_marks(hits, n)
     else:
-        numbers = lambda batches: (pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], ["mark"]) for b in batches for x in b.column("marks").to_pylist())
-        single = asked.where(F.col("did") == LAST_ID).select("marks").mapInArrow(numbers, "mark long")
-        real = asked.where(F.col("did") != LAST_ID).select("did", F.lit(0).cast("long").alias("spot"), "marks")
-    nameless = docs.where("doc_id IS NULL")
-    if nameless.isEmpty():
+        real = packed_marks(asked.where(F.col("did") != LAST_ID).withColumn("spot", F.lit(0).cast("long")).groupBy("did", "spot").agg(F.collect_set("mark").alias("marks")))
+    without = docs.where("doc_id IS NULL")
+    if without.isEmpty():
         return real
+    if asked is None:
+        numbers = lambda batches: (pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], ["mark"]) for b in batches for x in b.column("marks").to_pylist())
+        single = asked_marks(hits, n, nameless=True).select("marks").mapInArrow(numbers, "mark long")
+    else:
+        single = asked.where(F.col("did") == LAST_ID).select("mark")
     # tables of their own, so that both sides are plain shuffles and a very common mark can be split
     wanted = table(single.distinct(), "marks-without-id")
-    found = table(own_marks(nameless, scheme), "own-marks").join(wanted, "mark").groupBy("rid").agg(F.collect_set("mark").alias("marks"))
+    found = table(own_marks(without, scheme), "own-marks").join(wanted, "mark").groupBy("rid").agg(F.collect_set("mark").alias("marks"))
     return real.unionByName(packed_marks(found.select(F.lit(LAST_ID).alias("did"), F.col("rid").alias("spot"), "marks")))
 
 
@@ -481,7 +490,7 @@ def removable(docs: DataFrame, hits: DataFrame, scheme: Scheme, resolve: Resolve
     """
     copies, hot = table(whole_copies(docs), "whole-copies"), hot_marks(hits)
     keys = ["did", "spot"]
-    asked = asked_of_rows(docs, asked_marks(hits, n) if asked is None else asked, scheme).join(copies, keys, "left_anti")
+    asked = asked_of_rows(docs, hits, n, scheme, asked).join(copies, keys, "left_anti")
     dealt = docs.withColumn("spot", spot()).repartition(n, *keys)
     found = stretches(dealt.join(asked, keys).select("did", "rid", "doc_id", "text", "marks"), scheme, within, hot)
     spans = found.repartition(n, "mark").sortWithinPartitions("mark").mapInArrow(resolve, SPAN_DDL).withColumn("spot", spot())
