@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.functions.canonical import canonical
 from assaykit.functions.scalars import has_text, rounded
 
 #: Lifecycle states that end a candidate (fixed values).
@@ -93,6 +94,13 @@ def descriptor_key(descriptors: DataFrame) -> DataFrame:
     return descriptors.withColumn("key", F.sha2(F.to_json(F.struct(*sorted(DESCRIPTOR)), {"ignoreNullFields": "false"}), 256))
 
 
+def value_key(rows: DataFrame, value: str, key: str = "key") -> DataFrame:
+    """rows with the SHA-256 of the canonical JSON of a VARIANT of any depth: equal values have equal keys, whatever the order of
+    their fields."""
+    told = canonical(rows, value, "_text")
+    return told.withColumn(key, F.sha2(F.col("_text").cast("binary"), 256)).drop("_text")
+
+
 def lane_descriptors(lanes: DataFrame, files: DataFrame) -> DataFrame:
     """lanes (lane_id and further fields) with the fingerprints of their input and dependency files.
 

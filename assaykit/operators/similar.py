@@ -1,39 +1,92 @@
-"""Near-duplicate short texts by token sets: the larger of Jaccard similarity and containment."""
+"""Near-duplicate short texts by token sets: the larger of Jaccard similarity and containment.
+
+Sets meet by a prefix index. Tokens have one global order, the rarest first. If two sets reach the threshold t, the smaller
+one, of n tokens, shares at least ceil(t * n) with the other, so it shares one of its first n - ceil(t * n) + 1 tokens, its
+prefix. So only prefixes are looked up, in the index of all tokens (containment holds for a larger set of any size, so its
+tokens can't be cut short). A pair that meets at its prefix's place i and the other's place j can share no more than the tokens
+after both, which bounds it before it is counted; common tokens, last in the order, hardly bring any pair together.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.scalars import set_similarity, token_set
+from assaykit.functions.shared import table
 
 #: From this similarity on two texts say the same (fixed value).
 SAME = 0.6
 
 
-def similar_pairs(texts: DataFrame, group: str, key: str, text: str, threshold: float = SAME) -> DataFrame:
-    """group, a, b (a < b), similarity to 6 decimals of pairs in one group that share a token and reach the threshold.
+def _ordered(sets: DataFrame, *group: str) -> DataFrame:
+    """group, row, n, tokens, other columns: the sets with their tokens in the global order of their group, by how many sets
+    hold a token, then by the token."""
+    each = sets.select("row", *group, F.explode("tokens").alias("token"))
+    often = table(each.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("often")), "token-counts")
+    told = each.join(often, [*group, "token"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    told = told.select("row", F.transform("t", lambda t: t["token"]).alias("tokens"), F.size("t").alias("n"))
+    return sets.drop("tokens").join(told, "row")
+
+
+def _least(n: Column, threshold: float) -> Column:
+    """Tokens that a set of n tokens must share with a larger one; rounded down a little, so that no pair is lost."""
+    return F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
+
+
+def _places(sets: DataFrame, side: str, upto: Column, *group: str) -> DataFrame:
+    """group, token, row, n and place (from 0) of the tokens of a set up to a place."""
+    return sets.select(*group, F.col("row").alias(f"row_{side}"), F.col("n").alias(f"n_{side}"), F.posexplode(F.slice("tokens", F.lit(1), upto)).alias(f"place_{side}", "token"))
+
+
+def _prefix(sets: DataFrame, threshold: float, *group: str) -> DataFrame:
+    return _places(sets, "s", F.col("n") - _least(F.col("n"), threshold) + 1, *group)
+
 
-    Pairs meet by a shared token, so texts of nothing in common are never compared; counting the meetings gives the
-    size of the intersection without comparing sets.
+def candidates(small: DataFrame, large: DataFrame, threshold: float, when: str, *group: str) -> DataFrame:
+    """row_s, row_l: pairs that meet in the prefix of the smaller set and may still share enough tokens.
+
+    Of a pair that meets at several places the first one counts, which leaves the most.
     """
-    x = texts.select(group, F.col(key).alias("k"), token_set(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    each = x.select(group, "k", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    left = each.select(group, "token", F.col("k").alias("a"), F.col("n").alias("n_a"))
-    right = each.select(group, "token", F.col("k").alias("b"), F.col("n").alias("n_b"))
-    met = left.join(right, [group, "token"]).where("a < b").groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    value = F.greatest(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), F.col("both") / F.least("n_a", "n_b"))
-    return met.withColumn("similarity", value).where(F.col("similarity") >= threshold).select(group, "a", "b", F.round("similarity", 6).alias("similarity"))
+    met = _prefix(small, threshold, *group).join(_places(large, "l", F.col("n"), *group), [*group, "token"]).where(when)
+    left = F.least(F.col("n_s") - F.col("place_s"), F.col("n_l") - F.col("place_l"))
+    met = met.groupBy("row_s", "row_l").agg(F.max(left).alias("left"), F.first("n_s").alias("n_s"))
+    return met.where(F.col("left") >= _least(F.col("n_s"), threshold)).select("row_s", "row_l")
+
+
+def _verified(pairs: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (row_a, row_b) whose sets reach the threshold, with `similarity` and the columns of both sides."""
+    x = pairs.join(a.withColumnsRenamed({"row": "row_a", "n": "n_a", "tokens": "tokens_a"}), "row_a").join(b.withColumnsRenamed({"row": "row_b", "n": "n_b", "tokens": "tokens_b"}), "row_b")
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    value = F.greatest(both / (F.col("n_a") + F.col("n_b") - both), both / F.least("n_a", "n_b"))
+    return x.withColumn("similarity", value).where(F.col("similarity") >= threshold).withColumn("similarity", F.round("similarity", 6))
+
+
+def _token_sets(texts: DataFrame, text: Column, *columns: Column) -> DataFrame:
+    sets = texts.select(*columns, token_set(text).alias("tokens")).where(F.size("tokens") > 0)
+    # written, so that a row keeps its number
+    return table(sets.withColumn("row", F.monotonically_increasing_id()), "token-sets")
+
+
+def similar_pairs(texts: DataFrame, group: str, key: str, text: str, threshold: float = SAME) -> DataFrame:
+    """group, a, b (a < b), similarity to 6 decimals of pairs in one group that reach the threshold. Keys are unique in a group."""
+    sets = table(_ordered(_token_sets(texts, F.col(text), F.col(group), F.col(key).alias("k")), group), "ordered-sets")
+    # of sets of one size that of the lesser row is taken for the smaller
+    met = candidates(sets, sets, threshold, "n_s < n_l OR n_s = n_l AND row_s < row_l", group).toDF("row_a", "row_b")
+    x = _verified(met, sets.withColumnRenamed("k", "k_a"), sets.drop(group).withColumnRenamed("k", "k_b"), threshold).where("k_a <> k_b")
+    return x.select(group, F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"), "similarity")
 
 
 def contained_passages(docs: DataFrame, passages: DataFrame, threshold: float = SAME) -> DataFrame:
-    """doc_id, item_id, similarity of documents and passages, by token sets, for a passage table of few rows."""
-    p = passages.select("item_id", token_set(F.col("text")).alias("p_tokens")).where(F.size("p_tokens") > 0)
-    d = docs.select("doc_id", token_set(F.coalesce("text", F.lit(""))).alias("d_tokens")).where(F.size("d_tokens") > 0)
-    met = d.select("doc_id", F.size("d_tokens").alias("n_d"), F.explode("d_tokens").alias("token")).join(p.select("item_id", F.size("p_tokens").alias("n_p"), F.explode("p_tokens").alias("token")), "token")
-    met = met.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("both"), F.first("n_d").alias("n_d"), F.first("n_p").alias("n_p"))
-    value = F.greatest(F.col("both") / (F.col("n_d") + F.col("n_p") - F.col("both")), F.col("both") / F.least("n_d", "n_p"))
-    return met.withColumn("similarity", value).where(F.col("similarity") >= threshold).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+    """doc_id, item_id, similarity of documents and passages by token sets; either may be the smaller set."""
+    d = _token_sets(docs, F.coalesce("text", F.lit("")), F.col("doc_id"), F.lit(None).cast("string").alias("item_id"))
+    p = _token_sets(passages, F.col("text"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("item_id").cast("string").alias("item_id")).withColumn("row", -1 - F.col("row"))
+    # one order for both
+    sets = table(_ordered(d.unionByName(p)), "ordered-sets")
+    d, p = sets.where("row >= 0"), sets.where("row < 0")
+    met = candidates(p, d, threshold, "n_s <= n_l").toDF("row_b", "row_a").unionByName(candidates(d, p, threshold, "n_s < n_l").toDF("row_a", "row_b"))
+    x = _verified(met, d.drop("item_id"), p.drop("doc_id"), threshold)
+    return x.select("doc_id", F.col("item_id").cast(passages.schema["item_id"].dataType).alias("item_id"), "similarity")
 
 
 __all__ = ["SAME", "contained_passages", "set_similarity", "similar_pairs"]

@@ -341,6 +341,24 @@ def cache_descriptors(spark, d):
     return delta.descriptor_key(table(spark, d, "part").selectExpr(*_columns(_DESCRIPTOR))).select("lane_id", "key")
 
 
+@query(
+    "cache_value_keys",
+    """SELECT o_orderkey AS id, sha256(concat('{"lines":[', lines, '],"order":{"empty":{},"none":null,"price":', CASE WHEN o_orderkey % 3 = 0 THEN '1.5' ELSE (o_orderkey % 7)::VARCHAR END, ',"status":"', o_orderstatus, '"}}')) AS key
+    FROM orders JOIN (
+        SELECT l_orderkey, string_agg(concat('{"a":[', l_linenumber, ',[true]],"z":"', l_returnflag, '"}'), ',' ORDER BY l_linenumber, l_returnflag) AS lines FROM lineitem GROUP BY l_orderkey
+    ) ON l_orderkey = o_orderkey""",
+)
+def cache_value_keys(spark, d):
+    """Orders with their lines as nested JSON, with keys in two orders and numbers in two spellings."""
+    line = """CASE WHEN l_orderkey % 2 = 0 THEN concat('{"z": "', l_returnflag, '", "a": [', l_linenumber, '.0, [true]]}') ELSE concat('{"a":[', l_linenumber, ',[true]],"z":"', l_returnflag, '"}') END"""
+    lines = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_returnflag", f"{line} AS line").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "line"))), lambda x: x["line"]).alias("lines"))
+    price = "CASE WHEN o_orderkey % 3 = 0 THEN '15e-1' ELSE concat(o_orderkey % 7, '') END"
+    order = f"""concat('{{"status":"', o_orderstatus, '","none":null,"price":', {price}, ',"empty":{{}}}}')"""
+    text = f"""CASE WHEN o_orderkey % 2 = 0 THEN concat('{{"order":', {order}, ',"lines":[', array_join(lines, ','), ']}}') ELSE concat('{{"lines":[', array_join(lines, ', '), '], "order" : ', {order}, '}}') END"""
+    x = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).selectExpr("o_orderkey AS id", f"parse_json({text}) AS v")
+    return delta.value_key(x, "v").select("id", "key")
+
+
 def _columns(select: str) -> list[str]:
     """The expressions of a select list: cut at commas outside parentheses."""
     out, depth = [""], 0
