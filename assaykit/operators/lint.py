@@ -84,6 +84,28 @@ NEEDS = {
 # Fixed values of the handoff rules.
 SECTIONS = ("Goal and definition of done", "Current state", "Next action", "Locked decisions and constraints", "File map", "Verification", "Dead ends", "Resume protocol", "Redaction note")
 MANY_LINES, TOO_MANY_LINES = 250, 400
+TEMPLATE = (
+    "<UTC ISO-8601>",
+    "<absolute path>",
+    "<project root>",
+    "<branch or n/a>",
+    "<short SHA or n/a>",
+    "<focus hint or none>",
+    "<true|false>",
+    "<One concrete, file-and-line-anchored step.>",
+    "<follow-on step>",
+    "<path>",
+    "<command>",
+    "<result>",
+    "<approach>",
+    "<why closed>",
+    "<evidence pointer>",
+    "<item",
+    "<What the task is",
+    "<session-specific requirements",
+    "<list or",
+    "<VAR_NAME in <location>",
+)
 MARKER = r"(?i)<\s*(todo|tbd|fixme|fill[- ]?me|placeholder|xxx)\s*>"
 PLACEHOLDER = r"^\s*<[^<>\n]+>\s*$|<[^<>\n]*\s[^<>\n]*\s[^<>\n]*>"
 DIRECTIVES = (
@@ -187,7 +209,8 @@ def section_findings(docs: DataFrame, sections: Sequence[str] = SECTIONS) -> Dat
 def line_findings(docs: DataFrame) -> DataFrame:
     """doc_id, code, line of handoff lines: placeholders (one a line, by precedence) and each directive's every line."""
     c = F.col("content")
-    codes = F.array_compact(F.array(F.when(c.rlike(MARKER), F.lit("inline-placeholder")).when(c.rlike(PLACEHOLDER), "placeholder"), *[F.when(c.rlike(p), F.lit(f"directive-{i + 1}")) for i, p in enumerate(DIRECTIVES)]))
+    template = F.contains(c, F.lit("<")) & reduce(or_, (F.contains(c, F.lit(t)) for t in TEMPLATE))
+    codes = F.array_compact(F.array(F.when(template, F.lit("template-placeholder")).when(c.rlike(MARKER), "inline-placeholder").when(c.rlike(PLACEHOLDER), "placeholder"), *[F.when(c.rlike(p), F.lit(f"directive-{i + 1}")) for i, p in enumerate(DIRECTIVES)]))
     return exploded(docs).select("doc_id", F.explode(codes).alias("code"), F.col("line").cast("long").alias("line"))
 
 

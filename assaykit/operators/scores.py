@@ -68,26 +68,55 @@ def pool_statistics(results: DataFrame, key: str) -> DataFrame:
     return results.groupBy(key).agg((F.max("ended") - F.min("started")).alias("wall_ms"), F.sum(F.col("ended") - F.col("started")).alias("serial_ms"), F.bool_and(F.col("status") == "succeeded").alias("succeeded"))
 
 
-def normalized_tasks(tasks: DataFrame, most: int) -> DataFrame:
-    """Tasks with defaults and bounds: owner, kind, weight (1..most), priority, expected_ms (> 0), distinct needs."""
-    number = lambda c, low, default: F.when(F.col(c) >= low, F.col(c)).otherwise(default)
+def normalized_tasks(tasks: DataFrame, most: int | None = None) -> DataFrame:
+    """Tasks with defaults: owner, kind, executor_class, weight (from 1), priority, expected_ms (> 0), distinct needs and resources,
+    retries (from 0), timeout_ms (null unless > 0), and two flags, which only true sets. Columns that tasks lack count as null.
+
+    With `most`, a task of a greater weight gets that weight; task_findings() tells such tasks.
+    """
+    have = lambda c, kind: F.col(c) if c in tasks.columns else F.lit(None).cast(kind)
+    number = lambda c, low, default, kind="long": F.when(have(c, kind) >= low, have(c, kind)).otherwise(default)
+    distinct = lambda c: F.array_distinct(F.coalesce(have(c, "array<string>"), F.array().cast("array<string>")))
+    flag = lambda c: F.coalesce(have(c, "boolean"), F.lit(False))
     kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("task"))
     executor = F.lit("general")
     for name, words in reversed(CLASSES):
         executor = F.when(F.lower(kind).rlike(words), F.lit(name)).otherwise(executor)
+    weight = number("weight", 1, 1)
     return tasks.withColumns(
         {
             "owner": F.coalesce(F.nullif("owner", F.lit("")), F.lit("unowned")),
             "kind": kind,
             "executor_class": F.coalesce(F.nullif("executor_class", F.lit("")), executor),
-            "weight": F.least(F.lit(most), number("weight", 1, 1)),
+            "weight": weight if most is None else F.least(F.lit(most), weight),
             "priority": F.coalesce("priority", F.lit(0)),
             "expected_ms": number("expected_ms", 1, 1),
-            "depends_on": F.array_distinct(F.coalesce("depends_on", F.array().cast("array<string>"))),
+            "depends_on": distinct("depends_on"),
+            "resources": distinct("resources"),
+            "retries": number("retries", 0, 0),
+            "timeout_ms": number("timeout_ms", 1, None),
+            "retry_on_timeout": flag("retry_on_timeout"),
+            "allow_failed_dependencies": flag("allow_failed_dependencies"),
         }
     )
 
 
+def task_findings(tasks: DataFrame, plan: str, most: int) -> DataFrame:
+    """plan, id, code, detail: blank ids, weights over the budget `most` (none is cut), ids that a plan has more than once, and
+    needs that it hasn't. tasks: plan, id, weight, depends_on. A plan with findings isn't to be run."""
+    x = tasks.withColumn("id", F.trim(F.coalesce("id", F.lit(""))))
+    told = lambda rows, code, detail: rows.select(plan, "id", F.lit(code).alias("code"), detail.cast("string").alias("detail"))
+    repeated = x.where("id <> ''").groupBy(plan, "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    need = x.select(plan, "id", F.explode(F.array_distinct("depends_on")).alias("need"))
+    known = x.select(plan, F.col("id").alias("need")).distinct()
+    return (
+        told(x.where("id = ''"), "TASK_ID_INVALID", F.lit(""))
+        .unionByName(told(x.where(F.col("weight") > most), "TASK_WEIGHT_EXCEEDS_BUDGET", F.col("weight")))
+        .unionByName(told(repeated, "TASK_ID_DUPLICATE", F.col("n")))
+        .unionByName(told(need.join(known, [plan, "need"], "left_anti"), "TASK_DEPENDENCY_UNKNOWN", F.col("need")))
+    )
+
+
 def traced(cases: DataFrame, sections: DataFrame, key: str) -> DataFrame:
     """key, covered: whether all anchor terms of a case occur in the case's own text and in its section's."""
     x = cases.join(sections.select(key, F.lower("body").alias("body")), key, "left")

@@ -121,7 +121,9 @@ def links(files: DataFrame) -> DataFrame:
     both = F.concat(found("link", LINK), F.when(F.col("path") == "SKILL.md", found("path", CODE_PATH)).otherwise(F.array().cast("array<struct<kind:string,raw:string>>")))
     x = files.where(F.col("path").rlike("^(SKILL[.]md|references/[^/]+[.][mM][dD])$")).select("skill_id", "path", F.inline(both))
     raw = F.regexp_replace(F.split(F.trim("raw"), " ")[0], "^[<>]+|[<>]+$", "")
-    x = x.withColumn("raw", raw).where((F.col("raw") != "") & ~F.col("raw").rlike(ELSEWHERE))
+    # percent signs that begin no code stand for themselves, and so do plus signs
+    coded = F.replace(F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    x = x.withColumn("raw", F.coalesce(F.try_url_decode(coded), raw)).where((F.col("raw") != "") & ~F.col("raw").rlike(ELSEWHERE))
     x = x.withColumn("clean", F.regexp_extract("raw", "^([^#?]*)", 1)).where("clean <> ''")
     base = F.when(F.col("kind") == "path", "").otherwise(F.regexp_replace("path", "[^/]*$", ""))
     return x.select("skill_id", "path", "kind", "clean", normalized(F.concat(base, "clean")).alias("target"))

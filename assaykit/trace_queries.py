@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaykit.operators import delta, evidence, findings, graph, handoff, health_rules, ledger, lint, orders, scores, similar, skills, traceability, tracker
-from assaykit.plans.views import view
+from assaykit.plans.views import VIEWS, view
 from assaykit.queries import LINE_SQL, SQL, STOP_SQL, query, table
 from assaykit.sources import readers
 from assaykit.streaming import sessions
@@ -84,6 +84,19 @@ def skill_links(spark, d):
     return skills.link_findings(view(spark, d, "skill_file"))
 
 
+@query(
+    "skill_link_spellings",
+    """SELECT p_partkey AS skill_id, 'SKILL.md' AS path, CASE p_partkey % 6 WHEN 1 THEN 'references/a+b.md' WHEN 3 THEN concat('references', chr(92), 'x.md') WHEN 4 THEN 'references/50%.md' ELSE '../out.md' END AS target, c AS code
+    FROM part, unnest(CASE p_partkey % 6 WHEN 1 THEN ['link.broken'] WHEN 3 THEN ['path.backslash', 'link.broken'] WHEN 4 THEN ['link.broken'] WHEN 5 THEN ['path.escape'] ELSE [] END) AS u(c)""",
+)
+def skill_link_spellings(spark, d):
+    """Targets with percent signs, plus signs, backslashes and encoded steps out of the package."""
+    target = "CASE p_partkey % 6 WHEN 0 THEN 'references/a%20b.md' WHEN 1 THEN 'references/a+b.md' WHEN 2 THEN '%72eferences/%C3%A9.md%23top' WHEN 3 THEN concat('references', chr(92), 'x.md') WHEN 4 THEN 'references/50%.md' ELSE '%2e%2e/out.md' END"
+    mains = table(spark, d, "part").selectExpr("p_partkey AS skill_id", "'SKILL.md' AS path", f"concat('see [it](', {target}, ')') AS text")
+    others = mains.select("skill_id", F.explode(F.array(F.lit("references/a b.md"), F.lit("references/é.md"))).alias("path"), F.lit("").alias("text"))
+    return skills.link_findings(mains.unionByName(others))
+
+
 @query("skill_unreferenced", "WITH " + _LINKS + " SELECT DISTINCT skill_id, path FROM {skill_file} z WHERE regexp_matches(path, '^references/[^./][^/]*$') AND NOT EXISTS (SELECT 1 FROM t WHERE t.skill_id = z.skill_id AND t.target = z.path)")
 def skill_unreferenced(spark, d):
     return skills.unreferenced(view(spark, d, "skill_file"))
@@ -172,7 +185,8 @@ def handoff_questions(spark, d):
 
 
 def _line_sql(lines: str, key: str = "content", at: str = "line") -> str:
-    found = f"CASE WHEN regexp_matches({key}, {quoted(lint.MARKER)}) THEN 'inline-placeholder' WHEN regexp_matches({key}, {quoted(lint.PLACEHOLDER)}) THEN 'placeholder' END"
+    template = " OR ".join(f"contains({key}, {quoted(t)})" for t in lint.TEMPLATE)
+    found = f"CASE WHEN {template} THEN 'template-placeholder' WHEN regexp_matches({key}, {quoted(lint.MARKER)}) THEN 'inline-placeholder' WHEN regexp_matches({key}, {quoted(lint.PLACEHOLDER)}) THEN 'placeholder' END"
     return union(
         f"SELECT doc_id, code, line FROM (SELECT doc_id, {found} AS code, {at} AS line FROM {lines}) WHERE code IS NOT NULL",
         *[f"SELECT doc_id, 'directive-{i + 1}', {at} FROM {lines} WHERE regexp_matches({key}, {quoted(p)})" for i, p in enumerate(lint.DIRECTIVES)],
@@ -187,6 +201,15 @@ def handoff_lines(spark, d):
     return lint.line_findings(view(spark, d, "handoff_text"))
 
 
+def _view_lines(name: str) -> str:
+    return f"(SELECT doc_id, i AS line, l[i] AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {{{name}}}), unnest(range(1, len(l) + 1)) AS u(i))"
+
+
+@query("handoff_placeholders", "WITH l AS " + _view_lines("placeholder_text") + " " + _line_sql("l"))
+def handoff_placeholders(spark, d):
+    return lint.line_findings(view(spark, d, "placeholder_text"))
+
+
 #: The two patterns that look around, in a form that any engine has.
 _LOOKING = {
     "forty-characters": r"len(list_filter(regexp_extract_all(content, '[A-Za-z0-9/+=]+'), lambda t: length(t) = 40 AND regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[a-z]') AND regexp_matches(t, '\d'))) > 0",
@@ -203,7 +226,12 @@ def handoff_secrets(spark, d):
     return handoff.secret_lines(table(spark, d, "documents"))
 
 
-def _lint_sql() -> str:
+@query("handoff_secret_kinds", "WITH l AS " + _view_lines("prompt_text") + " " + _secret_sql("l"))
+def handoff_secret_kinds(spark, d):
+    return handoff.secret_lines(view(spark, d, "prompt_text"))
+
+
+def _lint_sql(lines: str = LINE_SQL, texts: str = "documents") -> str:
     """All prompt rules: the first line of each pattern, and the rules of whole texts."""
     vague, unless = lint.VAGUE.split("(?!")
     patterns = [*lint.CREDENTIALS, *lint.INJECTIONS, lint.CAPABILITY, lint.PERSISTENCE, lint.SCAFFOLD, None, lint.UNRESOLVED]
@@ -224,12 +252,21 @@ def _lint_sql() -> str:
         f"SELECT doc_id, 'STACK', 'warning', 0 FROM (SELECT *, len(regexp_extract_all(t, {quoted(lint.EMPHASIS)})) AS hits FROM x) WHERE hits >= {lint.LEAST_EMPHASIS} AND hits > {words} / {lint.WORDS_AN_EMPHASIS}",
         f"SELECT doc_id, 'TODO', 'warning', l{m + 4} FROM x WHERE l{m + 4} > 0",
     ]
-    return f"WITH l AS (SELECT doc_id, {first} FROM {LINE_SQL} GROUP BY doc_id), x AS (SELECT d.doc_id, coalesce(d.text, '') AS t, l.* EXCLUDE (doc_id) FROM documents d LEFT JOIN l USING (doc_id)) " + union(*parts)
+    return f"WITH l AS (SELECT doc_id, {first} FROM {lines} GROUP BY doc_id), x AS (SELECT d.doc_id, coalesce(d.text, '') AS t, l.* EXCLUDE (doc_id) FROM {texts} d LEFT JOIN l USING (doc_id)) " + union(*parts)
 
 
 SQL["lint_all"] = _lint_sql()
 
 
+@query("lint_rule_texts", None)
+def lint_rule_texts(spark, d):
+    """The prompt rules over texts that trip each of them."""
+    return lint.prompt_findings(view(spark, d, "prompt_text"))
+
+
+SQL["lint_rule_texts"] = _lint_sql(f"(SELECT doc_id, i AS line, l[i] AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {VIEWS['prompt_text'].sql()}), unnest(range(1, len(l) + 1)) AS u(i))", VIEWS["prompt_text"].sql())
+
+
 # Traceability
 
 
@@ -567,16 +604,38 @@ def receipt_stage_times(spark, d):
     return scores.stage_times(x, "user_id")
 
 
+_TASK_ID = "CASE WHEN o_orderkey % 50 = 0 THEN ' ' WHEN o_orderkey % 30 = 0 THEN 'twice' ELSE concat('t', o_orderkey) END"
+
+
+def _tasks(spark, d):
+    return table(spark, d, "orders").selectExpr(
+        "o_orderkey AS id", "CASE o_orderkey % 3 WHEN 0 THEN '' ELSE 'me' END AS owner", "CASE o_orderkey % 4 WHEN 1 THEN 'unit-test' WHEN 2 THEN 'render' WHEN 3 THEN 'scout' END AS kind", "CAST(NULL AS STRING) AS executor_class", "o_orderkey % 8 AS weight", "CASE WHEN o_orderkey % 2 = 0 THEN 7 END AS priority",
+        "o_orderkey % 5 AS expected_ms", "CASE WHEN o_orderkey % 2 = 0 THEN array('a', 'b', 'a') END AS depends_on", "CASE WHEN o_orderkey % 3 = 0 THEN array('db', 'db') END AS resources", "o_orderkey % 4 - 1 AS retries", "o_orderkey % 6 - 2 AS timeout_ms", "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 5 = 1 END AS retry_on_timeout",
+    )
+
+
 @query(
     "receipt_tasks",
     "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'unowned' ELSE 'me' END AS owner, CASE o_orderkey % 4 WHEN 0 THEN 'task' WHEN 1 THEN 'unit-test' WHEN 2 THEN 'render' ELSE 'scout' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN 'general' WHEN 1 THEN 'command' WHEN 2 THEN 'report' ELSE 'agent' END AS executor_class,"
-    " least(4, CASE WHEN o_orderkey % 8 >= 1 THEN o_orderkey % 8 ELSE 1 END) AS weight, CASE WHEN o_orderkey % 2 = 0 THEN 7 ELSE 0 END AS priority, CASE WHEN o_orderkey % 5 >= 1 THEN o_orderkey % 5 ELSE 1 END AS expected_ms, CASE WHEN o_orderkey % 2 = 0 THEN 'a,b' ELSE '' END AS needs FROM orders",
+    " CASE WHEN o_orderkey % 8 >= 1 THEN o_orderkey % 8 ELSE 1 END AS weight, CASE WHEN o_orderkey % 2 = 0 THEN 7 ELSE 0 END AS priority, CASE WHEN o_orderkey % 5 >= 1 THEN o_orderkey % 5 ELSE 1 END AS expected_ms, CASE WHEN o_orderkey % 2 = 0 THEN 'a,b' ELSE '' END AS needs,"
+    " CASE WHEN o_orderkey % 3 = 0 THEN 'db' ELSE '' END AS resources, greatest(o_orderkey % 4 - 1, 0) AS retries, CASE WHEN o_orderkey % 6 > 2 THEN o_orderkey % 6 - 2 END AS timeout_ms, o_orderkey % 5 = 1 AS retry_on_timeout, false AS allow_failed_dependencies FROM orders",
 )
 def receipt_tasks(spark, d):
-    x = table(spark, d, "orders").selectExpr(
-        "o_orderkey AS id", "CASE o_orderkey % 3 WHEN 0 THEN '' ELSE 'me' END AS owner", "CASE o_orderkey % 4 WHEN 1 THEN 'unit-test' WHEN 2 THEN 'render' WHEN 3 THEN 'scout' END AS kind", "CAST(NULL AS STRING) AS executor_class", "o_orderkey % 8 AS weight", "CASE WHEN o_orderkey % 2 = 0 THEN 7 END AS priority", "o_orderkey % 5 AS expected_ms", "CASE WHEN o_orderkey % 2 = 0 THEN array('a', 'b', 'a') END AS depends_on"
-    )
-    return scores.normalized_tasks(x, 4).select("id", "owner", "kind", "executor_class", "weight", "priority", "expected_ms", F.array_join("depends_on", ",").alias("needs"))
+    return scores.normalized_tasks(_tasks(spark, d)).select("id", "owner", "kind", "executor_class", "weight", "priority", "expected_ms", F.array_join("depends_on", ",").alias("needs"), F.array_join("resources", ",").alias("resources"), "retries", "timeout_ms", "retry_on_timeout", "allow_failed_dependencies")
+
+
+@query(
+    "receipt_task_findings",
+    f"""WITH t AS (SELECT o_custkey % 20 AS plan, {_TASK_ID} AS id, o_orderkey % 8 AS weight, CASE WHEN o_orderkey % 9 = 0 THEN concat('t', o_orderkey + 1) WHEN o_orderkey % 9 = 1 THEN concat('t', o_orderkey) END AS need FROM orders)
+    SELECT plan, trim(id) AS id, 'TASK_ID_INVALID' AS code, '' AS detail FROM t WHERE trim(id) = ''
+    UNION ALL SELECT plan, id, 'TASK_WEIGHT_EXCEEDS_BUDGET', weight::VARCHAR FROM t WHERE weight > 6
+    UNION ALL SELECT plan, id, 'TASK_ID_DUPLICATE', count(*)::VARCHAR FROM t WHERE trim(id) <> '' GROUP BY plan, id HAVING count(*) > 1
+    UNION ALL SELECT plan, trim(id), 'TASK_DEPENDENCY_UNKNOWN', need FROM t WHERE need IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t o WHERE o.plan = t.plan AND o.id = t.need)""",
+)
+def receipt_task_findings(spark, d):
+    need = "CASE WHEN o_orderkey % 9 = 0 THEN array(concat('t', o_orderkey + 1), concat('t', o_orderkey + 1)) WHEN o_orderkey % 9 = 1 THEN array(concat('t', o_orderkey)) END"
+    x = table(spark, d, "orders").selectExpr("o_custkey % 20 AS plan", f"{_TASK_ID} AS id", "o_orderkey % 8 AS weight", f"{need} AS depends_on")
+    return scores.task_findings(x, "plan", 6)
 
 
 @query("finding_unknown_keys", "SELECT CAST(p_partkey AS STRING) AS subject_id, k AS path FROM part, unnest(['x', concat('y', CAST(p_partkey % 3 AS STRING))]) AS u(k) WHERE k <> 'y1'")
