@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaykit.operators import delta, evidence, findings, graph, handoff, health_rules, ledger, lint, orders, scores, similar, skills, traceability, tracker
+from assaykit.operators import delta, evidence, findings, graph, handoff, health_rules, ledger, lint, orders, release, scores, similar, skills, traceability, tracker
 from assaykit.plans.views import VIEWS, view
 from assaykit.queries import LINE_SQL, SQL, STOP_SQL, query, table
-from assaykit.sources import readers
+from assaykit.sources import fixtures, readers
 from assaykit.streaming import sessions
 
 
@@ -499,6 +499,45 @@ def graph_closed_paths(spark, d):
     return x.select(F.col("group").alias("grp"), F.array_join(F.transform("path", lambda m: m.cast("string")), "->").alias("path"))
 
 
+# Releases and fixtures
+
+#: In documents by source: names that are stale, a phrase in either case, and phrases that each source must have.
+_PHRASES = [release.Phrase("NAME-STALE", "und", name=True), release.Phrase("LANGUAGE-STALE", "LICENSE", fold=True), release.Phrase("SECRET", "AKIA"), release.Phrase("INCOMPLETE", "the", required=True), release.Phrase("INCOMPLETE", "Copyright 19", required=True)]
+
+
+@query(
+    "release_phrases",
+    rf"""WITH l AS {LINE_SQL}, x AS (SELECT coalesce(source, 'none') AS release, doc_id::VARCHAR AS path, line, content FROM l JOIN documents USING (doc_id))
+    SELECT release, path, line, 'NAME-STALE' AS code, 'und' AS phrase FROM x WHERE regexp_matches(content, '(^|[^\p{{L}}\p{{N}}_$/])und($|[^\p{{L}}\p{{N}}_])')
+    UNION ALL SELECT release, path, line, 'LANGUAGE-STALE', 'LICENSE' FROM x WHERE contains(lower(content), 'license')
+    UNION ALL SELECT release, path, line, 'SECRET', 'AKIA' FROM x WHERE contains(content, 'AKIA')
+    UNION ALL SELECT r.release, NULL, NULL, 'INCOMPLETE', p FROM (SELECT DISTINCT release FROM x) r, unnest(['the', 'Copyright 19']) AS u(p)
+    WHERE NOT EXISTS (SELECT 1 FROM x o WHERE o.release = r.release AND contains(o.content, p))""",
+)
+def release_phrases(spark, d):
+    files = table(spark, d, "documents").selectExpr("coalesce(source, 'none') AS release", "CAST(doc_id AS STRING) AS path", "coalesce(text, '') AS text")
+    return release.phrase_findings(files, _PHRASES).drop("excerpt")
+
+
+@query(
+    "source_fixtures",
+    """SELECT o_orderkey AS id, o_orderstatus AS status, n AS lines, first_flag, second_tag FROM orders JOIN (
+        SELECT l_orderkey, count(*) AS n, (arg_min(l_returnflag, struct_pack(a := l_linenumber, b := l_returnflag))) AS first_flag, concat('n', max(l_linenumber)) AS second_tag FROM lineitem GROUP BY l_orderkey
+    ) ON l_orderkey = o_orderkey""",
+)
+def source_fixtures(spark, d):
+    """Orders with their lines as indented texts, read back as nested values."""
+    line = "concat('    - flag: ', l_returnflag, '  # of the line', chr(10), '      tags: [x, n', l_linenumber, ']')"
+    lines = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_returnflag", f"{line} AS line").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    text = "concat('---', chr(10), 'order:', chr(10), '  status: \"', o_orderstatus, '\"', chr(10), '  lines:', chr(10), lines, chr(10), 'note: >-', chr(10), '  folded', chr(10), '  text')"
+    x = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).selectExpr("o_orderkey AS id", f"{text} AS text")
+    got = fixtures.fixtures(x).where("try_variant_get(record, '$.note', 'string') = 'folded text'")
+    get = lambda p: F.try_variant_get("record", p, "string")
+    tags = F.transform(F.try_variant_get("record", "$.order.lines", "array<struct<flag:string,tags:array<string>>>"), lambda y: y["tags"][1])
+    size = F.size(F.try_variant_get("record", "$.order.lines", "array<variant>"))
+    return got.select("id", get("$.order.status").alias("status"), size.cast("long").alias("lines"), get("$.order.lines[0].flag").alias("first_flag"), F.array_max(tags).alias("second_tag"))
+
+
 # Single rules
 
 
