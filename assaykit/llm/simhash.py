@@ -175,20 +175,24 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for the nodes of the edges (a, b): the smallest node that can be reached.
 
     Each round links each node to the smallest neighbour of its neighbourhood (large star, then small star), which
-    halves distances; the edges are cut from their lineage in each round. Ends when the edges are stars.
+    halves distances; the edges are cut from their lineage in each round. The least neighbours are tables of their own, so
+    that both sides of each join are plain shuffles and a hub of very many edges can be split. Ends when the edges are stars.
     """
     now = table(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct(), "links")
     last = None
     while True:
         # large star: each node's larger neighbours go to the least of it and its neighbours
         both = now.select(F.col("low").alias("n"), F.col("high").alias("o")).unionByName(now.select(F.col("high").alias("n"), F.col("low").alias("o")))
-        least = both.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m"))
-        large = both.where("o > n").join(least, "n").select(F.col("o").alias("high"), F.col("m").alias("low")).distinct()
+        least = table(both.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m")), "least-neighbours")
+        large = table(both.where("o > n").join(least, "n").select(F.col("o").alias("high"), F.col("m").alias("low")).distinct(), "links")
+        drop_table(now)
+        drop_table(least)
         # small star: each node and its smaller neighbours go to the least of these
-        least = large.groupBy("high").agg(F.min("low").alias("m"))
+        least = table(large.groupBy("high").agg(F.min("low").alias("m")), "least-neighbours")
         small = large.join(least, "high").select(F.col("low").alias("high"), F.col("m").alias("low")).unionByName(least.select("high", F.col("m").alias("low")))
-        before, now = now, table(small.where("low < high").distinct(), "links")
-        drop_table(before)
+        now = table(small.where("low < high").distinct(), "links")
+        drop_table(large)
+        drop_table(least)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
         if state == last or not state[0]:
             break
@@ -215,8 +219,9 @@ def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     prints = table(fingerprints(docs), "prints")
     joined = rooted(prints, parts(docs), budget)
-    least = joined.groupBy("root").agg(F.min("first").alias("least"))
-    # a table of its own, so that the join can split a fingerprint of very many documents
+    joined = table(joined, "rooted")
+    least = table(joined.groupBy("root").agg(F.min("first").alias("least")), "least-of-root")
+    # tables of their own, so that the joins can split a component of very many fingerprints, and one of very many documents
     of_print = table(joined.join(least, "root").select("fp", "least"), "of-prints")
     out = prints.join(of_print, "fp")
     component = F.when(F.col("least") == F.col("did"), F.col("doc_id")).otherwise(F.col("least"))
