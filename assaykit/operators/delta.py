@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions.canonical import canonical
@@ -80,6 +80,12 @@ def reuse_class(entries: DataFrame, wanted: DataFrame, key: str, exact: Sequence
     return x.select(key, how.alias("reuse"))
 
 
+def reuse_counts(reuse: DataFrame, *keys: str) -> DataFrame:
+    """keys, reuse, n, share: how often each class of reuse came, and its share of all to 3 decimals. reuse: of reuse_class()."""
+    n = reuse.groupBy(*keys, "reuse").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", rounded(F.col("n") / F.sum("n").over(Window.partitionBy(*keys)), 3))
+
+
 def cache_key(*fields: str):
     """SHA-256 of a descriptor's fields as a JSON object with its keys in order."""
     return F.sha2(F.to_json(F.struct(*sorted(fields))), 256)

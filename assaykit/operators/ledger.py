@@ -109,6 +109,12 @@ def gated(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     return x.withColumn("eligible", fine & (F.col("status") == "ready") & (F.col("status_derived") == "ready"))
 
 
+def counts(gated_candidates: DataFrame, *keys: str) -> DataFrame:
+    """keys, band, action, n, n_blocked: how many candidates there are and how many of them wait for others."""
+    waits = F.coalesce(F.size("unresolved"), F.lit(0)) > 0
+    return gated_candidates.groupBy(*keys, "band", "action").agg(F.count(F.lit(1)).alias("n"), F.count_if(waits).alias("n_blocked"))
+
+
 def queue(gated_candidates: DataFrame, human_order: DataFrame | None = None) -> DataFrame:
     """ledger_id, position, candidate_id of eligible candidates: those of human_order (ledger_id, candidate_id, place)
     first, by their first place, the others by rank."""

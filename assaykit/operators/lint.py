@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -252,3 +253,42 @@ def text_checks(docs: DataFrame, checks: Sequence[tuple[int, Sequence[str], Sequ
     bad = lambda required, forbidden: F.array_sort(F.array_distinct(F.array_compact(F.array(*[when(w, False) for w in required], *[when(w, True) for w in forbidden]))))
     each = F.array(*[F.struct(F.lit(i).alias("check_id"), bad(r, f).alias("bad")) for i, r, f in checks])
     return docs.select("doc_id", F.inline(each)).select("doc_id", "check_id", (F.size("bad") == 0).alias("ok"), F.array_join(F.slice("bad", 1, evidence), ",").alias("evidence"))
+
+
+class Check(NamedTuple):
+    """What an answer's text must be like: words it holds and lacks, words that no question of it has, how many questions it
+    asks (least, most), and two words of which the first comes before the second, all in any case of letters."""
+
+    check_id: str
+    code: str = "EVIDENCE-INCOMPLETE"
+    required: Sequence[str] = ()
+    forbidden: Sequence[str] = ()
+    not_asked: Sequence[str] = ()
+    questions: tuple[int, int] | None = None
+    order: tuple[str, str] | None = None
+
+
+def check_runs(docs: DataFrame, checks: Sequence[Check], evidence: int = 6) -> DataFrame:
+    """doc_id, check_id, code, ok, evidence (the first offenders, in the order of the check's parts, joined by |).
+
+    Row-local: a text is lower-cased and its questions are found once for all checks.
+    """
+    text = F.coalesce("text", F.lit(""))
+    x = docs.select("doc_id", text.alias("text"), F.lower(text).alias("low"), F.transform(F.regexp_extract_all(text, F.lit(QUESTION), F.lit(1)), stripped).alias("asked"))
+    low, asked = F.col("low"), F.col("asked")
+
+    def offenders(c: Check) -> Column:
+        none = F.array().cast("array<string>")
+        asking = lambda w: F.filter(asked, lambda q: F.contains(F.lower(q), F.lit(w.lower())))
+        parts = [asking(w) for w in c.not_asked]
+        parts += [F.when(~F.contains(low, F.lit(w.lower())), F.array(F.lit(f"missing: {w}"))).otherwise(none) for w in c.required]
+        parts += [F.when(F.contains(low, F.lit(w.lower())), F.array(F.lit(f"present: {w}"))).otherwise(none) for w in c.forbidden]
+        if c.questions:
+            parts.append(F.when(~F.size(asked).between(*c.questions), F.array(F.concat(F.lit("question count "), F.size(asked).cast("string")))).otherwise(none))
+        if c.order:
+            first, second = (F.locate(w.lower(), low) for w in c.order)
+            parts.append(F.when(~((first > 0) & (first < second)), F.array(F.lit(f"order {c.order[0]} before {c.order[1]} not observed"))).otherwise(none))
+        return F.concat(none, *parts)
+
+    each = F.array(*[F.struct(F.lit(c.check_id).alias("check_id"), F.lit(c.code).alias("code"), offenders(c).alias("bad")) for c in checks])
+    return x.select("doc_id", F.inline(each)).select("doc_id", "check_id", "code", (F.size("bad") == 0).alias("ok"), F.array_join(F.slice("bad", 1, evidence), "|").alias("evidence"))

@@ -8,7 +8,7 @@ from assaykit.operators import delta, evidence, findings, graph, handoff, health
 from assaykit.plans.views import VIEWS, view
 from assaykit.queries import LINE_SQL, SQL, STOP_SQL, query, table
 from assaykit.sources import fixtures, readers
-from assaykit.streaming import sessions
+from assaykit.streaming import receipts, sessions
 
 
 def quoted(text: str) -> str:
@@ -713,9 +713,91 @@ def source_changed_paths(spark, d):
     return x.select("id", F.array_join(readers.changed_paths(F.col("status")), ",").alias("paths"))
 
 
-@query("ledger_band_stops", "SELECT unnest([1, 2]) AS i, unnest([(5 + 10) * 100.0 / 32, (13 + 10) * 100.0 / 32]) AS percent")
+@query(
+    "ledger_band_stops",
+    """SELECT i, percent, count(*) FILTER (place < percent) AS below, count(*) FILTER (place >= percent) AS reached
+    FROM (SELECT (greatest(-10, least(22, {priority})) + 10) * 100.0 / 32 AS place FROM {candidate}), (SELECT unnest([1, 2]) AS i, unnest([(5 + 10) * 100.0 / 32, (13 + 10) * 100.0 / 32]) AS percent) GROUP BY ALL""",
+)
 def ledger_band_stops(spark, d):
-    return spark.createDataFrame([(i, p) for i, p in enumerate(ledger.band_stops(), 1)], "i long, percent double")
+    """Where bands meet on the axis, and how many candidates lie on either side."""
+    x = ledger.scored(view(spark, d, "candidate")).select(ledger.fill_percent(F.col("priority")).alias("at"))
+    stops = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(p).alias("percent")) for i, p in enumerate(ledger.band_stops(), 1)])
+    return x.select("at", F.inline(stops)).groupBy("i", "percent").agg(F.count_if(F.col("at") < F.col("percent")).alias("below"), F.count_if(F.col("at") >= F.col("percent")).alias("reached"))
+
+
+@query("ledger_counts", "SELECT ledger_id, CASE WHEN {priority} >= 13 THEN 'strong' WHEN {priority} >= 6 THEN 'worth' ELSE 'speculative' END AS band, action, count(*) AS n, count(*) FILTER (unresolved <> '') AS n_blocked FROM {gated} GROUP BY ALL")
+def ledger_counts(spark, d):
+    return ledger.counts(ledger.gated(view(spark, d, "candidate"), view(spark, d, "dep")), "ledger_id")
+
+
+@query(
+    "cache_reuse_counts",
+    """WITH r AS (SELECT w.id % 5 AS part, CASE WHEN c.id IS NULL THEN 'miss' WHEN c.input_fp = w.input_fp AND c.dep_fp = w.dep_fp AND c.env_fp = w.env_fp AND c.rev = w.rev THEN 'exact'
+        WHEN c.input_fp = w.input_fp AND c.dep_fp = w.dep_fp AND c.env_fp = w.env_fp THEN 'content-stable' WHEN c.env_fp = w.env_fp THEN 'warm-only' ELSE 'miss' END AS reuse FROM {wanted} w LEFT JOIN {cached} c ON c.id = w.id)
+    SELECT part, reuse, count(*) AS n, floor(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY part) * 1000 + 0.5) / 1000 AS share FROM r GROUP BY part, reuse""",
+)
+def cache_reuse_counts(spark, d):
+    content = ["input_fp", "dep_fp", "env_fp"]
+    reuse = delta.reuse_class(view(spark, d, "cached"), view(spark, d, "wanted"), "id", [*content, "rev"], content, ["env_fp"])
+    return delta.reuse_counts(reuse.withColumn("part", F.col("id") % 5), "part")
+
+
+@query(
+    "ledger_shape_cases",
+    """WITH c AS (SELECT candidate_id AS id, CASE WHEN ordinal % 7 = 0 THEN ' ' ELSE 't' END AS title, CASE WHEN ordinal % 5 = 0 THEN 6 WHEN ordinal % 5 = 1 THEN NULL ELSE severity END AS severity, CASE WHEN ordinal % 3 = 0 THEN 'XL' END AS effort, status_stored, priority_stored,
+        severity AS s, {priority} AS priority FROM {candidate})
+    SELECT id AS subject_id, 'missing-field' AS code, 'title' AS path FROM c WHERE title = ' '
+    UNION ALL SELECT id, 'score-range', 'severity' FROM c WHERE severity IS NULL OR severity > 5
+    UNION ALL SELECT id, 'effort-range', 'effort' FROM c WHERE effort = 'XL'
+    UNION ALL SELECT id, 'status-invalid', 'status' FROM c WHERE status_stored = 'done'
+    UNION ALL SELECT id, 'priority-mismatch', 'priority_score' FROM c WHERE priority_stored <> priority - s + severity""",
+)
+def ledger_shape_cases(spark, d):
+    """Candidates with a fault of each kind."""
+    x = view(spark, d, "candidate").selectExpr("* EXCEPT (severity, effort, title)", "CASE WHEN ordinal % 5 = 0 THEN 6 WHEN ordinal % 5 = 1 THEN NULL ELSE severity END AS severity", "CASE WHEN ordinal % 3 = 0 THEN 'XL' END AS effort", "CASE WHEN ordinal % 7 = 0 THEN ' ' ELSE 't' END AS title")
+    return ledger.shape_findings(x).select("subject_id", "code", "path")
+
+
+_RUNS = [
+    lint.Check("words", required=["goal", "zebra"], forbidden=["SYSTEM:"]),
+    lint.Check("questions", "QUESTION-COUNT", questions=(2, 3), not_asked=["next"]),
+    lint.Check("order", "ORDER", order=("File map", "Verification")),
+    lint.Check("reversed", "ORDER", order=("Verification", "Goal")),
+]
+
+
+@query(
+    "text_check_runs",
+    r"""WITH t AS (SELECT doc_id, lower(text) AS low, list_transform(regexp_extract_all(text, '(?m)^\s*>?\s*\d+\.\s+(.+?\?)\s*$', 1), lambda q: trim(q)) AS asked FROM {handoff_text}),
+    b AS (
+        SELECT doc_id, 'words' AS check_id, 'EVIDENCE-INCOMPLETE' AS code, list_concat(CASE WHEN contains(low, 'goal') THEN [] ELSE ['missing: goal'] END, ['missing: zebra'], CASE WHEN contains(low, 'system:') THEN ['present: SYSTEM:'] ELSE [] END) AS bad FROM t
+        UNION ALL SELECT doc_id, 'questions', 'QUESTION-COUNT', list_concat(list_filter(asked, lambda q: contains(lower(q), 'next')), CASE WHEN len(asked) BETWEEN 2 AND 3 THEN [] ELSE [concat('question count ', len(asked))] END) FROM t
+        UNION ALL SELECT doc_id, 'order', 'ORDER', CASE WHEN strpos(low, 'file map') > 0 AND strpos(low, 'file map') < strpos(low, 'verification') THEN [] ELSE ['order File map before Verification not observed'] END FROM t
+        UNION ALL SELECT doc_id, 'reversed', 'ORDER', CASE WHEN strpos(low, 'verification') > 0 AND strpos(low, 'verification') < strpos(low, 'goal') THEN [] ELSE ['order Verification before Goal not observed'] END FROM t)
+    SELECT doc_id, check_id, code, len(bad) = 0 AS ok, array_to_string(bad[1:6], '|') AS evidence FROM b""",
+)
+def text_check_runs(spark, d):
+    return lint.check_runs(view(spark, d, "handoff_text"), _RUNS)
+
+
+@query(
+    "receipt_observed",
+    """WITH open AS (SELECT o_custkey % 10 AS k, o_totalprice FROM orders WHERE o_orderstatus <> 'F')
+    SELECT 'read' AS stage, count(*) AS rows, NULL::BIGINT AS highest, true AS timed FROM orders
+    UNION ALL SELECT 'open', count(*), max(o_totalprice)::BIGINT, true FROM open
+    UNION ALL SELECT 'grouped', count(DISTINCT k), NULL, true FROM open""",
+)
+def receipt_observed(spark, d):
+    """What passed through the stages of a real query, noted while it ran once."""
+    told = receipts.Receipts(spark, "open orders")
+    read = told.watched(table(spark, d, "orders"), "read")
+    held = told.watched(read.where("o_orderstatus <> 'F'"), "open", highest=F.max("o_totalprice"))
+    grouped = told.watched(held.groupBy((F.col("o_custkey") % 10).alias("k")).agg(F.sum("o_totalprice")), "grouped")
+    with told.timed("grouped"):
+        grouped.write.format("noop").mode("overwrite").save()
+    took = told.stages().where("started IS NOT NULL").count() == 1
+    rows = [(stage, m["rows"], None if m.get("highest") is None else int(m["highest"] + 0.5), took) for stage, m in told.metrics()]
+    return spark.createDataFrame(rows, "stage string, rows long, highest long, timed boolean")
 
 
 @query("session_newest_handoff", "WITH x AS (SELECT user_id AS folder, event_id, concat('202405', lpad(CAST(1 + event_id % 28 AS STRING), 2, '0'), '-0102', lpad(CAST(event_id % 70 AS STRING), 2, '0'), 'Z-abcdef12-handoff.md') AS name, event_id % 5 = 0 AS bad, event_id % 70 < 60 AS real FROM events), g AS (SELECT folder, max(name) AS best FROM x WHERE NOT bad AND real GROUP BY folder) SELECT x.folder, best AS name, count(*) FILTER (x.name > best) AS newer, count(*) FILTER (x.name < best) AS older FROM x JOIN g ON g.folder = x.folder GROUP BY x.folder, best")

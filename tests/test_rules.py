@@ -35,3 +35,40 @@ def test_every_rule_and_kind_of_secret_has_rows(spark):
     assert set(rules) == {"CRED", "INJECT", "AGENTIC", "PERSIST", "COT", "VAGUE", "FORMAT", "STACK", "TODO"} and min(rules.values()) >= 5
     secrets = {r.secret: r["count"] for r in handoff.secret_lines(texts).groupBy("secret").count().collect()}
     assert set(secrets) == set(handoff.SECRETS) and min(secrets.values()) >= 5
+
+
+def test_checks_of_counts_order_and_questions(spark):
+    texts = ["1. Which NEXT step?\n2. Why?\nfirst then second", "second first", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    checks = [lint.Check("q", questions=(2, 2), not_asked=["next"]), lint.Check("o", "ORDER", order=("First", "second")), lint.Check("w", required=list("uvwxyza"), forbidden=["first"])]
+    got = {(r.doc_id, r.check_id): (r.ok, r.code, r.evidence) for r in lint.check_runs(docs, checks).collect()}
+    assert got[0, "q"] == (False, "EVIDENCE-INCOMPLETE", "Which NEXT step?") and got[1, "q"][2] == got[2, "q"][2] == "question count 0"
+    assert got[0, "o"] == (True, "ORDER", "") and got[1, "o"][:2] == got[2, "o"][:2] == (False, "ORDER")
+    assert got[0, "w"][2] == "missing: u|missing: v|missing: z|missing: a|present: first"
+    assert got[2, "w"][2] == "missing: u|missing: v|missing: w|missing: x|missing: y|missing: z"
+
+
+def test_receipts_of_queries_and_streams(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from assaykit.streaming.receipts import Receipts, listening
+
+    told = Receipts(spark, "r")
+    x = told.watched(told.watched(spark.range(100), "made").where("id % 2 = 0"), "even", most=F.max("id"))
+    with told.timed("even"):
+        x.write.format("noop").mode("overwrite").save()
+    rows = {r.stage: r for r in told.stages().collect()}
+    assert (rows["made"].rows, rows["even"].rows) == (100, 50) and rows["even"].ended >= rows["even"].started > 0 and rows["made"].started is None
+    assert dict(told.metrics())["even"]["most"] == 98
+    times = {r.stage: r.elapsed for r in scores.stage_times(told.stages(), "run").collect()}
+    assert times["even"] == rows["even"].ended - rows["even"].started
+
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    with listening(spark) as heard:
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        query = stream.writeStream.queryName("heard").format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    stages = heard.stages(spark).collect()
+    assert sum(r.rows or 0 for r in stages if r.stage.startswith("batch-")) == 10
+    assert {r.run for r in stages} == {"heard"} and any(r.stage == "addBatch" for r in stages)
+    assert all(r.ended >= r.started for r in stages)
