@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions.canonical import canonical
@@ -34,6 +34,14 @@ def number_changes(previous: DataFrame, current: DataFrame, keys: Sequence[str],
     return x.where("previous IS NOT NULL").withColumn("change", rounded(F.col("current") - F.col("previous"), 2))
 
 
+def report_diff(previous: DataFrame, current: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, kind (new, carried or resolved), previous, current, change to two decimals (null unless both have a value)."""
+    x = _both(previous.select(*keys, value), current.select(*keys, value), keys)
+    was, now = F.col(f"p.{value}"), F.col(f"c.{value}")
+    kind = F.when(F.col("p").isNull(), "new").when(F.col("c").isNull(), "resolved").otherwise("carried")
+    return x.select(*keys, kind.alias("kind"), was.alias("previous"), now.alias("current"), rounded(now - was, 2).alias("change"))
+
+
 def state_changes(previous: DataFrame, current: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, previous, current where both snapshots have the key and the value differs."""
     return transitions(previous, current, keys, value).where("transition = 'changed'").drop("transition")
@@ -71,6 +79,13 @@ def stored_mismatches(rows: DataFrame, subject: Sequence[str], pairs: dict[str,
     return x.where(F.col("stored").isNotNull() & (rounded(F.col("stored"), digits) != F.col("computed")))
 
 
+def stored_states(rows: DataFrame, subject: Sequence[str], pairs: dict[str, str]) -> DataFrame:
+    """subject, field, stored, computed where a stored word (a grade, a band) isn't the computed one; null isn't stored."""
+    each = F.array(*[F.struct(F.lit(s).alias("field"), F.col(s).cast("string").alias("stored"), F.col(c).cast("string").alias("computed")) for s, c in pairs.items()])
+    x = rows.select(*subject, F.inline(each))
+    return x.where(F.col("stored").isNotNull() & ~F.col("stored").eqNullSafe(F.col("computed")))
+
+
 def reuse_class(entries: DataFrame, wanted: DataFrame, key: str, exact: Sequence[str], content: Sequence[str], warm: Sequence[str]) -> DataFrame:
     """key, reuse: exact, content-stable, warm-only or miss, by which fingerprints of a cached entry still agree."""
     cols = list(dict.fromkeys([*exact, *content, *warm]))
@@ -117,3 +132,21 @@ def lane_descriptors(lanes: DataFrame, files: DataFrame) -> DataFrame:
     x = lanes.join(by_role, "lane_id", "left")
     nothing = F.sha2(F.lit(""), 256)
     return x.select(*lanes.columns, F.coalesce("input", nothing).alias("input_fingerprint"), F.coalesce("dependency", nothing).alias("dependency_fingerprint"))
+
+
+def environment_fingerprint(values: Column) -> Column:
+    """The SHA-256 of a map of environment values as JSON, whatever their order; null counts as an empty map."""
+    entries = F.array_sort(F.map_entries(F.coalesce(values, F.create_map().cast("map<string,string>"))))
+    return F.sha2(F.to_json(F.map_from_entries(entries)), 256)
+
+
+def full_descriptors(lanes: DataFrame, files: DataFrame, repositories: DataFrame) -> DataFrame:
+    """lane_descriptors() with what a cached result also depends on: the lane's environment, and the revision and working tree
+    of its repository, and a key of it all.
+
+    lanes: lane_id, repository_key, environment (map), further fields; repositories: repository_key, source_revision,
+    working_tree_fingerprint. A lane of an unknown repository has neither.
+    """
+    x = lane_descriptors(lanes, files).withColumn("environment_fingerprint", environment_fingerprint(F.col("environment"))).drop("environment")
+    x = x.join(repositories.select("repository_key", "source_revision", "working_tree_fingerprint"), "repository_key", "left")
+    return x.withColumn("key", F.sha2(F.to_json(F.struct(*sorted(x.columns)), {"ignoreNullFields": "false"}), 256))

@@ -72,6 +72,21 @@ def command_findings(commands: DataFrame) -> DataFrame:
     )
 
 
+#: How commands may be kept from the assessed files, and what keeps nothing from them (fixed values).
+ISOLATIONS, NOT_ISOLATED = ("worktree", "copy", "container", "in-place", "none"), ("in-place", "none")
+
+
+def isolation_findings(verifications: DataFrame, commands: DataFrame) -> DataFrame:
+    """repository, code for repositories with recorded commands: baseline-isolation-unknown, baseline-not-isolated.
+
+    verifications: repository, isolation; a repository without a row has no isolation.
+    """
+    ran = commands.select("repository").distinct().join(verifications.groupBy("repository").agg(F.max("isolation").alias("isolation")), "repository", "left")
+    how = F.col("isolation")
+    code = F.when(~F.coalesce(how.isin(*ISOLATIONS), F.lit(False)), "baseline-isolation-unknown").when(how.isin(*NOT_ISOLATED), "baseline-not-isolated")
+    return ran.select("repository", code.alias("code")).where("code IS NOT NULL")
+
+
 def dimension_findings(references: DataFrame, claims: DataFrame) -> DataFrame:
     """lane, dimension, code, claim_id. references: lane, dimension, level, claim_id, support, ordinal; claims: claim_id,
     lane, result.

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.functions.scalars import has_text, lines_of
+from assaykit.functions.scalars import has_text, lines_of, stripped
 from assaykit.operators.findings import Rule, run_rules
 
 # Fixed values of the skill rules.
@@ -73,6 +73,35 @@ def frontmatter_findings(skills: DataFrame, reserved: Sequence[str] = ()) -> Dat
     )
 
 
+#: Values that begin a block of indented lines (fixed values).
+BLOCKS = ("|", ">", "|-", ">-", "|+", ">+")
+
+
+def syntax_findings(files: DataFrame) -> DataFrame:
+    """skill_id, code, line (from 1) of the front matter of main files: frontmatter.missing, .unclosed, .nested for indented lines
+    outside a block, .syntax for lines without a colon. files: skill_id, path, text. Folded within the row."""
+    lines = lines_of(F.coalesce("text", F.lit("")))
+    x = files.where(F.col("path") == "SKILL.md").select("skill_id", lines.alias("l"))
+    x = x.withColumn("t", F.transform("l", stripped)).withColumn("opened", F.element_at("t", 1) == "---")
+    x = x.withColumn("end", F.array_position(F.slice("t", 2, F.size("t")), F.lit("---")))
+    found = "array<struct<code:string,line:bigint>>"
+    start = F.struct(F.lit(False).alias("block"), F.lit(1).cast("long").alias("i"), F.array().cast(found).alias("found"))
+
+    def step(s, raw):
+        blank, indented = stripped(raw) == "", raw.rlike("^[ \t]")
+        held = s["block"] & (blank | indented)
+        silent = held | blank | F.ltrim(raw).startswith("#")
+        code = F.when(silent, F.lit(None)).when(indented, "frontmatter.nested").when(~F.contains(raw, F.lit(":")), "frontmatter.syntax")
+        begins = ~silent & ~indented & stripped(F.regexp_extract(raw, "^[^:]*:(.*)$", 1)).isin(*BLOCKS)
+        told = F.when(code.isNull(), s["found"]).otherwise(F.array_append(s["found"], F.struct(code.alias("code"), (s["i"] + 1).alias("line"))))
+        # a blank or comment line outside a block ends none
+        return F.struct((held | begins).alias("block"), (s["i"] + 1).alias("i"), told.alias("found"))
+
+    inner = F.aggregate(F.slice("l", F.lit(2), F.greatest(F.col("end") - 1, F.lit(0)).cast("int")), start, step)["found"]
+    one = lambda code: F.array(F.struct(F.lit(code).alias("code"), F.lit(1).cast("long").alias("line"))).cast(found)
+    return x.select("skill_id", F.inline(F.when(~F.col("opened"), one("frontmatter.missing")).when(F.col("end") == 0, one("frontmatter.unclosed")).otherwise(inner)))
+
+
 def body_findings(files: DataFrame, suppression: str = "allow-risk", most: int = MOST_LINES) -> DataFrame:
     """skill_id, path, code, line: what lines of a package hold.
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaykit.operators import delta, evidence, findings, graph, handoff, health_rules, ledger, lint, orders, release, scores, similar, skills, traceability, tracker
+from assaykit.operators import delta, evidence, findings, graph, handoff, health, health_rules, ledger, lint, orders, release, scores, similar, skills, traceability, tracker
 from assaykit.plans.views import VIEWS, view
-from assaykit.queries import LINE_SQL, SQL, STOP_SQL, query, table
+from assaykit.queries import CURRENT, LINE_SQL, PREVIOUS, SQL, STOP_SQL, query, table
+from assaykit.queries import _snapshots as snapshots
 from assaykit.sources import fixtures, readers
 from assaykit.streaming import receipts, sessions
 
@@ -499,6 +500,85 @@ def graph_closed_paths(spark, d):
     return x.select(F.col("group").alias("grp"), F.array_join(F.transform("path", lambda m: m.cast("string")), "->").alias("path"))
 
 
+# Reports, isolation, syntax and full descriptors
+
+
+@query(
+    "delta_report",
+    f"SELECT owner, item, CASE WHEN p.owner IS NULL THEN 'new' WHEN c.owner IS NULL THEN 'resolved' ELSE 'carried' END AS kind, p.score AS previous, c.score AS current, floor((c.score - p.score) * 100 + 0.5) / 100 AS change FROM {PREVIOUS} p FULL JOIN {CURRENT} c USING (owner, item)",
+)
+def delta_report(spark, d):
+    return delta.report_diff(*snapshots(spark, d, "score"), ["owner", "item"], "score")
+
+
+_LETTER = "CASE " + " ".join(f"WHEN score >= {floor} THEN '{g}'" for g, floor in health.GRADES if floor is not None) + f" ELSE '{health.GRADES[-1][0]}' END"
+
+
+@query(
+    "delta_stored_lanes",
+    f"""WITH l AS (SELECT repository, lane, score, {_LETTER} AS grade, CASE WHEN repository % 3 = 0 THEN score + 1 WHEN repository % 3 = 1 THEN score END AS stored_score, CASE WHEN repository % 4 = 0 THEN 'B' WHEN repository % 4 = 1 THEN {_LETTER} END AS stored_grade FROM {{lanes}})
+    SELECT repository, lane, 'lane_grade' AS field, stored_grade AS stored, grade AS computed FROM l WHERE stored_grade <> grade
+    UNION ALL SELECT repository, lane, 'lane_score', 'higher', 'lower' FROM l WHERE floor(stored_score * 100 + 0.5) / 100 <> floor(score * 100 + 0.5) / 100""",
+)
+def delta_stored_lanes(spark, d):
+    """Stored lane scores and grades that aren't what the dimensions give."""
+    x = health.lane_scores(view(spark, d, "dimension")).withColumn("grade", health.letter(health.grade_index(F.col("score"))))
+    x = x.selectExpr("repository", "lane", "score", "grade", "CASE WHEN repository % 3 = 0 THEN score + 1 WHEN repository % 3 = 1 THEN score END AS lane_score", "CASE WHEN repository % 4 = 0 THEN 'B' WHEN repository % 4 = 1 THEN grade END AS lane_grade")
+    numbers = delta.stored_mismatches(x, ["repository", "lane"], {"lane_score": "score"})
+    told = numbers.select("repository", "lane", "field", F.when(F.col("stored") > F.col("computed"), "higher").otherwise("lower").alias("stored"), F.when(F.col("stored") > F.col("computed"), "lower").otherwise("higher").alias("computed"))
+    return delta.stored_states(x, ["repository", "lane"], {"lane_grade": "grade"}).unionByName(told)
+
+
+_ISOLATION = "CASE repository % 6 WHEN 0 THEN 'worktree' WHEN 1 THEN 'in-place' WHEN 2 THEN 'none' WHEN 3 THEN 'odd' WHEN 4 THEN 'container' END"
+
+
+@query(
+    "health_isolation",
+    f"SELECT repository, CASE WHEN i IN ('in-place', 'none') THEN 'baseline-not-isolated' ELSE 'baseline-isolation-unknown' END AS code FROM (SELECT DISTINCT repository, {_ISOLATION} AS i FROM {{command}}) WHERE i IS NULL OR i IN ('in-place', 'none', 'odd')",
+)
+def health_isolation(spark, d):
+    commands = view(spark, d, "command")
+    return health_rules.isolation_findings(commands.selectExpr("repository", f"{_ISOLATION} AS isolation").where("repository % 6 <> 5"), commands)
+
+
+@query(
+    "health_inventory",
+    "WITH s AS (SELECT unnest(" + str(list(health.SURFACES)) + ") AS surface, unnest(range(" + str(len(health.SURFACES)) + ")) AS i), r AS (SELECT DISTINCT p_partkey // 40 AS repository FROM part)"
+    " SELECT repository, surface FROM r JOIN s ON true WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey // 40 = r.repository AND p_size % " + str(len(health.SURFACES)) + " = i AND p_size % 3 > 0)",
+)
+def health_inventory(spark, d):
+    """Repositories that list part of the inventory, and what they leave out."""
+    names = F.array(*[F.lit(x) for x in health.SURFACES])
+    surface = F.when(F.col("p_size") % 3 > 0, F.element_at(names, (F.col("p_size") % len(health.SURFACES) + 1).cast("int"))).otherwise("elsewhere")
+    return health.missing_surfaces(table(spark, d, "part").select(F.expr("p_partkey DIV 40").alias("repository"), surface.alias("surface")))
+
+
+_FRONT_LINES = "concat_ws(chr(10), CASE WHEN p_partkey % 9 <> 0 THEN '---' END, 'name: x', CASE p_partkey % 4 WHEN 0 THEN 'no colon here' WHEN 1 THEN concat('about: |', chr(10), '  a block', chr(10), chr(10), '  of lines') WHEN 2 THEN concat('tags:', chr(10), '  - one') ELSE '# a note' END, 'k: v', CASE WHEN p_partkey % 7 <> 0 THEN '---' END, 'body without colon')"
+
+
+@query(
+    "skill_frontmatter_syntax",
+    """SELECT p_partkey AS skill_id, CASE WHEN p_partkey % 9 = 0 THEN 'frontmatter.missing' WHEN p_partkey % 7 = 0 THEN 'frontmatter.unclosed' WHEN p_partkey % 4 = 0 THEN 'frontmatter.syntax' ELSE 'frontmatter.nested' END AS code,
+    CASE WHEN p_partkey % 9 = 0 OR p_partkey % 7 = 0 THEN 1 WHEN p_partkey % 4 = 0 THEN 3 ELSE 4 END AS line FROM part WHERE p_partkey % 9 = 0 OR p_partkey % 7 = 0 OR p_partkey % 4 IN (0, 2)""",
+)
+def skill_frontmatter_syntax(spark, d):
+    return skills.syntax_findings(table(spark, d, "part").selectExpr("p_partkey AS skill_id", "'SKILL.md' AS path", f"{_FRONT_LINES} AS text"))
+
+
+@query(
+    "cache_full_descriptors",
+    """WITH f AS (SELECT l_suppkey AS lane_id, string_agg(t, chr(10) ORDER BY t) FILTER (r) AS i, string_agg(t, chr(10) ORDER BY t) FILTER (NOT r) AS j FROM (SELECT l_suppkey, concat(l_orderkey, '/', l_linenumber, ':', l_partkey) AS t, l_linenumber % 2 = 1 AS r FROM lineitem) GROUP BY l_suppkey),
+    x AS (SELECT s_suppkey AS lane_id, concat('n', s_nationkey) AS repository_key, sha256(coalesce(i, '')) AS a, sha256(coalesce(j, '')) AS b, sha256(concat('{"CI":"', s_suppkey % 2, '","OS":"', s_nationkey, '"}')) AS e, CASE WHEN n_regionkey <> 2 THEN concat('"', n_name, '"') ELSE 'null' END AS rev, CASE WHEN n_regionkey <> 2 THEN concat('"r', n_regionkey, '"') ELSE 'null' END AS tree
+        FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN f ON lane_id = s_suppkey)
+    SELECT lane_id, e AS environment_fingerprint, sha256(concat('{"dependency_fingerprint":"', b, '","environment_fingerprint":"', e, '","input_fingerprint":"', a, '","lane_id":', lane_id, ',"repository_key":"', repository_key, '","source_revision":', rev, ',"working_tree_fingerprint":', tree, '}')) AS key FROM x""",
+)
+def cache_full_descriptors(spark, d):
+    files = table(spark, d, "lineitem").selectExpr("l_suppkey AS lane_id", "CASE WHEN l_linenumber % 2 = 1 THEN 'input' ELSE 'dependency' END AS role", "concat(l_orderkey, '/', l_linenumber) AS path", "CAST(l_partkey AS STRING) AS sha256")
+    lanes = table(spark, d, "supplier").selectExpr("s_suppkey AS lane_id", "concat('n', s_nationkey) AS repository_key", "CASE WHEN s_suppkey % 3 = 0 THEN map('OS', CAST(s_nationkey AS STRING), 'CI', CAST(s_suppkey % 2 AS STRING)) ELSE map('CI', CAST(s_suppkey % 2 AS STRING), 'OS', CAST(s_nationkey AS STRING)) END AS environment")
+    repositories = table(spark, d, "nation").where("n_regionkey <> 2").selectExpr("concat('n', n_nationkey) AS repository_key", "n_name AS source_revision", "concat('r', n_regionkey) AS working_tree_fingerprint")
+    return delta.full_descriptors(lanes, files, repositories).select("lane_id", "environment_fingerprint", "key")
+
+
 # Releases and fixtures
 
 #: In documents by source: names that are stale, a phrase in either case, and phrases that each source must have.

@@ -72,3 +72,27 @@ def test_receipts_of_queries_and_streams(spark, tmp_path):
     assert sum(r.rows or 0 for r in stages if r.stage.startswith("batch-")) == 10
     assert {r.run for r in stages} == {"heard"} and any(r.stage == "addBatch" for r in stages)
     assert all(r.ended >= r.started for r in stages)
+
+
+def test_front_matter_syntax_by_line(spark):
+    texts = {1: "---\na: b\n\n# c\n nested\nno colon\nd: >-\n  held\n\n  held\n# ends it\n  nested\n---\nno colon", 2: "a: b", 3: "---\na: b", 4: "---\n---", 5: None}
+    files = spark.createDataFrame([(i, "SKILL.md", t) for i, t in texts.items()] + [(6, "other.md", "x")], "skill_id int, path string, text string")
+    got = {(r.skill_id, r.code.split(".")[1], r.line) for r in skills.syntax_findings(files).collect()}
+    assert got == {(1, "nested", 5), (1, "syntax", 6), (1, "nested", 12), (2, "missing", 1), (3, "unclosed", 1), (5, "missing", 1)}
+
+
+def test_reports_isolation_and_environments(spark):
+    from pyspark.sql import functions as F
+
+    from assaykit.operators import delta, health_rules
+
+    frame = lambda rows: spark.createDataFrame(rows, "id string, score double")
+    got = {tuple(r) for r in delta.report_diff(frame([("a", 1.0), ("b", None), ("c", 2.0)]), frame([("b", 3.0), ("c", 2.126), ("d", 4.0)]), ["id"], "score").collect()}
+    assert got == {("a", "resolved", 1.0, None, None), ("b", "carried", None, 3.0, None), ("c", "carried", 2.0, 2.126, 0.13), ("d", "new", None, 4.0, None)}
+    commands = spark.createDataFrame([(i, "test") for i in "abcd"], "repository string, kind string")
+    told = spark.createDataFrame([("a", "worktree"), ("b", "none"), ("c", "shared"), ("x", "none")], "repository string, isolation string")
+    assert {tuple(r) for r in health_rules.isolation_findings(told, commands).collect()} == {("b", "baseline-not-isolated"), ("c", "baseline-isolation-unknown"), ("d", "baseline-isolation-unknown")}
+    x = spark.range(1).select(*[delta.environment_fingerprint(F.expr(m)).alias(n) for n, m in {"a": "map('x', '1', 'y', '2')", "b": "map('y', '2', 'x', '1')", "c": "map('x', '1')", "d": "CAST(NULL AS map<string,string>)"}.items()]).first()
+    assert x.a == x.b and len({x.a, x.c, x.d}) == 3
+    states = spark.createDataFrame([(1, "A", "B"), (2, "A", "A"), (3, None, "A"), (4, "A", None)], "id int, stored_grade string, grade string")
+    assert {(r.id, r.stored, r.computed) for r in delta.stored_states(states, ["id"], {"stored_grade": "grade"}).collect()} == {(1, "A", "B"), (4, "A", None)}
