@@ -82,7 +82,7 @@ def syntax_findings(files: DataFrame) -> DataFrame:
     outside a block, .syntax for lines without a colon. files: skill_id, path, text. Folded within the row."""
     lines = lines_of(F.coalesce("text", F.lit("")))
     x = files.where(F.col("path") == "SKILL.md").select("skill_id", lines.alias("l"))
-    x = x.withColumn("t", F.transform("l", stripped)).withColumn("opened", F.element_at("t", 1) == "---")
+    x = x.withColumn("t", F.transform("l", stripped)).withColumn("opened", F.coalesce(F.try_element_at("t", F.lit(1)), F.lit("")) == "---")
     x = x.withColumn("end", F.array_position(F.slice("t", 2, F.size("t")), F.lit("---")))
     found = "array<struct<code:string,line:bigint>>"
     start = F.struct(F.lit(False).alias("block"), F.lit(1).cast("long").alias("i"), F.array().cast(found).alias("found"))
