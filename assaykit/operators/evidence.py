@@ -123,6 +123,42 @@ def lane_findings(items: DataFrame, lanes: DataFrame) -> DataFrame:
     return x.select("packet_id", "id", code.alias("code")).where("code IS NOT NULL")
 
 
+#: States of a lane, and the fields of its receipt that name records (fixed values).
+LANE_STATES = ("complete", "partial", "failed", "blocked")
+RECEIPT_REFS = ("claim_refs", "negative_claim_refs", "contradiction_refs")
+
+
+def receipt_findings(receipts: DataFrame, records: DataFrame, packets: DataFrame) -> DataFrame:
+    """packet_id, lane_id, code, path: faults of lane receipts by themselves, against the packet's records, and against its mode.
+
+    receipts: packet_id, lane_id, surface, status, the arrays of RECEIPT_REFS and limitations; records: packet_id, field (one of
+    RECEIPT_REFS), id; packets: packet_id, mode. Inline packets have no receipts and expeditions two at least; of the latter's
+    findings lane_id is null.
+    """
+    arrays = (*RECEIPT_REFS, "limitations")
+    fault = lambda code, path, when: F.when(when, F.struct(F.lit(code).alias("code"), F.lit(path).alias("path")))
+    blank = lambda c: F.exists(F.col(c), lambda x: ~F.coalesce(has_text(x), F.lit(False)))
+    own = [
+        fault("id-invalid", "lane_id", ~F.coalesce(F.col("lane_id").rlike(IDENTIFIER), F.lit(False))),
+        fault("lane-surface-missing", "surface", ~has_text(F.col("surface"))),
+        fault("lane-status-invalid", "status", ~F.coalesce(F.col("status").isin(*LANE_STATES), F.lit(False))),
+        *[fault("array-required", c, F.col(c).isNull()) for c in arrays],
+        *[fault("string-required", c, blank(c)) for c in arrays],
+        *[fault("duplicate-value", c, F.size(F.array_distinct(c)) < F.size(c)) for c in RECEIPT_REFS],
+    ]
+    shape = receipts.select("packet_id", "lane_id", F.inline(F.array_compact(F.array(*own))))
+    repeated = receipts.where("lane_id IS NOT NULL").groupBy("packet_id", "lane_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = repeated.select("packet_id", "lane_id", F.lit("lane-id-duplicate").alias("code"), F.lit("lane_id").alias("path"))
+    each = receipts.select("packet_id", "lane_id", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("ids")) for c in RECEIPT_REFS]))).select("packet_id", "lane_id", "field", F.explode("ids").alias("id"))
+    unknown = each.join(records.select("packet_id", "field", "id").distinct(), ["packet_id", "field", "id"], "left_anti")
+    unknown = unknown.select("packet_id", "lane_id", F.lit("lane-ref-unknown").alias("code"), F.concat_ws(":", "field", "id").alias("path"))
+    n = receipts.groupBy("packet_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = packets.select("packet_id", "mode").join(n, "packet_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    code = F.when((F.col("mode") == "inline") & (F.col("n") > 0), "inline-lanes-forbidden").when((F.col("mode") == "expedition") & (F.col("n") < 2), "expedition-lanes-missing")
+    by_mode = counted.select("packet_id", F.lit(None).cast(receipts.schema["lane_id"].dataType).alias("lane_id"), code.alias("code"), F.lit("lane_receipts").alias("path")).where("code IS NOT NULL")
+    return shape.unionByName(repeated).unionByName(unknown).unionByName(by_mode)
+
+
 def summary(claims: DataFrame, negatives: DataFrame) -> DataFrame:
     """packet_id with counts of claims by status, of negatives and of supported absences."""
     by_status = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]

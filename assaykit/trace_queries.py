@@ -666,6 +666,32 @@ def evidence_lanes(spark, d):
     return evidence.lane_findings(c, every)
 
 
+_RECEIPT = """o_custkey AS packet_id, CASE WHEN o_orderkey % 11 = 0 THEN '-lane' WHEN o_orderkey % 10 = 0 THEN 'same' ELSE concat('lane', o_orderkey) END AS lane_id, CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE 'src' END AS surface,
+    CASE WHEN o_orderkey % 5 = 0 THEN 'lost' ELSE 'complete' END AS status, o_orderkey % 6 AS k, o_orderkey AS c"""
+
+
+@query(
+    "evidence_receipts",
+    f"""WITH r AS (SELECT {_RECEIPT} FROM orders)
+    SELECT packet_id, lane_id, 'id-invalid' AS code, 'lane_id' AS path FROM r WHERE lane_id = '-lane'
+    UNION ALL SELECT packet_id, lane_id, 'lane-surface-missing', 'surface' FROM r WHERE surface = ' '
+    UNION ALL SELECT packet_id, lane_id, 'lane-status-invalid', 'status' FROM r WHERE status = 'lost'
+    UNION ALL SELECT packet_id, lane_id, 'array-required', 'limitations' FROM r WHERE k = 0
+    UNION ALL SELECT packet_id, lane_id, 'string-required', 'limitations' FROM r WHERE k = 1
+    UNION ALL SELECT packet_id, lane_id, 'duplicate-value', 'claim_refs' FROM r WHERE k = 2
+    UNION ALL SELECT packet_id, lane_id, 'lane-ref-unknown', concat('negative_claim_refs:', 'n', c) FROM r WHERE k = 3
+    UNION ALL SELECT packet_id, lane_id, 'lane-id-duplicate', 'lane_id' FROM r GROUP BY packet_id, lane_id HAVING count(*) > 1
+    UNION ALL SELECT c_custkey, NULL, CASE c_custkey % 3 WHEN 0 THEN 'inline-lanes-forbidden' ELSE 'expedition-lanes-missing' END, 'lane_receipts' FROM (SELECT c_custkey, count(packet_id) AS n FROM customer LEFT JOIN r ON packet_id = c_custkey GROUP BY c_custkey) WHERE c_custkey % 3 = 0 AND n > 0 OR c_custkey % 3 = 1 AND n < 2""",
+)
+def evidence_receipts(spark, d):
+    r = table(spark, d, "orders").selectExpr(*[x.strip() for x in _columns(_RECEIPT)])
+    text = "CAST(array() AS array<string>)"
+    r = r.selectExpr("packet_id", "lane_id", "surface", "status", "CASE WHEN k = 2 THEN array(concat('c', c), concat('c', c)) ELSE array(concat('c', c)) END AS claim_refs", f"CASE WHEN k = 3 THEN array(concat('n', c)) ELSE {text} END AS negative_claim_refs", f"{text} AS contradiction_refs", f"CASE k WHEN 0 THEN NULL WHEN 1 THEN array('x', ' ') ELSE {text} END AS limitations")
+    records = table(spark, d, "orders").selectExpr("o_custkey AS packet_id", "'claim_refs' AS field", "concat('c', o_orderkey) AS id")
+    packets = table(spark, d, "customer").selectExpr("c_custkey AS packet_id", "CASE c_custkey % 3 WHEN 0 THEN 'inline' WHEN 1 THEN 'expedition' END AS mode")
+    return evidence.receipt_findings(r, records, packets)
+
+
 @query("evidence_freshness", "SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 THEN 'fresh' ELSE 'stale' END AS freshness FROM orders")
 def evidence_freshness(spark, d):
     x = table(spark, d, "orders").selectExpr("o_orderkey AS id", "o_custkey % 3 AS revision", "0L AS head", "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 = 0 END AS dirty")

@@ -96,3 +96,32 @@ def test_reports_isolation_and_environments(spark):
     assert x.a == x.b and len({x.a, x.c, x.d}) == 3
     states = spark.createDataFrame([(1, "A", "B"), (2, "A", "A"), (3, None, "A"), (4, "A", None)], "id int, stored_grade string, grade string")
     assert {(r.id, r.stored, r.computed) for r in delta.stored_states(states, ["id"], {"stored_grade": "grade"}).collect()} == {(1, "A", "B"), (4, "A", None)}
+
+
+def test_lane_receipts(spark):
+    from assaykit.operators import evidence
+
+    rows = [
+        (1, "a", "s", "complete", ["c1"], [], [], []),
+        (1, "a", None, "failed", ["c1", "c1"], ["n1"], [], [""]),
+        (2, None, "s", None, None, [], ["x"], []),
+        (3, "b", "s", "partial", ["c1"], [], [], []),
+    ]
+    receipts = spark.createDataFrame(rows, "packet_id int, lane_id string, surface string, status string, claim_refs array<string>, negative_claim_refs array<string>, contradiction_refs array<string>, limitations array<string>")
+    records = spark.createDataFrame([(1, "claim_refs", "c1"), (1, "negative_claim_refs", "n1"), (3, "negative_claim_refs", "c1")], "packet_id int, field string, id string")
+    packets = spark.createDataFrame([(1, "expedition"), (2, "inline"), (3, "expedition"), (4, "expedition"), (5, "inline")], "packet_id int, mode string")
+    got = {(r.packet_id, r.lane_id, r.code, r.path) for r in evidence.receipt_findings(receipts, records, packets).collect()}
+    assert got == {
+        (1, "a", "lane-id-duplicate", "lane_id"),
+        (1, "a", "lane-surface-missing", "surface"),
+        (1, "a", "duplicate-value", "claim_refs"),
+        (1, "a", "string-required", "limitations"),
+        (2, None, "id-invalid", "lane_id"),
+        (2, None, "lane-status-invalid", "status"),
+        (2, None, "array-required", "claim_refs"),
+        (2, None, "lane-ref-unknown", "contradiction_refs:x"),
+        (2, None, "inline-lanes-forbidden", "lane_receipts"),
+        (3, "b", "lane-ref-unknown", "claim_refs:c1"),
+        (3, None, "expedition-lanes-missing", "lane_receipts"),
+        (4, None, "expedition-lanes-missing", "lane_receipts"),
+    }
