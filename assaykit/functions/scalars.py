@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,10 +71,14 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.when(smaller > 0, F.greatest(both / either, both / smaller)).otherwise(F.lit(0.0))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x worked out once a row however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def lines_of(x: Column) -> Column:
     """The lines of a text; an end of line at its end starts no further one, and an empty text has none."""
-    parts = F.split(x, LINE_END)
-    return F.when(x == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(x, LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def canonical_map(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.scalars import lines_of, stripped
-from assaykit.operators.lint import sectioned
+from assaykit.operators.lint import lines_under, sectioned
 
 # Fixed values of the handoff rules.
 META_KEYS = ("written", "cwd", "root", "branch", "head", "focus", "dirty")
@@ -85,20 +85,20 @@ def meta_findings(docs: DataFrame) -> DataFrame:
 
 def content_findings(docs: DataFrame) -> DataFrame:
     """doc_id, code, place: subgroups of the current state that are missing or empty, a next action without an anchor,
-    decisions without their kind. place is the subgroup or the line."""
-    x = sectioned(docs).where(F.col("own").isNull() & F.col("heading").isin("Current state", "Next action", "Locked decisions and constraints"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda s: s["content"]), "\n")
-    bodies = x.where(F.col("heading") != "Locked decisions and constraints").groupBy("doc_id", "heading").agg(body.alias("body")).where("body <> ''")
-    state = bodies.where("heading = 'Current state'")
+    decisions without their kind. place is the subgroup or the line. Row-local; nothing is shuffled."""
+    text = lambda heading: F.array_join(F.transform(lines_under(heading), lambda s: s["content"]), "\n")
+    x = sectioned(docs).select("doc_id", text("Current state").alias("body"), text("Next action").alias("action"), lines_under("Locked decisions and constraints").alias("decisions"))
     missing = F.filter(F.array(*map(F.lit, SUBGROUPS)), lambda s: ~F.contains("body", s))
     # the n-th piece after any subgroup's name belongs to the n-th subgroup, whichever names stand there
     pieces = F.split("body", "|".join(rf"\Q{s}\E" for s in SUBGROUPS))
     pieces = F.slice(pieces, F.lit(2), F.size(pieces))
     empty = F.filter(F.transform(F.arrays_zip(F.array(*map(F.lit, SUBGROUPS)).alias("s"), pieces.alias("p")), lambda z: F.when(z["s"].isNotNull() & z["p"].isNotNull() & ~z["p"].rlike(r"(?m)(^\s*-\s+\S|^\s*None\s*$)"), z["s"])), lambda s: s.isNotNull())
     told = lambda code, places: F.transform(places, lambda p: F.struct(F.lit(code).alias("code"), p.alias("place")))
-    out = state.select("doc_id", F.inline(F.concat(told("subgroup-missing", missing), told("subgroup-empty", empty))))
-    immediate = F.split("body", r"(?m)^\s*Then:?\s*$")[0]
-    action = bodies.where(F.col("heading") == "Next action").where(~immediate.rlike(ANCHOR)).select("doc_id", F.lit("action-without-anchor").alias("code"), F.lit("").alias("place"))
-    bullet, kind = F.col("content").rlike(r"^\s*-\s"), F.col("content").rlike(r"^\s*-\s*(LOCKED:|revisit-if)")
-    loose = x.where((F.col("heading") == "Locked decisions and constraints") & bullet & ~kind).select("doc_id", F.lit("decision-without-kind").alias("code"), F.col("line").cast("string").alias("place"))
-    return out.unionByName(action).unionByName(loose)
+    immediate = lambda t: F.split(t, r"(?m)^\s*Then:?\s*$")[0]
+    none = F.array().cast("array<string>")
+    anchorless = F.when((F.col("action") != "") & ~immediate(F.col("action")).rlike(ANCHOR), F.array(F.lit(""))).otherwise(none)
+    loose = F.filter("decisions", lambda d: d["content"].rlike(r"^\s*-\s") & ~d["content"].rlike(r"^\s*-\s*(LOCKED:|revisit-if)"))
+    loose = F.transform(loose, lambda d: d["line"].cast("string"))
+    state = lambda places: F.when(F.col("body") != "", places).otherwise(none)
+    found = F.concat(told("subgroup-missing", state(missing)), told("subgroup-empty", state(empty)), told("action-without-anchor", anchorless), told("decision-without-kind", loose))
+    return x.select("doc_id", F.inline(found))

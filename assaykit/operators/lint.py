@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.functions.scalars import lines_of, stripped
+from assaykit.functions.scalars import bound, lines_of, stripped
 
 # Fixed values of the prompt rules.
 CREDENTIALS = (
@@ -185,26 +185,38 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_REPEATED) -> DataFrame:
 
 
 def sectioned(docs: DataFrame) -> DataFrame:
-    """doc_id, line, content, heading: each line with the last heading above or on it."""
-    heading = F.regexp_extract("content", "^##\\s+(.*?)\\s*$", 1)
-    x = exploded(docs).withColumn("own", F.when(F.col("content").rlike("^##\\s"), heading))
-    above = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("heading", F.last("own", ignorenulls=True).over(above))
+    """doc_id, sections: array of heading, line (of the heading), body (its lines up to the next heading). Row-local; what
+    stands above the first heading is in none."""
+    heading = lambda s: F.when(s.rlike("^##\\s"), F.regexp_extract(s, "^##\\s+(.*?)\\s*$", 1))
+    x = docs.select("doc_id", lines_of(F.coalesce("text", F.lit(""))).alias("l"))
+    heads = F.transform("l", lambda s, i: F.struct(F.when(F.startswith(s, F.lit("##")), heading(s)).alias("heading"), (i + 1).alias("line")))
+    x = x.withColumn("heads", F.filter(heads, lambda h: h["heading"].isNotNull()))
+    end = lambda k: F.coalesce(F.get("heads", k + 1)["line"], F.size("l") + 1)
+    body = lambda h, k: F.slice("l", h["line"] + 1, end(k) - h["line"] - 1)
+    return x.select("doc_id", F.transform("heads", lambda h, k: F.struct(h["heading"].alias("heading"), h["line"].alias("line"), body(h, k).alias("body"))).alias("sections"))
+
+
+def lines_under(heading: str) -> Column:
+    """Array of line, content: the lines of `sections` under a heading, wherever it is repeated."""
+    mine = F.filter("sections", lambda s: s["heading"] == heading)
+    return F.flatten(F.transform(mine, lambda s: F.transform(s["body"], lambda c, i: F.struct((s["line"] + i + 1).cast("long").alias("line"), c.alias("content")))))
 
 
 def section_findings(docs: DataFrame, sections: Sequence[str] = SECTIONS) -> DataFrame:
-    """doc_id, code, section: missing, repeated, empty and misplaced sections."""
-    x = sectioned(docs)
-    body = F.regexp_replace("content", "[*_`#>\\-\\d.]", " ")
-    content = F.col("own").isNull() & (F.size(F.filter(F.split(body, "\\s+"), lambda w: w != "")) >= 3) & ~F.contains("content", F.lit("<"))
-    per = x.where(F.col("heading").isin(*sections)).groupBy("doc_id", "heading").agg(F.count("own").alias("n"), F.min(F.when(F.col("own").isNotNull(), F.col("line"))).alias("at"), F.count_if(content).alias("full"))
-    wanted = docs.select("doc_id", F.explode(F.array(*[F.lit(s) for s in sections])).alias("heading"))
-    each = wanted.join(per, ["doc_id", "heading"], "left")
-    code = F.when(F.col("n").isNull(), F.lit("section-missing")).when(F.col("n") > 1, "section-repeated").when(F.col("full") == 0, "section-empty")
-    found = each.select("doc_id", code.alias("code"), F.col("heading").alias("section")).where("code IS NOT NULL")
-    order = per.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "heading"))), lambda s: s["heading"]).alias("order"), F.sum("n").alias("n"))
-    wrong = order.where((F.size("order") == len(sections)) & (F.col("n") == len(sections)) & (F.col("order") != F.array(*[F.lit(s) for s in sections])))
-    return found.unionByName(wrong.select("doc_id", F.lit("sections-out-of-order").alias("code"), F.lit("").alias("section")))
+    """doc_id, code, section: missing, repeated, empty and misplaced sections. Row-local; nothing is shuffled."""
+    words = lambda c: F.size(F.filter(F.split(F.regexp_replace(c, "[*_`#>\\-\\d.]", " "), "\\s+"), lambda w: w != ""))
+    content = lambda c: ~F.contains(c, F.lit("<")) & (words(c) >= 3)
+    wanted = F.array(*[F.lit(s) for s in sections])
+
+    def fault(s: Column) -> Column:
+        code = lambda mine: F.when(F.size(mine) == 0, "section-missing").when(F.size(mine) > 1, "section-repeated").when(~F.exists(mine[0]["body"], content), "section-empty")
+        return F.struct(bound(F.filter("sections", lambda x: x["heading"] == s), code).alias("code"), s.alias("section"))
+
+    x = sectioned(docs).withColumn("order", F.filter(F.transform("sections", lambda s: s["heading"]), lambda h: h.isin(*sections)))
+    found = F.filter(F.transform(wanted, fault), lambda f: f["code"].isNotNull())
+    wrong = (F.size("order") == len(sections)) & (F.size(F.array_distinct("order")) == len(sections)) & (F.col("order") != wanted)
+    misplaced = F.array(F.struct(F.when(wrong, "sections-out-of-order").alias("code"), F.lit("").alias("section")))
+    return x.select("doc_id", F.inline(F.concat(found, F.filter(misplaced, lambda f: f["code"].isNotNull()))))
 
 
 def line_findings(docs: DataFrame) -> DataFrame:
@@ -216,13 +228,15 @@ def line_findings(docs: DataFrame) -> DataFrame:
 
 
 def folded_bullets(docs: DataFrame, section: str) -> DataFrame:
-    """doc_id, line, bullet: bullets of a section with the lines that continue them."""
-    x = sectioned(docs).where((F.col("heading") == section) & F.col("own").isNull())
-    starts = F.col("content").rlike("^\\s*-\\s")
-    x = x.withColumn("n", F.sum(F.when(starts, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("line"))).where("n > 0")
-    x = x.where(starts | F.col("content").rlike("^\\s+\\S"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("line", stripped(F.col("content")).alias("c")))), lambda s: s["c"])
-    return x.groupBy("doc_id", "n").agg(F.min("line").cast("long").alias("line"), F.array_join(parts, " ").alias("bullet")).drop("n")
+    """doc_id, line, bullet: bullets of a section with the lines that continue them. Row-local; nothing is shuffled."""
+    x = sectioned(docs).select("doc_id", lines_under(section).alias("l"))
+    at = F.transform("l", lambda c, i: F.when(c["content"].rlike("^\\s*-\\s"), i + 1))
+    x = x.withColumn("starts", F.filter(at, lambda i: i.isNotNull()))
+    own = lambda i, k: F.slice("l", i + 1, F.coalesce(F.get("starts", k + 1), F.size("l") + 1) - i - 1)
+    more = lambda i, k: F.filter(F.transform(own(i, k), lambda c: c["content"]), lambda c: c.rlike("^\\s+\\S"))
+    first = lambda i: F.get("l", i - 1)
+    bullet = lambda i, k: F.array_join(F.transform(F.concat(F.array(first(i)["content"]), more(i, k)), stripped), " ")
+    return x.select("doc_id", F.inline(F.transform("starts", lambda i, k: F.struct(first(i)["line"].alias("line"), bullet(i, k).alias("bullet")))))
 
 
 def unexpected_bullets(docs: DataFrame) -> DataFrame:
