@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -15,6 +16,17 @@ LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 STOP_WORDS = "a an and are be do does for how in is it its of on or our should the to we what when which who with".split()
 
 
+def ascii_words(pattern: str) -> str:
+    """A pattern whose \\b knows ASCII letters, digits and _ only, as \\w does; Java's own counts é as part of a word too."""
+    parts, out = re.findall(r"\\.|.", pattern, re.S), []
+    for i, part in enumerate(parts):
+        after, before = "".join(parts[i + 1 : i + 2]), parts[i - 1] if i else ""
+        plain = re.compile("[A-Za-z0-9_]")
+        edge = r"(?<!\w)" if plain.fullmatch(after) else r"(?!\w)" if plain.fullmatch(before) else r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+        out.append(edge if part == r"\b" else part)
+    return "".join(out)
+
+
 def rounded(x: Column, digits: int) -> Column:
     """x to so many decimals, ties towards plus infinity, on the binary value."""
     scale = float(10**digits)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.functions.scalars import lines_of, stripped
+from assaykit.functions.scalars import ascii_words, lines_of, stripped
 from assaykit.operators.lint import lines_under, sectioned
 
 # Fixed values of the handoff rules.
@@ -41,7 +41,7 @@ NEEDS = {"url-login": "://", "jwt": "eyJ"}
 def secret_lines(docs: DataFrame) -> DataFrame:
     """doc_id, secret, line: each kind of secret on each line. Row-local; nothing is shuffled."""
     gate = lambda k, s: F.contains(s, F.lit(NEEDS[k])) if k in NEEDS else F.lit(True)
-    each = lambda s, i: F.transform(F.array_compact(F.array(*[F.when(gate(k, s) & s.rlike(p), F.lit(k)) for k, p in SECRETS.items()])), lambda k: F.struct(k.alias("secret"), (i + 1).cast("long").alias("line")))
+    each = lambda s, i: F.transform(F.array_compact(F.array(*[F.when(gate(k, s) & s.rlike(ascii_words(p)), F.lit(k)) for k, p in SECRETS.items()])), lambda k: F.struct(k.alias("secret"), (i + 1).cast("long").alias("line")))
     return docs.select("doc_id", F.inline(F.flatten(F.transform(lines_of(F.coalesce("text", F.lit(""))), each))))
 
 
@@ -96,7 +96,7 @@ def content_findings(docs: DataFrame) -> DataFrame:
     told = lambda code, places: F.transform(places, lambda p: F.struct(F.lit(code).alias("code"), p.alias("place")))
     immediate = lambda t: F.split(t, r"(?m)^\s*Then:?\s*$")[0]
     none = F.array().cast("array<string>")
-    anchorless = F.when((F.col("action") != "") & ~immediate(F.col("action")).rlike(ANCHOR), F.array(F.lit(""))).otherwise(none)
+    anchorless = F.when((F.col("action") != "") & ~immediate(F.col("action")).rlike(ascii_words(ANCHOR)), F.array(F.lit(""))).otherwise(none)
     loose = F.filter("decisions", lambda d: d["content"].rlike(r"^\s*-\s") & ~d["content"].rlike(r"^\s*-\s*(LOCKED:|revisit-if)"))
     loose = F.transform(loose, lambda d: d["line"].cast("string"))
     state = lambda places: F.when(F.col("body") != "", places).otherwise(none)

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.functions.scalars import bound, lines_of, stripped
+from assaykit.functions.scalars import ascii_words, bound, lines_of, stripped
 
 # Fixed values of the prompt rules.
 CREDENTIALS = (
@@ -125,17 +125,17 @@ def exploded(docs: DataFrame) -> DataFrame:
 
 def has(low: Column, text: Column, pattern: str) -> Column:
     """Whether a text, low in lower case, has the pattern."""
-    there = text.rlike(pattern)
+    there = text.rlike(ascii_words(pattern))
     return reduce(or_, (F.contains(low, F.lit(w)) for w in NEEDS[pattern])) & there if pattern in NEEDS else there
 
 
 def first_line(low: Column, text: Column, pattern: str) -> Column:
     """The first line, from 1, that has the pattern; 0: none."""
     # what looks ahead could look beyond a line's end, so the whole text is tried without that
-    there = text.rlike("(?m)" + pattern.partition("(?!")[0])
+    there = text.rlike("(?m)" + ascii_words(pattern.partition("(?!")[0]))
     if pattern in NEEDS:
         there = reduce(or_, (F.contains(low, F.lit(w)) for w in NEEDS[pattern])) & there
-    return F.when(there, F.array_position(F.transform(lines_of(text), lambda s: s.rlike(pattern)), True)).otherwise(0).cast("long")
+    return F.when(there, F.array_position(F.transform(lines_of(text), lambda s: s.rlike(ascii_words(pattern))), True)).otherwise(0).cast("long")
 
 
 def _finding(rule: str, severity: Column | str, line: Column, when: Column) -> Column:
@@ -151,8 +151,8 @@ def prompt_findings(docs: DataFrame, agentic: bool = False, reasoning: bool = Fa
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text"))
     low, text = F.col("low"), F.col("text")
     words = F.greatest(F.size(F.filter(F.split(text, "\\s+"), lambda w: w != "")), F.lit(1))
-    hits = F.when(reduce(or_, (F.contains(text, F.lit(w)) for w in ("MUST", "NEVER", "ALWAYS"))), F.regexp_count(text, F.lit(EMPHASIS))).otherwise(0)
-    whole = [has(low, text, STOP).alias("stop"), has(low, text, VERIFICATION).alias("verified"), text.rlike(CONTRACT).alias("contract"), ((hits >= LEAST_EMPHASIS) & (hits > words / WORDS_AN_EMPHASIS)).alias("stacked")]
+    hits = F.when(reduce(or_, (F.contains(text, F.lit(w)) for w in ("MUST", "NEVER", "ALWAYS"))), F.regexp_count(text, F.lit(ascii_words(EMPHASIS)))).otherwise(0)
+    whole = [has(low, text, STOP).alias("stop"), has(low, text, VERIFICATION).alias("verified"), text.rlike(ascii_words(CONTRACT)).alias("contract"), ((hits >= LEAST_EMPHASIS) & (hits > words / WORDS_AN_EMPHASIS)).alias("stacked")]
     x = rows.select("doc_id", *whole, *[first_line(low, text, p).alias(f"l{i}") for i, p in enumerate(line_rules)])
     at = lambda i: F.col(f"l{i}")
     injected = F.coalesce(*[F.nullif(at(i), F.lit(0)) for i in range(n, m)])
@@ -223,7 +223,7 @@ def line_findings(docs: DataFrame) -> DataFrame:
     """doc_id, code, line of handoff lines: placeholders (one a line, by precedence) and each directive's every line."""
     c = F.col("content")
     template = F.contains(c, F.lit("<")) & reduce(or_, (F.contains(c, F.lit(t)) for t in TEMPLATE))
-    codes = F.array_compact(F.array(F.when(template, F.lit("template-placeholder")).when(c.rlike(MARKER), "inline-placeholder").when(c.rlike(PLACEHOLDER), "placeholder"), *[F.when(c.rlike(p), F.lit(f"directive-{i + 1}")) for i, p in enumerate(DIRECTIVES)]))
+    codes = F.array_compact(F.array(F.when(template, F.lit("template-placeholder")).when(c.rlike(MARKER), "inline-placeholder").when(c.rlike(PLACEHOLDER), "placeholder"), *[F.when(c.rlike(ascii_words(p)), F.lit(f"directive-{i + 1}")) for i, p in enumerate(DIRECTIVES)]))
     return exploded(docs).select("doc_id", F.explode(codes).alias("code"), F.col("line").cast("long").alias("line"))
 
 
@@ -242,7 +242,7 @@ def folded_bullets(docs: DataFrame, section: str) -> DataFrame:
 def unexpected_bullets(docs: DataFrame) -> DataFrame:
     """Verification bullets that name no expected result; bullets about the environment are exempt."""
     x = folded_bullets(docs, "Verification")
-    return x.where(~F.col("bullet").rlike("^-\\s*Env\\b") & ~F.col("bullet").rlike(EXPECTED))
+    return x.where(~F.col("bullet").rlike(ascii_words("^-\\s*Env\\b")) & ~F.col("bullet").rlike(EXPECTED))
 
 
 def line_budget(docs: DataFrame) -> DataFrame:
