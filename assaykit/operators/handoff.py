@@ -47,24 +47,28 @@ def secret_lines(docs: DataFrame) -> DataFrame:
 
 def meta(docs: DataFrame) -> DataFrame:
     """doc_id, opened (the line of the fence, from 0; -1: none), closed, entries (key, value in order) of the fenced block."""
-    lines = F.transform(lines_of(F.coalesce("text", F.lit(""))), stripped)
-    x = docs.select("doc_id", lines.alias("l")).withColumn("opened", F.array_position("l", F.lit("```yaml")) - 1)
+    # only lines that may be a fence or an entry are stripped
+    fences = lambda ls: F.transform(ls, lambda s: F.when(F.contains(s, F.lit("```")), stripped(s)).otherwise(""))
+    x = docs.select("doc_id", lines_of(F.coalesce("text", F.lit(""))).alias("l")).withColumn("opened", F.array_position(fences(F.col("l")), F.lit("```yaml")) - 1)
     x = x.withColumn("rest", F.when(F.col("opened") >= 0, F.slice("l", (F.col("opened") + 2).cast("int"), F.size("l"))).otherwise(F.array().cast("array<string>")))
-    x = x.withColumn("end", F.array_position("rest", F.lit("```"))).withColumn("block", F.when(F.col("end") > 0, F.slice("rest", F.lit(1), (F.col("end") - 1).cast("int"))).otherwise(F.col("rest")))
-    pair = F.transform(F.filter("block", lambda s: s.rlike("^[A-Za-z_]+:")), lambda s: F.struct(F.regexp_extract(s, "^([A-Za-z_]+):", 1).alias("key"), stripped(F.regexp_extract(s, "^[A-Za-z_]+:(.*)$", 1)).alias("value")))
+    x = x.withColumn("end", F.array_position(fences(F.col("rest")), F.lit("```"))).withColumn("block", F.when(F.col("end") > 0, F.slice("rest", F.lit(1), (F.col("end") - 1).cast("int"))).otherwise(F.col("rest")))
+    named = F.filter(F.transform(F.filter("block", lambda s: F.contains(s, F.lit(":"))), stripped), lambda s: s.rlike("^[A-Za-z_]+:"))
+    pair = F.transform(named, lambda s: F.struct(F.regexp_extract(s, "^([A-Za-z_]+):", 1).alias("key"), stripped(F.regexp_extract(s, "^[A-Za-z_]+:(.*)$", 1)).alias("value")))
     return x.select("doc_id", "opened", (F.col("end") > 0).alias("closed"), pair.alias("entries"))
 
 
 def meta_findings(docs: DataFrame) -> DataFrame:
     """doc_id, code, key: faults of the fenced meta block. Without a block in the first lines nothing else is judged."""
-    x = meta(docs)
     entries = F.col("entries")
     # the last of equal keys counts
-    value = lambda k: F.try_element_at(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"]), F.lit(-1))
+    last = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
+    told_of = lambda k: F.try_element_at(F.filter(entries, lambda e: e["key"] == k), F.lit(-1))["value"]
+    x = meta(docs).select("doc_id", "opened", "closed", "entries", *[told_of(k).alias(f"_{k}") for k in META_KEYS])
+    value = lambda k: F.col(f"_{k}")
     fault = lambda code, key, when: F.when(when, F.array(F.struct(F.lit(code).alias("code"), (F.lit(key) if isinstance(key, str) else key).alias("key")))).otherwise(F.array().cast("array<struct<code:string,key:string>>"))
     keys = F.transform(entries, lambda e: e["key"])
     repeated = F.filter(F.array_distinct(keys), lambda k: F.size(F.filter(keys, lambda o: o == k)) > 1)
-    marked = F.filter(F.array_distinct(keys), lambda k: F.contains(F.element_at(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"]), -1), F.lit("<")))
+    marked = F.filter(F.array_distinct(keys), lambda k: F.contains(last(k), F.lit("<")))
     each = lambda code, ks: F.transform(ks, lambda k: F.struct(F.lit(code).alias("code"), k.alias("key")))
     written = value("written")
     at = F.when(written.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), F.try_to_timestamp(written, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
