@@ -6,6 +6,7 @@ are only looked at where it is there. Nothing is shuffled for them. A document r
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -123,6 +124,11 @@ def exploded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(lines_of(F.coalesce("text", F.lit(""))))).select("doc_id", (F.col("pos") + 1).alias("line"), F.col("col").alias("content"))
 
 
+def anywhere(pattern: str) -> str:
+    """A pattern that is in a text if a line of it has the given one: without anchors, as a line may begin where (?m) has none."""
+    return re.sub(r"(?<!\[)\^", "", ascii_words(pattern))
+
+
 def has(low: Column, text: Column, pattern: str) -> Column:
     """Whether a text, low in lower case, has the pattern."""
     there = text.rlike(ascii_words(pattern))
@@ -132,7 +138,7 @@ def has(low: Column, text: Column, pattern: str) -> Column:
 def first_line(low: Column, text: Column, pattern: str) -> Column:
     """The first line, from 1, that has the pattern; 0: none."""
     # what looks ahead could look beyond a line's end, so the whole text is tried without that
-    there = text.rlike("(?m)" + ascii_words(pattern.partition("(?!")[0]))
+    there = text.rlike(anywhere(pattern.partition("(?!")[0]))
     if pattern in NEEDS:
         there = reduce(or_, (F.contains(low, F.lit(w)) for w in NEEDS[pattern])) & there
     return F.when(there, F.array_position(F.transform(lines_of(text), lambda s: s.rlike(ascii_words(pattern))), True)).otherwise(0).cast("long")
@@ -221,10 +227,17 @@ def section_findings(docs: DataFrame, sections: Sequence[str] = SECTIONS) -> Dat
 
 def line_findings(docs: DataFrame) -> DataFrame:
     """doc_id, code, line of handoff lines: placeholders (one a line, by precedence) and each directive's every line."""
-    c = F.col("content")
-    template = F.contains(c, F.lit("<")) & reduce(or_, (F.contains(c, F.lit(t)) for t in TEMPLATE))
-    codes = F.array_compact(F.array(F.when(template, F.lit("template-placeholder")).when(c.rlike(MARKER), "inline-placeholder").when(c.rlike(PLACEHOLDER), "placeholder"), *[F.when(c.rlike(ascii_words(p)), F.lit(f"directive-{i + 1}")) for i, p in enumerate(DIRECTIVES)]))
-    return exploded(docs).select("doc_id", F.explode(codes).alias("code"), F.col("line").cast("long").alias("line"))
+    c, text = F.col("content"), F.col("text")
+    template = reduce(or_, (F.contains(c, F.lit(t)) for t in TEMPLATE))
+    placeholder = F.when(F.contains(c, F.lit("<")), F.when(template, F.lit("template-placeholder")).when(c.rlike(MARKER), "inline-placeholder").when(c.rlike(PLACEHOLDER), "placeholder"))
+    codes = F.array_compact(F.array(placeholder, *[F.when(F.col(f"d{i}") & c.rlike(ascii_words(p)), F.lit(f"directive-{i + 1}")) for i, p in enumerate(DIRECTIVES)]))
+    # a directive in no part of a text is in none of its lines; of such texts only lines with < can have a code
+    x = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    x = x.select("doc_id", "text", *[text.rlike(anywhere(p)).alias(f"d{i}") for i, p in enumerate(DIRECTIVES)])
+    some = reduce(or_, (F.col(f"d{i}") for i in range(len(DIRECTIVES))))
+    lines = F.transform(lines_of(text), lambda s, i: F.struct((i + 1).cast("long").alias("line"), s.alias("content")))
+    x = x.select("doc_id", *[f"d{i}" for i in range(len(DIRECTIVES))], F.inline(F.filter(lines, lambda s: some | F.contains(s["content"], F.lit("<")))))
+    return x.select("doc_id", F.explode(codes).alias("code"), "line")
 
 
 def folded_bullets(docs: DataFrame, section: str) -> DataFrame:
@@ -247,9 +260,10 @@ def unexpected_bullets(docs: DataFrame) -> DataFrame:
 
 def line_budget(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, severity for documents of too many lines."""
-    n = F.size(lines_of(F.coalesce("text", F.lit(""))))
-    severity = F.when(n > TOO_MANY_LINES, "error").when(n > MANY_LINES, "warning")
-    return docs.select("doc_id", n.cast("long").alias("n_lines"), severity.alias("severity")).where("severity IS NOT NULL")
+    n = F.array(F.size(lines_of(F.coalesce("text", F.lit("")))).cast("long"))
+    # exploded, as a filter on a plain column would make the lines twice
+    x = docs.select("doc_id", F.explode(F.filter(n, lambda k: k > MANY_LINES)).alias("n_lines"))
+    return x.select("doc_id", "n_lines", F.when(F.col("n_lines") > TOO_MANY_LINES, "error").otherwise("warning").alias("severity"))
 
 
 def questions(docs: DataFrame) -> DataFrame:
