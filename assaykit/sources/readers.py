@@ -73,16 +73,18 @@ def frontmatter(docs: DataFrame, text: str = "text") -> DataFrame:
     What follows # is a comment; of repeated keys the last counts.
     """
     pattern = "(?s)\\A---\\s*\\n(.*?)\\n---\\s*(?:\\n|\\z)"
-    block = F.regexp_extract(F.col(text), pattern, 1)
-    there = F.col(text).rlike(pattern)
-    lines = F.filter(F.transform(lines_of(block), lambda s: F.regexp_replace(F.regexp_replace(s, "#.*$", ""), "\\s+$", "")), lambda s: stripped(s) != "")
-    pair = F.transform(lines, lambda s: F.struct(stripped(F.regexp_extract(s, "^([^:]*):", 1)).alias("key"), _unquoted(F.regexp_extract(s, "^[^:]*:(.*)$", 1)).alias("value")))
-    keys = F.array_distinct(F.transform(pair, lambda p: p["key"]))
+    lines = F.filter(F.transform(lines_of(F.regexp_extract(F.col(text), pattern, 1)), lambda s: F.regexp_replace(F.regexp_replace(s, "#.*$", ""), "\\s+$", "")), lambda s: stripped(s) != "")
+    # columns of their own, so that each is worked out once a row
+    x = docs.withColumn("_there", F.col(text).rlike(pattern)).withColumn("_lines", lines)
+    pair = F.transform("_lines", lambda s: F.struct(stripped(F.regexp_extract(s, "^([^:]*):", 1)).alias("key"), _unquoted(F.regexp_extract(s, "^[^:]*:(.*)$", 1)).alias("value")))
+    x = x.withColumn("_pairs", pair).withColumn("_bad", F.exists("_lines", lambda s: ~F.contains(s, F.lit(":"))))
+    keys = F.array_distinct(F.transform("_pairs", lambda p: p["key"]))
     # the last of equal keys, without the session's map policy mattering
-    last = F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pair, lambda p: p["key"] == k), -1)["value"].alias("value")))
-    bad = F.exists(lines, lambda s: ~F.contains(s, F.lit(":")))
+    last = F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter("_pairs", lambda p: p["key"] == k), -1)["value"].alias("value")))
+    there, bad = F.col("_there"), F.col("_bad")
     error = F.when(~there, "frontmatter-missing").when(bad, "frontmatter-line")
-    return docs.withColumn("fields", F.when(there & ~bad, F.map_from_entries(last))).withColumn("body", F.regexp_replace(F.col(text), pattern, "")).withColumn("error", error)
+    x = x.withColumn("fields", F.when(there & ~bad, F.map_from_entries(last))).withColumn("body", F.regexp_replace(F.col(text), pattern, "")).withColumn("error", error)
+    return x.drop("_there", "_lines", "_pairs", "_bad")
 
 
 #: What a value must be for the indented lines below it to be the value (fixed values).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaykit.operators import delta, evidence, findings, graph, handoff, health, health_rules, ledger, lint, orders, release, scores, similar, skills, traceability, tracker
-from assaykit.plans.views import VIEWS, view
+from assaykit.plans.views import VIEWS, dealt, view
 from assaykit.queries import CURRENT, LINE_SQL, PREVIOUS, SQL, STOP_SQL, query, table
 from assaykit.queries import _snapshots as snapshots
 from assaykit.sources import fixtures, readers
@@ -960,7 +960,7 @@ _TICKET = "CASE WHEN c_custkey % 6 = 0 THEN 'no block' ELSE concat_ws(chr(10), '
     " CASE WHEN c_custkey % 6 > 1 THEN '1,2' END AS blocked_by, c_custkey % 6 <> 0 AND c_custkey % 5 = 0 AS has_resolution, CASE c_custkey % 6 WHEN 0 THEN 'frontmatter-missing' WHEN 1 THEN 'blocked-by-invalid' END AS error FROM customer",
 )
 def source_tickets(spark, d):
-    x = readers.tickets(table(spark, d, "customer").selectExpr("concat('m/t', c_custkey, '.md') AS path", f"{_TICKET} AS text"))
+    x = readers.tickets(dealt(table(spark, d, "customer").select("c_custkey")).selectExpr("concat('m/t', c_custkey, '.md') AS path", f"{_TICKET} AS text"))
     return x.select("path", "id", "title", "claimed_by", F.array_join(F.transform("blocked_by", lambda i: i.cast("string")), ",").alias("blocked_by"), "has_resolution", "error")
 
 
