@@ -144,13 +144,13 @@ def first_line(low: Column, text: Column, pattern: str) -> Column:
     return F.when(there, F.array_position(F.transform(lines_of(text), lambda s: s.rlike(ascii_words(pattern))), True)).otherwise(0).cast("long")
 
 
-def _finding(rule: str, severity: Column | str, line: Column, when: Column) -> Column:
+def _finding(rule: str, severity: Column | str, line: Column, when: Column) -> tuple[str, Column]:
     severity = F.lit(severity) if isinstance(severity, str) else severity
-    return F.when(when, F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), line.cast("long").alias("line")))
+    return rule, F.when(when, F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), line.cast("long").alias("line")))
 
 
-def prompt_findings(docs: DataFrame, agentic: bool = False, reasoning: bool = False) -> DataFrame:
-    """doc_id, rule, severity, line for all prompt rules but repeated lines."""
+def prompt_findings(docs: DataFrame, agentic: bool = False, reasoning: bool = False, rules: Sequence[str] | None = None) -> DataFrame:
+    """doc_id, rule, severity, line for all prompt rules but repeated lines, or for some of them: no other patterns are tried then."""
     line_rules = [*CREDENTIALS, *INJECTIONS, CAPABILITY, PERSISTENCE, SCAFFOLD, VAGUE, UNRESOLVED]
     n, m = len(CREDENTIALS), len(CREDENTIALS) + len(INJECTIONS)
     # a projection of its own, so that a text is lower-cased once
@@ -173,7 +173,7 @@ def prompt_findings(docs: DataFrame, agentic: bool = False, reasoning: bool = Fa
         _finding("STACK", "warning", F.lit(0), F.col("stacked")),
         _finding("TODO", "warning", at(m + 4), at(m + 4) > 0),
     ]
-    return x.select("doc_id", F.inline(F.array_compact(F.array(*found))))
+    return x.select("doc_id", F.inline(F.array_compact(F.array(*[f for rule, f in found if rules is None or rule in rules]))))
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST_REPEATED) -> DataFrame:

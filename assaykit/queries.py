@@ -572,12 +572,12 @@ LINE_SQL = "(SELECT doc_id, i AS line, l[i] AS content FROM (SELECT doc_id, stri
     r" min(line) FILTER (regexp_matches(content, '(?i)\bAKIA[0-9A-Z]{16}\b')) AS c, min(line) FILTER (regexp_matches(content, '(?i)\bsk-[A-Za-z0-9_-]{8,}')) AS e FROM l GROUP BY doc_id) SELECT doc_id, 'CRED' AS rule, unnest(list_filter([a, b, c, e], lambda x: x IS NOT NULL)) AS line FROM f",
 )
 def lint_prompt(spark, d):
-    return lint.prompt_findings(table(spark, d, "documents")).where("rule = 'CRED'").select("doc_id", "rule", "line")
+    return lint.prompt_findings(table(spark, d, "documents"), rules=["CRED"]).select("doc_id", "rule", "line")
 
 
 @query("lint_contract", r"SELECT doc_id FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '" + lint.CONTRACT + "')")
 def lint_contract(spark, d):
-    return lint.prompt_findings(table(spark, d, "documents")).where("rule = 'FORMAT'").select("doc_id")
+    return lint.prompt_findings(table(spark, d, "documents"), rules=["FORMAT"]).select("doc_id")
 
 
 @query("lint_all")
