@@ -17,14 +17,24 @@ from assaykit.functions.shared import table
 
 #: From this similarity on two texts say the same (fixed value).
 SAME = 0.6
+#: Tokens that a passage and a document must share in the passage's prefix.
+MEETINGS = 4
 
 
-def _ordered(sets: DataFrame, *group: str) -> DataFrame:
+def _counts(each: DataFrame, *group: str) -> DataFrame:
+    """group, token, often: how many sets hold a token."""
+    return table(each.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("often")), "token-counts")
+
+
+def _ordered(sets: DataFrame, *group: str, often: DataFrame | None = None) -> DataFrame:
     """group, row, n, tokens, other columns: the sets with their tokens in the global order of their group, by how many sets
-    hold a token, then by the token."""
+    hold a token (by `often` if given: 0 if not there), then by the token."""
     each = sets.select("row", *group, F.explode("tokens").alias("token"))
-    often = table(each.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("often")), "token-counts")
-    told = each.join(often, [*group, "token"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    if often is None:
+        told = each.join(_counts(each, *group), [*group, "token"])
+    else:
+        told = each.join(often, [*group, "token"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    told = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
     told = told.select("row", F.transform("t", lambda t: t["token"]).alias("tokens"), F.size("t").alias("n"))
     return sets.drop("tokens").join(told, "row")
 
@@ -57,13 +67,16 @@ def candidates(small: DataFrame, large: DataFrame, threshold: float, when: str,
 def _verified(pairs: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """The pairs (row_a, row_b) whose sets reach the threshold, with `similarity` and the columns of both sides."""
     x = pairs.join(a.withColumnsRenamed({"row": "row_a", "n": "n_a", "tokens": "tokens_a"}), "row_a").join(b.withColumnsRenamed({"row": "row_b", "n": "n_b", "tokens": "tokens_b"}), "row_b")
-    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    # exploded, as a plain column would be worked out anew wherever it is named
+    x = x.withColumn("both", F.explode(F.array(F.size(F.array_intersect("tokens_b", "tokens_a")))))
+    both = F.col("both")
     value = F.greatest(both / (F.col("n_a") + F.col("n_b") - both), both / F.least("n_a", "n_b"))
-    return x.withColumn("similarity", value).where(F.col("similarity") >= threshold).withColumn("similarity", F.round("similarity", 6))
+    return x.withColumn("similarity", value).drop("both").where(F.col("similarity") >= threshold).withColumn("similarity", F.round("similarity", 6))
 
 
 def _token_sets(texts: DataFrame, text: Column, *columns: Column) -> DataFrame:
-    sets = texts.select(*columns, token_set(text).alias("tokens")).where(F.size("tokens") > 0)
+    # exploded, as a filter on a plain column would make the sets twice
+    sets = texts.select(*columns, F.explode(F.filter(F.array(token_set(text)), lambda t: F.size(t) > 0)).alias("tokens"))
     # written, so that a row keeps its number
     return table(sets.withColumn("row", F.monotonically_increasing_id()), "token-sets")
 
@@ -77,16 +90,36 @@ def similar_pairs(texts: DataFrame, group: str, key: str, text: str, threshold:
     return x.select(group, F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"), "similarity")
 
 
+def _met_in(passages: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+    """row_a, row_b: documents (tokens: row, n, token) and passages of no more tokens that may share enough.
+
+    k places more in the prefix than for one shared token must hold k more of those shared, which common tokens seldom do.
+    """
+    least = _least(F.col("n"), threshold)
+    asked = F.least(F.lit(MEETINGS), least)
+    prefix = passages.select(F.col("row").alias("row_b"), F.col("n").alias("n_s"), asked.alias("asked"), F.explode(F.slice("tokens", F.lit(1), F.col("n") - least + asked)).alias("token"))
+    met = tokens.select("token", F.col("row").alias("row_a"), F.col("n").alias("n_l")).join(prefix, "token").where("n_s <= n_l")
+    return met.groupBy("row_a", "row_b", "asked").count().where("count >= asked").select("row_a", "row_b")
+
+
 def contained_passages(docs: DataFrame, passages: DataFrame, threshold: float = SAME) -> DataFrame:
-    """doc_id, item_id, similarity of documents and passages by token sets; either may be the smaller set."""
-    d = _token_sets(docs, F.coalesce("text", F.lit("")), F.col("doc_id"), F.lit(None).cast("string").alias("item_id"))
-    p = _token_sets(passages, F.col("text"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("item_id").cast("string").alias("item_id")).withColumn("row", -1 - F.col("row"))
-    # one order for both
-    sets = table(_ordered(d.unionByName(p)), "ordered-sets")
-    d, p = sets.where("row >= 0"), sets.where("row < 0")
-    met = candidates(p, d, threshold, "n_s <= n_l").toDF("row_b", "row_a").unionByName(candidates(d, p, threshold, "n_s < n_l").toDF("row_a", "row_b"))
-    x = _verified(met, d.drop("item_id"), p.drop("doc_id"), threshold)
-    return x.select("doc_id", F.col("item_id").cast(passages.schema["item_id"].dataType).alias("item_id"), "similarity")
+    """doc_id, item_id, similarity of documents and passages by token sets; either may be the smaller set.
+
+    A document's tokens need no order where the passage is the smaller set: its prefix alone is looked up, in the order of how
+    many documents hold a passage's token. Only documents of fewer tokens than some passage are ordered themselves.
+    """
+    d = _token_sets(docs, F.coalesce("text", F.lit("")), F.col("doc_id")).withColumn("n", F.size("tokens"))
+    p = _token_sets(passages, F.col("text"), F.col("item_id")).withColumn("row", -1 - F.col("row"))
+    tokens = d.select("row", "n", F.explode("tokens").alias("token"))
+    often = _counts(tokens.join(p.select(F.explode("tokens").alias("token")).distinct(), "token", "left_semi"))
+    small = table(_ordered(p, often=often), "ordered-sets")
+    met = _met_in(small, tokens, threshold)
+    # the other direction: one order for the few tokens of both
+    longest = small.agg(F.max("n").alias("longest"))
+    short = d.join(longest, F.col("n") < F.col("longest")).select("row", "tokens")
+    sets = table(_ordered(short.unionByName(p.select("row", "tokens"))), "ordered-sets")
+    met = met.unionByName(candidates(sets.where("row >= 0"), sets.where("row < 0"), threshold, "n_s < n_l").toDF("row_a", "row_b"))
+    return _verified(met, d, small, threshold).select("doc_id", "item_id", "similarity")
 
 
 __all__ = ["SAME", "contained_passages", "set_similarity", "similar_pairs"]

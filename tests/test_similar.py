@@ -44,3 +44,13 @@ def test_a_common_token_brings_few_pairs_together(spark):
     sets = similar._ordered(similar._token_sets(frame, frame.txt, frame.g, frame.k), "g")
     met = similar.candidates(sets, sets, 0.6, "n_s < n_l OR n_s = n_l AND row_s < row_l", "g")
     assert met.count() <= 2_000  # of 79,800
+
+
+def test_only_short_documents_are_ordered(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i + k}" for k in range(40))) for i in range(50)] + [(50, "w1 w2"), (51, "w1 w90")], "doc_id long, text string")
+    passages = spark.createDataFrame([(7, "w1 w2 w3 w4 w5")], "item_id int, text string")
+    ordered, sets = [], similar._ordered
+    monkeypatch.setattr(similar, "_ordered", lambda x, *a, **k: ordered.append(x) or sets(x, *a, **k))
+    got = {tuple(r) for r in similar.contained_passages(docs, passages).collect()}
+    assert got == {(0, 7, 1.0), (1, 7, 1.0), (2, 7, 0.8), (3, 7, 0.6), (50, 7, 1.0)}
+    assert sum(x.count() for x in ordered) == 4  # the passage twice, two documents once
