@@ -759,9 +759,12 @@ def source_tail_usage(spark, d):
         'message', named_struct('usage', named_struct('input_tokens', event_id * 20, 'cache_read_input_tokens', session % 7))))"""
     x = table(spark, d, "events").selectExpr("coalesce(user_id, -1) AS session", "event_id", "event_type").selectExpr("session", "event_id", f"{line} AS value")
     folder = f"{shared_folder(spark).rstrip('/')}/sessions-{uuid.uuid4().hex}"
-    x.repartition("session").sortWithinPartitions("session", "event_id").drop("event_id").write.partitionBy("session").text(folder)
-    session = F.regexp_extract("path", "/session=(-?[0-9]+)/", 1).cast("long")
-    return files.last_usages(spark, f"{folder}/session=*/part-*").select(session.alias("session"), "tokens")
+    # files lie in as many folders as there are tasks, which the driver lists, not the files
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    x = x.repartition(n, "session").sortWithinPartitions("session", "event_id")
+    files.write_files(x.selectExpr(f"concat('tasks/', pmod(hash(session), {n}), '/session=', session, '.jsonl') AS path", "value"), folder)
+    session = F.regexp_extract("path", r"/session=(-?[0-9]+)\.jsonl$", 1).cast("long")
+    return files.last_usages(spark, f"{folder}/tasks/*/").select(session.alias("session"), "tokens")
 
 
 @query(
