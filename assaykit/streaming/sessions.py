@@ -214,6 +214,14 @@ def watched_leases(events: DataFrame, until_ms: int | None = None, ttl: int = LE
     return folded(_in_order(events), "assignment", LEASE_IN[1:], LEASE_OUT, lambda: NO_LEASE, one, lambda lease: lapsed(lease, until)[1])
 
 
+def in_order(rows: Iterator[pd.DataFrame]) -> list[tuple]:
+    """A key's events (at_ms, action, worker, generation) in order, nulls last: a frame of few rows takes longer to sort."""
+    none = lambda x: None if x is None or x != x else x
+    events = [tuple(map(none, e)) for part in rows for e in zip(*(part[c].tolist() for c in LEASE_IN[1:]), strict=True)]
+    events.sort(key=lambda e: [(x is None, x) if x is not None else (True,) for x in e])
+    return [(int(at), action, worker, None if told is None else int(told)) for at, action, worker, told in events]
+
+
 class LeaseState(StatefulProcessor):
     """The lease of an assignment. If `watch`, a timer of event time ends it when no heartbeat comes.
 
@@ -227,31 +235,36 @@ class LeaseState(StatefulProcessor):
         self.handle = handle
         self.lease = handle.getValueState("lease", "generation long, status string, expires_ms long, holder string")
 
+    def _held(self) -> Lease:
+        # one call of the state store instead of two
+        held = self.lease.get()
+        return NO_LEASE if held is None else tuple(held)
+
     def _told(self, key, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["assignment", "at_ms", "action", "worker", "outcome", "generation"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        lease, out = tuple(self.lease.get()) if self.lease.exists() else NO_LEASE, []
+        lease, out = self._held(), []
         before = lease
-        new = pd.concat(list(rows)).sort_values(list(LEASE_IN[1:]), kind="stable")
-        for at, action, worker, told in new[list(LEASE_IN[1:])].itertuples(index=False):
-            told = None if pd.isna(told) else int(told)
+        for at, action, worker, told in in_order(rows):
             if self.watch:
-                lease, more = watched_event(lease, int(at), action, worker, told, self.ttl)
+                lease, more = watched_event(lease, at, action, worker, told, self.ttl)
                 out += more
             else:
-                lease, outcome = lease_event(lease, int(at), action, worker, told, self.ttl)
-                out.append((int(at), action, worker, outcome, lease[0]))
-        self.lease.update(lease)
+                lease, outcome = lease_event(lease, at, action, worker, told, self.ttl)
+                out.append((at, action, worker, outcome, lease[0]))
+        if lease != before:
+            self.lease.update(lease)
         if self.watch and lease[1:3] != before[1:3]:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            # an active lease has one timer, at its end; others have none
+            if before[1] == "active":
+                self.handle.deleteTimer(before[2])
             if lease[1] == "active":
                 self.handle.registerTimer(lease[2])
         yield self._told(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        lease, rows = lapsed(tuple(self.lease.get()) if self.lease.exists() else NO_LEASE, expiredTimerInfo.getExpiryTimeInMs())
+        lease, rows = lapsed(self._held(), expiredTimerInfo.getExpiryTimeInMs())
         if rows:
             self.lease.update(lease)
             yield self._told(key, rows)

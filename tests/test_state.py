@@ -94,3 +94,36 @@ def test_nudges_are_forgotten_after_two_weeks(spark, tmp_path):
 def test_a_key_of_many_events_is_folded_in_batches(spark, n):
     x = spark.range(n).selectExpr("1L AS session", "timestamp_millis(id * 1000) AS at", "id AS tokens", "CAST(NULL AS TIMESTAMP) AS handoff_at")
     assert [r.tokens for r in sessions.nudges(x).orderBy("at").collect()] == [120_000, 150_000, 180_000]
+
+
+def test_a_key_calls_its_state_once_and_lists_no_timers():
+    import pandas as pd
+
+    class Held:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    class Handle:
+        calls = []
+
+        def registerTimer(self, at):
+            self.calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            self.calls.append(("delete", at))
+
+    state = sessions.LeaseState(100, True)
+    state.handle, state.lease = Handle(), Held()
+    events = pd.DataFrame([(30, "completed", "a", None), (10, "claim", "a", None), (20, "heartbeat", "a", 1)], columns=list(sessions.LEASE_IN[1:]))
+    first = pd.concat(state.handleInputRows((7,), iter([events]), None))
+    assert list(first["outcome"]) == ["CLAIMED", "OK", "STALE_FENCE"] and state.handle.calls == [("register", 120)]
+    rest = pd.concat(state.handleInputRows((7,), iter([events.tail(1).assign(at_ms=40), events.head(1).assign(at_ms=50)]), None))
+    assert list(rest["outcome"]) == ["OK", "STALE_FENCE"] and state.handle.calls[1:] == [("delete", 120), ("register", 140)]
+    assert state.lease.calls == ["get", "update"] * 2 and state.lease.value == (1, "active", 140, "a")
